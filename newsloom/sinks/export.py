@@ -3,6 +3,14 @@
 from newsloom.schemas import RESULT_COLUMNS
 
 _MARK = "\ufeff"
+# Quotes are doubled and spaces kept, as spreadsheets expect.
+_FORMAT = {
+    "header": True,
+    "escape": '"',
+    "encoding": "UTF-8",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def public(report):
@@ -16,7 +24,7 @@ def write_csv(report, path, mode="errorifexists"):
     (
         table.withColumnRenamed(first, _MARK + first)
         .write.mode(mode)
-        .options(header=True, escape='"', emptyValue="", encoding="UTF-8")
+        .options(emptyValue="", **_FORMAT)
         .csv(path)
     )
 
@@ -25,7 +33,7 @@ def read_csv(spark, path, schema):
     """An exported CSV, with the columns of ``schema`` by position."""
     return (
         spark.read.schema(schema)
-        .options(header=True, escape='"', multiLine=True, enforceSchema=True)
+        .options(multiLine=True, enforceSchema=True, **_FORMAT)
         .csv(path)
     )
 
