@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import split_on_space
 
-# Buckets of characters: each letter in both cases, all digits, and everything else.
-_BUCKETS = [a + b for a, b in zip(string.ascii_lowercase, string.ascii_uppercase)]
-_BUCKETS.append(string.digits)
+# Buckets of characters; a last bucket takes everything else.
+_BUCKETS = [*string.ascii_lowercase, string.ascii_uppercase, string.digits, " ", ".", ","]
 _LEVELS = 16
 _PER_WORD = 64 // _LEVELS
 SIGNATURE = [f"h{i}" for i in range((len(_BUCKETS) + 1) // _PER_WORD)]
@@ -31,23 +30,16 @@ def with_signature(df, text):
     Hamming distance of two signatures is at most the L1 distance of the two histograms,
     and that is at most the number of insertions and deletions between the two texts.
     """
-    text = F.col(text)
-    counts = [F.length(text) - F.length(F.translate(text, b, "")) for b in _BUCKETS]
-    others = F.length(F.translate(text, "".join(_BUCKETS), ""))
-    df = df.withColumns({f"_c{i}": c for i, c in enumerate([*counts, others])})
-    words = {}
-    for w, name in enumerate(SIGNATURE):
-        word = F.lit(0).cast("bigint")
-        for slot in range(_PER_WORD):
-            unary = F.expr(f"shiftleft(1L, least(_c{w * _PER_WORD + slot}, {_LEVELS})) - 1L")
-            word = word.bitwiseOR(F.shiftleft(unary, slot * _LEVELS))
-        words[name] = word
-    return df.withColumns(words).drop(*[f"_c{i}" for i in range(len(_BUCKETS) + 1)])
+    counts = [f"length({text}) - length(translate({text}, '{b}', ''))" for b in _BUCKETS]
+    counts.append(f"length(translate({text}, '{''.join(_BUCKETS)}', ''))")
+    unary = [f"(shiftleft(1L, least({c}, {_LEVELS})) - 1L)" for c in counts]
+    words = [
+        " | ".join(f"shiftleft({u}, {slot * _LEVELS})" for slot, u in enumerate(unary[at : at + _PER_WORD]))
+        for at in range(0, len(unary), _PER_WORD)
+    ]
+    return df.withColumns({name: F.expr(word) for name, word in zip(SIGNATURE, words)})
 
 
 def signature_distance(left, right):
     """Lower bound of the insertions and deletions between two texts; codegen, no lambda."""
-    distance = F.lit(0)
-    for name in SIGNATURE:
-        distance = distance + F.bit_count(F.col(f"{left}.{name}").bitwiseXOR(F.col(f"{right}.{name}")))
-    return distance
+    return F.expr(" + ".join(f"bit_count({left}.{name} ^ {right}.{name})" for name in SIGNATURE))

@@ -5,6 +5,7 @@ first, to one node ranked by its earliest row, so copies are never paired with e
 """
 
 import math
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -34,18 +35,21 @@ def _cutoff(threshold):
     return threshold - 0.5
 
 
-def title_nodes(rows):
-    """Distinct word sets: ``node`` (earliest seq), ``key``, ``tokens``, ``len`` and ``n`` rows.
+def title_nodes(rows, threshold=SIMILARITY_THRESHOLD):
+    """Distinct word sets with the features that bound their similarity.
 
-    Titles without a word are similar to nothing, not even each other, and have no node.
+    ``node`` is the earliest seq, ``n`` the number of rows. Titles without a word are similar
+    to nothing, not even each other, and have no node.
     """
     keyed = rows.select("seq", F.array_join(token_set(F.col("title")), " ").alias("key"))
     nodes = keyed.where(F.col("key") != "").groupBy("key").agg(
         F.min("seq").alias("node"), F.count("*").alias("n")
     )
-    return nodes.select(
-        "node", "n", "key", F.split("key", " ").alias("tokens"), F.length("key").alias("len")
-    )
+    # bands of lengths so wide that similar titles are at most one band apart
+    cutoff = _cutoff(threshold)
+    width = -math.log(cutoff / (200 - cutoff) - 1e-6)
+    measured = nodes.selectExpr("node", "n", "key", "split(key, ' ') as tokens", "length(key) as len")
+    return with_signature(measured, "key").withColumn("band", F.expr(f"int(floor(ln(len) / {width}D))"))
 
 
 def _contained_pairs(nodes, words, cutoff):
@@ -60,133 +64,97 @@ def _contained_pairs(nodes, words, cutoff):
     listed = nodes.select("node", F.explode("tokens").alias("token"))
     frequency = listed.groupBy("token").agg(F.count("*").alias("df"))
     ranked = attach(listed, frequency, "token", "df", words, "node")
-    entry = F.struct("df", (-F.length("token")).alias("neg"), "token")
-    order = ranked.groupBy("node").agg(F.sort_array(F.collect_list(entry)).alias("order"))
-    order = nodes.join(order, "node")
-
-    def leads(_, at):
-        rest = F.slice("order", at + 1, F.size("order"))
-        length = F.aggregate(rest, F.lit(-1), lambda total, t: total + 1 - t["neg"])
-        return length >= share * F.col("len") - 1e-9
-
-    order = order.withColumn("lead", F.transform(F.filter("order", leads), lambda t: t["token"]))
-    inner = order.select(
-        F.col("node").alias("a"), F.col("tokens").alias("ta"), F.col("len").alias("la"),
-        "lead", F.explode("lead").alias("token"),
-    )
-    outer = nodes.select(
-        F.col("node").alias("b"), F.col("tokens").alias("tb"), F.col("len").alias("lb"),
-        F.explode("tokens").alias("token"),
-    )
-    count = _partitions(nodes)
-    met = inner.repartition(count, "token").join(outer, "token").where(
-        (F.col("a") != F.col("b"))
-        & (F.col("token") == F.try_element_at(F.array_intersect("lead", "tb"), F.lit(1)))
-    )
-    common = F.array_intersect("ta", "tb")
-    side = 200.0 * F.col("shared") / (F.col("shared") + F.col("la"))
-    scored = met.withColumn("shared", joined_length(common)).withColumn(
-        "score", F.when(F.col("shared") == F.col("la"), F.lit(100.0)).otherwise(side)
-    )
-    return scored.where(F.col("score") >= cutoff).select(
-        F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "score"
-    )
-
-
-def _tiles(nodes, bands, tile):
+    inner = (
+        ranked.groupBy(F.col("node").alias("a"))
+        .agg(F.expr("sort_array(collect_list(struct(df, -length(token) as neg, token)))").alias("order"))
+        .selectExpr("a", "order", "order.token as ta", "aggregate(order, -1, (s, t) -> s + 1 - t.neg) as la")
+        .selectExpr("a", "ta", "la", f"""transform(filter(order, (_, k) ->
+            aggregate(slice(order, k + 1, size(order)), -1, (s, t) -> s + 1 - t.neg) >= {share}D * la - 1e-9D
+            ), t -> t.token) as lead""")
+        .selectExpr("a", "ta", "la", "lead", "explode(lead) as token")
+    )
+    outer = nodes.selectExpr("node as b", "tokens as tb", "explode(tokens) as token")
+    met = inner.repartition(_partitions(nodes), "token").join(outer, "token").where(
+        "a <> b and token = try_element_at(array_intersect(lead, tb), 1)"
+    )
+    scored = met.withColumn("shared", joined_length(F.array_intersect("ta", "tb")))
+    return scored.selectExpr(
+        "least(a, b) as i",
+        "greatest(a, b) as j",
+        "if(shared = la, 100D, 200D * shared / (shared + la)) as score",
+    ).where(F.col("score") >= cutoff)
+
+
+def _tiles(nodes, blocks):
     """Both sides of the comparison tiles, keyed by ``tile``.
 
     Only titles in the same or in neighbouring length bands can be similar. A band is cut into
-    blocks, and each pair of blocks is a tile of bounded size, however full the band is.
+    ``blocks[band]`` blocks, and each pair of blocks is a tile of bounded size, however full
+    the band is.
     """
-    blocks = {band: -(-count // tile) for band, count in bands.items()}
-    block_count = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
-    in_band = lambda b: F.coalesce(block_count[b], F.lit(0))
-    nodes = nodes.withColumn(
-        "block", F.pmod(F.xxhash64("node"), in_band(F.col("band"))).cast("int")
-    )
-    upto = lambda start, stop: F.when(
-        start < stop, F.sequence(start, stop - 1)
-    ).otherwise(F.array().cast("array<int>"))
-    band, block = F.col("band"), F.col("block")
-
-    def tagged(own_first, offset):
-        return lambda other: F.struct(
-            *[c.alias(name) for name, c in zip(
-                ("ba", "xa", "bb", "xb"),
-                (band, block, band + offset, other) if own_first else (band - offset, other, band, block),
-            )]
-        )
-
-    zero = F.lit(0)
-    left = F.concat(
-        F.transform(upto(block, in_band(band)), tagged(True, 0)),
-        F.transform(upto(zero, in_band(band + 1)), tagged(True, 1)),
-    )
-    right = F.concat(
-        F.transform(upto(zero, block + 1), tagged(False, 0)),
-        F.transform(upto(zero, in_band(band - 1)), tagged(False, 1)),
-    )
-    sides = ["node", "key", "tokens", "len", *SIGNATURE]
-    return [nodes.select(*sides, F.explode(side).alias("tile")) for side in (left, right)]
-
-
-def _aligned_pairs(nodes, size, cutoff):
+    count = f"map({', '.join(f'{band}, {n}' for band, n in blocks.items())})"
+    parts = nodes.withColumn("block", F.expr(f"cast(pmod(xxhash64(node), {count}[band]) as int)"))
+
+    def others(start, stop, tile):
+        stop = f"coalesce({stop}, 0)"
+        return f"transform(if({start} < {stop}, sequence({start}, {stop} - 1), array()), x -> {tile})"
+
+    tile = "named_struct('ba', {}, 'xa', {}, 'bb', {}, 'xb', {})".format
+    left = [
+        others("block", f"{count}[band]", tile("band", "block", "band", "x")),
+        others("0", f"{count}[band + 1]", tile("band", "block", "band + 1", "x")),
+    ]
+    right = [
+        others("0", "block + 1", tile("band", "x", "band", "block")),
+        others("0", f"{count}[band - 1]", tile("band - 1", "x", "band", "block")),
+    ]
+    return [
+        parts.selectExpr("node", "tokens", "len", *SIGNATURE, f"explode(concat({', '.join(side)})) as tile")
+        for side in (left, right)
+    ]
+
+
+def _aligned_pairs(nodes, bands, cutoff):
     """Pairs whose full texts align: common words first, then the other words of each.
 
     Length and character counts bound the score from above, in generated code within the join.
     Only the survivors reach the Arrow UDF, which compares the words that differ.
     """
-    share = cutoff / (200 - cutoff) - 1e-6
-    banded = with_signature(nodes, "key").withColumn(
-        "band", F.floor(F.log(F.col("len")) / F.lit(-math.log(share))).cast("int")
-    )
-    # lengths below 2^31 make fewer than 60 bands
-    bands = {r.band: r.n for r in banded.groupBy("band").agg(F.count("*").alias("n")).collect()}
-    if not bands:
-        return None
-    left, right = _tiles(banded, bands, min(_TILE_MOST, max(_TILE_LEAST, size // 64)))
+    tile = min(_TILE_MOST, max(_TILE_LEAST, sum(bands.values()) // 64))
+    left, right = _tiles(nodes, {band: -(-count // tile) for band, count in bands.items()})
     count = _partitions(nodes)
-    a = left.repartition(count, "tile").alias("a")
-    b = right.repartition(count, "tile").alias("b")
-    total = F.col("a.len") + F.col("b.len")
-    room = (1 - cutoff / 100) * total + 1e-9
-    same_block = (F.col("a.tile.ba") == F.col("a.tile.bb")) & (F.col("a.tile.xa") == F.col("a.tile.xb"))
-    met = a.join(
-        b,
-        (F.col("a.tile") == F.col("b.tile"))
-        & (F.col("a.node") != F.col("b.node"))
-        & (~same_block | (F.col("a.node") < F.col("b.node")))
-        & (F.abs(F.col("a.len") - F.col("b.len")) <= room)
-        & (signature_distance("a", "b") <= room),
-    )
-    common = F.array_intersect("a.tokens", "b.tokens")
-    rest = lambda side: F.array_join(F.array_except(f"{side}.tokens", "common"), " ")
-    survivors = met.withColumn("common", common).select(
-        F.least("a.node", "b.node").alias("i"),
-        F.greatest("a.node", "b.node").alias("j"),
-        total.alias("total"),
-        F.when(F.size("common") > 0, joined_length(F.col("common")) + 1).otherwise(0).alias("prefix"),
-        rest("a").alias("ra"),
-        rest("b").alias("rb"),
-    )
-    aligned = F.col("prefix") + lcs_length()("ra", "rb")
-    scored = survivors.select("i", "j", (200.0 * aligned / F.col("total")).alias("score"))
-    return scored.where(F.col("score") >= cutoff)
+    room = f"{1 - cutoff / 100}D * (a.len + b.len) + 1e-9D"
+    met = left.repartition(count, "tile").alias("a").join(
+        right.repartition(count, "tile").alias("b"),
+        F.expr(f"""a.tile = b.tile and a.node <> b.node
+            and (a.node < b.node or a.tile.ba <> a.tile.bb or a.tile.xa <> a.tile.xb)
+            and abs(a.len - b.len) <= {room}""")
+        & (signature_distance("a", "b") <= F.expr(room)),
+    )
+    survivors = met.selectExpr(
+        "least(a.node, b.node) as i",
+        "greatest(a.node, b.node) as j",
+        "a.len + b.len as total",
+        "array_join(array_intersect(a.tokens, b.tokens), ' ') as common",
+        "array_join(array_except(a.tokens, b.tokens), ' ') as ra",
+        "array_join(array_except(b.tokens, a.tokens), ' ') as rb",
+    ).withColumn("lcs", lcs_length()("ra", "rb"))
+    return survivors.selectExpr(
+        "i", "j", "200D * (length(common) + int(common <> '') + lcs) / total as score"
+    ).where(F.col("score") >= cutoff)
 
 
 def node_pairs(nodes, threshold=SIMILARITY_THRESHOLD):
-    """Every pair of nodes with a rounded score of ``threshold`` or more: ``i < j, score``.
+    """Every pair of written nodes with a rounded score of ``threshold`` or more: ``i < j, score``.
 
     No pair is dropped: the score is the best of three, and each join covers its own kind.
     """
+    # lengths below 2^31 make fewer than 60 bands
+    bands = nodes.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("w")).collect()
     cutoff = _cutoff(threshold)
-    nodes = write_through(nodes, "nodes")
-    size, words = nodes.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
-    pairs = _contained_pairs(nodes, words, cutoff)
-    aligned = _aligned_pairs(nodes, size, cutoff)
-    if aligned is not None:
-        pairs = pairs.union(aligned)
+    pairs = _contained_pairs(nodes, sum(b.w for b in bands), cutoff)
+    if bands:
+        pairs = pairs.union(_aligned_pairs(nodes, {b.band: b.n for b in bands}, cutoff))
     return pairs.groupBy("i", "j").agg(F.max("score").alias("score"))
 
 
@@ -199,35 +167,33 @@ def leaders(pairs, max_rounds=None):
     its neighbours are members, and edges of decided nodes drop out.
     """
     edges = write_through(pairs.select("i", "j"), "edges")
-    left, members, rounds = edges, None, 0
+    left, taken, rounds = edges, [], 0
     while not left.isEmpty():
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"clustering is not done after {max_rounds} rounds")
-        follows = left.select(F.col("j").alias("i")).distinct()
-        taken = write_through(
-            left.join(follows, "i", "left_anti").select(F.col("j").alias("node")).distinct(),
-            "members",
-        )
-        members = taken if members is None else members.union(taken)
-        gone = lambda end: taken.select(F.col("node").alias(end))
-        left = write_through(
-            left.join(gone("j"), "j", "left_anti").join(gone("i"), "i", "left_anti"), "undecided"
+        follows = left.select(F.col("j").alias("i")).distinct().withColumn("follows", F.lit(True))
+        seen = left.join(follows, "i", "left")
+        # a node with a leading neighbour is a member
+        members = seen.where("follows is null").select(F.col("j").alias("node")).distinct()
+        of = lambda end: members.select(F.col("node").alias(end), F.lit(True).alias(f"{end}_in"))
+        marked = write_through(
+            left.join(of("j"), "j", "left").join(of("i"), "i", "left"), "round"
         )
+        taken.append(marked.where("j_in").select(F.col("j").alias("i")))
+        left = marked.where("j_in is null and i_in is null").select("i", "j")
         rounds += 1
-    if members is None:
-        return edges.select(F.col("j").alias("node"), F.col("i").alias("leader")).where(F.lit(False))
-    # a neighbour that leads is one that is no member
-    by_leader = edges.join(members.withColumnRenamed("node", "i"), "i", "left_anti")
-    return (
-        by_leader.groupBy(F.col("j").alias("node")).agg(F.min("i").alias("leader"))
-    )
+    # a smaller neighbour that is no member leads
+    by_leader = edges
+    if taken:
+        by_leader = edges.join(reduce(lambda a, b: a.union(b), taken), "i", "left_anti")
+    return by_leader.groupBy(F.col("j").alias("node")).agg(F.min("i").alias("leader"))
 
 
 def fuzzy_clusters(rows, threshold=SIMILARITY_THRESHOLD):
     """``key, leader, size``: cluster of each word set. Rows without a word have none."""
-    nodes = write_through(title_nodes(rows), "nodes")
+    nodes = write_through(title_nodes(rows, threshold), "nodes")
     led = leaders(node_pairs(nodes, threshold))
-    placed = nodes.select("node", "key", "n").join(led, "node", "left").select(
+    placed = nodes.join(led, "node", "left").select(
         "key", "n", F.coalesce("leader", "node").alias("leader")
     )
     sizes = placed.groupBy("leader").agg(F.sum("n").alias("size"))
@@ -253,7 +219,7 @@ def similar_coverage(rows, threshold=SIMILARITY_THRESHOLD, max_rows=FUZZY_MAX_RO
         key, clusters = title_key(F.col("title")), exact_clusters(rows)
     else:
         key = F.array_join(token_set(F.col("title")), " ")
-        clusters = write_through(fuzzy_clusters(rows, threshold), "clusters")
+        clusters = fuzzy_clusters(rows, threshold)
     # a cluster of one needs no lookup
     shared = clusters.where(F.col("size") > 1).withColumnRenamed("key", "_key")
     found = attach(rows.withColumn("_key", key), shared, "_key", "n", total, "seq")
@@ -270,7 +236,7 @@ def similar_pairs(rows, threshold=SIMILARITY_THRESHOLD, max_rows=FUZZY_MAX_ROWS)
     (earliest title, other title) so that a frequent title costs one pair per distinct form.
     """
     if rows.count() <= max_rows:
-        return node_pairs(title_nodes(rows), threshold)
+        return node_pairs(write_through(title_nodes(rows, threshold), "nodes"), threshold)
     forms = rows.groupBy("title").agg(F.min("seq").alias("seq")).withColumn(
         "_key", title_key(F.col("title"))
     )
