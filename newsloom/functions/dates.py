@@ -26,52 +26,52 @@ _WEEKDAY = r"(?:[^\s,]*,\s*|(?:mon|tue|wed|thu|fri|sat|sun)\s+)?"
 _CLOCK = r"(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?,?(?:\s*([+-]\d+)|\s+(\S+))?(?:\s.*)?"
 _DAY_FIRST = rf"(?is)^\s*{_WEEKDAY}(\d{{1,2}})[\s-]+([a-z]+)[\s-]+(\d{{1,4}}),?\s+{_CLOCK}$"
 _MONTH_FIRST = rf"(?is)^\s*{_WEEKDAY}([a-z]+)\s+(\d{{1,2}}),?\s+(\d{{1,4}}),?\s+{_CLOCK}$"
-_MARK = "\u0001"
+_MARK = "\x01"
+# day, month, year, hour, minute, second, numeric zone, named zone
 _PARTS = 8
 
 
-def _lookup(pairs):
-    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+def _fields(text):
+    """The parts of a date text as an array - null when it does not look like a date."""
 
+    def marked(pattern, order):
+        return F.regexp_replace(text, pattern, _MARK.join(f"${i}" for i in order))
+
+    tail = range(3, _PARTS + 1)
+    first = marked(_DAY_FIRST, [1, 2, *tail])
+    found = F.when(first.contains(_MARK), first).otherwise(marked(_MONTH_FIRST, [2, 1, *tail]))
+    return F.when(~text.contains(_MARK) & found.contains(_MARK), F.split(found, _MARK))
+
+
+def _lookup(names, key):
+    pairs = ", ".join(f"'{name}', {value}" for name, value in names.items())
+    return f"map({pairs})[{key}]"
 
-def _fields(text):
-    """Day, month, year, hour, minute, second, numeric zone, named zone - or null."""
-    rest = _MARK.join(f"${i}" for i in range(4, _PARTS + 1))
-    marked = F.regexp_replace(text, _DAY_FIRST, _MARK.join(["$1", "$2", "$3", rest]))
-    marked = F.when(marked.contains(_MARK), marked).otherwise(
-        F.regexp_replace(text, _MONTH_FIRST, _MARK.join(["$2", "$1", "$3", rest]))
-    )
-    fields = F.split(marked, _MARK)
-    return F.when(~text.contains(_MARK) & (F.size(fields) == _PARTS), fields)
+
+def _number(i):
+    return f"try_cast(_fields[{i}] as int)"
+
+
+# "may" is its own full name, and a map keeps one entry per key
+_MONTH = _lookup(
+    {name: i for names in (_MONTHS, _FULL_MONTHS) for i, name in enumerate(names, 1)}, "lower(_fields[1])"
+)
+_YEAR = f"{_number(2)} + case when {_number(2)} > 99 then 0 when {_number(2)} > 68 then 1900 else 2000 end"
+# Spark would carry second 60 into the next minute
+_SECOND = f"case when _fields[5] = '' then 0 when {_number(5)} < 60 then {_number(5)} end"
+_LOCAL = f"""try_make_timestamp_ntz({_YEAR}, {_MONTH}, {_number(0)}, {_number(3)}, {_number(4)},
+    cast({_SECOND} as decimal(16, 6)))"""
+# hours and minutes of the zone; one that is missing or unknown counts as UTC
+_ZONE = f"coalesce({_number(6)}, {_lookup(_ZONES, 'upper(_fields[7])')}, {_number(7)}, 0)"
 
 
 def parse_published(df, text="published"):
     """Add ``published_local`` and ``published_at``; null where the text is not a date."""
-    months = [(m, i) for names in (_MONTHS, _FULL_MONTHS) for i, m in enumerate(names, 1)]
-    # "may" is its own full name, and a map keeps only one entry per key
-    month_of = _lookup(dict(months).items())
-    zone_of = _lookup(_ZONES.items())
-
-    f = F.col("_fields")
-    number = lambda i: F.try_element_at(f, F.lit(i)).try_cast("int")
-    year = number(3)
-    year = F.when(year > 99, year).when(year > 68, year + 1900).otherwise(year + 2000)
-    # Spark would carry second 60 into the next minute
-    second = F.when(F.try_element_at(f, F.lit(6)) == "", F.lit(0)).otherwise(number(6))
-    second = F.when(second < 60, second)
-    local = F.try_make_timestamp_ntz(
-        year, month_of[F.lower(F.try_element_at(f, F.lit(2)))], number(1),
-        number(4), number(5), second.cast("decimal(16,6)"),
-    )
-    # a missing, unknown or "-0000" zone counts as UTC
-    hhmm = F.coalesce(number(7), zone_of[F.upper(F.try_element_at(f, F.lit(8)))], number(8), F.lit(0))
-    size = F.abs(hhmm)
-    minutes = F.signum(hhmm).cast("int") * (F.floor(size / 100).cast("int") * 60 + size % 100)
-
     split_up = computed_once(df, _fields=_fields(F.col(text)))
-    parsed = computed_once(split_up, published_local=local, _offset=minutes)
-    at = F.timestamp_add("MINUTE", -F.col("_offset"), "published_local")
-    return parsed.withColumn("published_at", at).drop("_fields", "_offset")
+    parsed = computed_once(split_up, published_local=F.expr(_LOCAL), _zone=F.expr(_ZONE))
+    # "div" and "%" keep the sign: -330 is three hours and thirty minutes west
+    at = F.expr("timestampadd(MINUTE, -int(_zone div 100 * 60 + _zone % 100), published_local)")
+    return parsed.withColumn("published_at", at).drop("_fields", "_zone")
 
 
 def date_label(published, local):
@@ -91,7 +91,8 @@ def period_label(start, end):
 
 
 def duration_label(seconds):
-    return F.format_string("%.1fs", seconds)
+    # rounds halves to even on the exact value; format_string would round them up
+    return F.concat(F.call_function("format_number", seconds, F.lit("0.0")), F.lit("s"))
 
 
 def search_date(day):

@@ -1,5 +1,7 @@
 """Column functions on text: all of them stay inside the JVM."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from newsloom.schemas import LABEL_SEPARATOR
@@ -18,7 +20,7 @@ def strip(text):
 
 def split_on_space(text):
     """Non-empty words separated by white space."""
-    return F.filter(F.split(text, rf"(?U){_SPACE}+"), lambda word: word != "")
+    return F.array_remove(F.split(text, rf"(?U){_SPACE}+"), "")
 
 
 def text_or(text, default):
@@ -33,7 +35,7 @@ def split_terms(text):
 
 def clean_terms(terms):
     """Strip every term of an array and drop the blank ones."""
-    return F.filter(F.transform(terms, strip), lambda term: term != "")
+    return F.array_remove(F.transform(terms, strip), "")
 
 
 def title_key(title):
@@ -48,6 +50,11 @@ def phrase_text(text):
     return F.concat(F.lit(" "), words, F.lit(" "))
 
 
+def phrase_of(term):
+    """``phrase_text`` of a single string, for literals in a plan."""
+    return f" {re.sub('[^a-z0-9]+', ' ', term.lower()).strip()} "
+
+
 def ascii_words(text, least):
     """Runs of at least ``least`` ASCII letters, in lower case."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]{%d,}" % least), F.lit(0))

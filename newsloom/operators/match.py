@@ -1,10 +1,12 @@
 """Which entries mention a region and an industry within the date range."""
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.once import computed_once
-from newsloom.functions.text import clean_terms, phrase_text
+from newsloom.functions.text import phrase_of, phrase_text
 from newsloom.operators.terms import clean
 
 # Up to this many terms are tested within the scan; longer lists are joined.
@@ -25,22 +27,15 @@ def _as_phrases(spark, terms):
     return _phrases(spark.createDataFrame([(str(t),) for t in terms], "term string"))
 
 
-def _short_lists(spark, lists):
-    """Both lists of phrases as rows, or None when one is too long to be part of a plan."""
-    if any(isinstance(terms, DataFrame) for terms in lists):
-        found = [_as_phrases(spark, terms).take(INLINE_TERMS + 1) for terms in lists]
-    elif max(map(len, lists)) > INLINE_TERMS:
-        return None
+def _short_list(terms):
+    """``(phrase, term)`` pairs, or None when there are too many to be part of a plan."""
+    if isinstance(terms, DataFrame):
+        rows = _phrases(terms.select("term")).take(INLINE_TERMS + 1)
+        pairs = [(r.phrase, r.term) for r in rows]
     else:
-        given = [
-            F.array(*[F.lit(str(t)) for t in terms]).cast("array<string>") for terms in lists
-        ]
-        as_phrase = lambda t: F.struct(t.alias("term"), phrase_text(t).alias("phrase"))
-        made = [F.transform(F.array_distinct(clean_terms(terms)), as_phrase) for terms in given]
-        found = spark.range(1).select(
-            *[F.filter(phrases, lambda p: F.trim(p["phrase"]) != "") for phrases in made]
-        ).first()
-    return None if max(map(len, found)) > INLINE_TERMS else list(found)
+        cleaned = dict.fromkeys(str(t).strip() for t in terms)
+        pairs = [(phrase_of(t), t) for t in cleaned if phrase_of(t).strip()]
+    return None if len(pairs) > INLINE_TERMS else pairs
 
 
 def in_range(df, start, end, day="published_local"):
@@ -63,12 +58,13 @@ def _match_inline(entries, regions, industries):
         return entries.withColumns({"regions": nothing, "industries": nothing}).where(F.lit(False))
     padded = computed_once(entries, _text=phrase_text(F.col("title")))
 
-    def mentioned(phrases):
-        options = F.array(
-            *[F.struct(F.lit(p.phrase).alias("phrase"), F.lit(p.term).alias("term")) for p in phrases]
+    def mentioned(pairs):
+        # a constant, folded into the plan
+        options = F.from_json(
+            F.lit(json.dumps([{"phrase": phrase, "term": term} for phrase, term in pairs])),
+            "array<struct<phrase: string, term: string>>",
         )
-        hits = F.filter(options, lambda o: F.contains(F.col("_text"), o["phrase"]))
-        return F.transform(hits, lambda o: o["term"])
+        return F.filter(options, lambda option: F.contains("_text", option["phrase"]))["term"]
 
     # only the titles that mention a region are tested for industries
     some = computed_once(padded, regions=mentioned(regions)).where(F.size("regions") > 0)
@@ -116,8 +112,8 @@ def match_entries(entries, regions, industries, start, end):
     """
     spark = entries.sparkSession
     dated = in_range(entries, start, end)
-    short = _short_lists(spark, [regions, industries])
-    if short is not None:
+    short = [_short_list(regions), _short_list(industries)]
+    if None not in short:
         return _match_inline(dated, *short)
     return _match_joined(dated, _as_phrases(spark, regions), _as_phrases(spark, industries))
 

@@ -13,12 +13,9 @@ def merge_by_link(hits):
     rows shrinks to one row per task before the shuffle, and a set never outgrows the terms.
     """
     if "regions" in hits.columns:
-        nothing = F.lit(None).cast("string")
-        tags = F.concat(
-            F.transform("regions", lambda r: F.struct(r.alias("wilayah"), nothing.alias("usaha"))),
-            F.transform("industries", lambda i: F.struct(nothing.alias("wilayah"), i.alias("usaha"))),
-        )
-        hits = hits.select("link", *_FIRST, F.inline(tags))
+        hits = hits.selectExpr("link", *_FIRST, """inline(concat(
+            transform(regions, r -> struct(r as wilayah, cast(null as string) as usaha)),
+            transform(industries, i -> struct(cast(null as string) as wilayah, i as usaha))))""")
     merged = hits.groupBy("link").agg(
         F.min(F.struct(*_FIRST)).alias("_first"),
         F.sort_array(F.collect_set("wilayah")).alias("regions"),
