@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from newsloom.functions.dates import parse_published
-from newsloom.sources.feed import entries
+from newsloom.sources.feed import normalize
 
 REGIONS = ["the", "that", "der", "que", "les"]
 INDUSTRIES = ["and", "was", "attion", "of", "in", "die", "de"]
@@ -78,11 +78,11 @@ def raw_feed(spark, sf_dir):
 
 
 def page_entries(spark, sf_dir):
-    return entries(page_feed(spark, sf_dir))
+    return normalize(page_feed(spark, sf_dir))
 
 
 def document_entries(spark, sf_dir):
-    return entries(document_feed(spark, sf_dir))
+    return normalize(document_feed(spark, sf_dir))
 
 
 def resolution(spark, sf_dir):

@@ -31,16 +31,20 @@ _MARK = "\x01"
 _PARTS = 8
 
 
-def _fields(text):
-    """The parts of a date text as an array - null when it does not look like a date."""
+def _with_fields(df, text):
+    """Add the parts of a date text as an array - null when it does not look like a date."""
 
     def marked(pattern, order):
         return F.regexp_replace(text, pattern, _MARK.join(f"${i}" for i in order))
 
-    tail = range(3, _PARTS + 1)
-    first = marked(_DAY_FIRST, [1, 2, *tail])
-    found = F.when(first.contains(_MARK), first).otherwise(marked(_MONTH_FIRST, [2, 1, *tail]))
-    return F.when(~text.contains(_MARK) & found.contains(_MARK), F.split(found, _MARK))
+    # each step reads the result of the one before, and few texts need the second pattern
+    tail, found = range(3, _PARTS + 1), F.col("_marked")
+    df = computed_once(df, _marked=marked(_DAY_FIRST, [1, 2, *tail]))
+    df = computed_once(
+        df, _marked=F.when(found.contains(_MARK), found).otherwise(marked(_MONTH_FIRST, [2, 1, *tail]))
+    )
+    is_date = found.contains(_MARK) & ~F.col(text).contains(_MARK)
+    return computed_once(df, _fields=F.when(is_date, F.split(found, _MARK))).drop("_marked")
 
 
 def _lookup(names, key):
@@ -49,7 +53,8 @@ def _lookup(names, key):
 
 
 def _number(i):
-    return f"try_cast(_fields[{i}] as int)"
+    # a failed cast of an empty text is slow
+    return f"try_cast(nullif(_fields[{i}], '') as int)"
 
 
 # "may" is its own full name, and a map keeps one entry per key
@@ -67,8 +72,7 @@ _ZONE = f"coalesce({_number(6)}, {_lookup(_ZONES, 'upper(_fields[7])')}, {_numbe
 
 def parse_published(df, text="published"):
     """Add ``published_local`` and ``published_at``; null where the text is not a date."""
-    split_up = computed_once(df, _fields=_fields(F.col(text)))
-    parsed = computed_once(split_up, published_local=F.expr(_LOCAL), _zone=F.expr(_ZONE))
+    parsed = computed_once(_with_fields(df, text), published_local=F.expr(_LOCAL), _zone=F.expr(_ZONE))
     # "div" and "%" keep the sign: -330 is three hours and thirty minutes west
     at = F.expr("timestampadd(MINUTE, -int(_zone div 100 * 60 + _zone % 100), published_local)")
     return parsed.withColumn("published_at", at).drop("_fields", "_zone")

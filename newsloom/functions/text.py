@@ -6,21 +6,26 @@ from pyspark.sql import functions as F
 
 from newsloom.schemas import LABEL_SEPARATOR
 
-# Unicode white space, including the four separators U+001C..U+001F.
-_SPACE = r"[\s\x1c-\x1f]"
-_EDGES = rf"(?U)\A{_SPACE}+|{_SPACE}+\z"
-# Line boundaries of free text, and the comma.
-_TERM_BREAKS = r"[,\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+# White space of any script, as text, and the characters that end a line.
+_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def strip(text):
     """Remove leading and trailing white space of any script."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.trim(text, F.lit(_SPACES))
+
+
+def _plain_spaces(text):
+    return F.translate(text, _SPACES, " " * len(_SPACES))
 
 
 def split_on_space(text):
     """Non-empty words separated by white space."""
-    return F.array_remove(F.split(text, rf"(?U){_SPACE}+"), "")
+    return F.array_remove(F.split(_plain_spaces(text), " "), "")
 
 
 def text_or(text, default):
@@ -30,7 +35,7 @@ def text_or(text, default):
 
 def split_terms(text):
     """Terms of a free text, separated by commas or line breaks."""
-    return clean_terms(F.split(text, _TERM_BREAKS))
+    return clean_terms(F.split(F.translate(text, _LINE_ENDS, "," * len(_LINE_ENDS)), ","))
 
 
 def clean_terms(terms):
@@ -40,8 +45,9 @@ def clean_terms(terms):
 
 def title_key(title):
     """Exact-match key: lower case, ASCII letters and digits, single spaces."""
+    # (?U) gives white space its meaning in any script
     kept = F.regexp_replace(F.lower(title), r"(?U)[^a-z0-9\s\x1c-\x1f]", "")
-    return strip(F.regexp_replace(kept, rf"(?U){_SPACE}+", " "))
+    return strip(F.regexp_replace(kept, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def phrase_text(text):

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.dates import parse_published
 from newsloom.functions.once import computed_once
 from newsloom.functions.text import phrase_of, phrase_text
 from newsloom.operators.terms import clean
@@ -104,18 +105,25 @@ def _match_joined(entries, regions, industries):
     )
 
 
+def _mentioning(entries, regions, industries):
+    """Entries that mention a region and an industry, with both lists as arrays."""
+    short = [_short_list(regions), _short_list(industries)]
+    if None not in short:
+        return _match_inline(entries, *short)
+    spark = entries.sparkSession
+    return _match_joined(entries, _as_phrases(spark, regions), _as_phrases(spark, industries))
+
+
 def match_entries(entries, regions, industries, start, end):
-    """Entries that mention a region and an industry, with both lists as arrays.
+    """Dated entries in range that mention a region and an industry, with both as arrays.
 
     A short list becomes a literal, so matching is part of the scan and shuffles nothing.
-    Longer lists are joined on the word sequences of the titles.
+    Longer lists are joined on the word sequences of the titles. Entries with dates (a landed
+    feed) are cut to the range first; otherwise only the dates of matching entries are parsed.
     """
-    spark = entries.sparkSession
-    dated = in_range(entries, start, end)
-    short = [_short_list(regions), _short_list(industries)]
-    if None not in short:
-        return _match_inline(dated, *short)
-    return _match_joined(dated, _as_phrases(spark, regions), _as_phrases(spark, industries))
+    if "published_local" in entries.columns:
+        return _mentioning(in_range(entries, start, end), regions, industries)
+    return in_range(parse_published(_mentioning(entries, regions, industries)), start, end)
 
 
 def match_articles(entries, regions, industries, start, end):

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from newsloom.functions.lcs import lcs_length
+from newsloom.functions.once import computed_once
 from newsloom.functions.text import title_key
 from newsloom.functions.titles import (
     SIGNATURE,
@@ -41,7 +42,9 @@ def title_nodes(rows, threshold=SIMILARITY_THRESHOLD):
     ``node`` is the earliest seq, ``n`` the number of rows. Titles without a word are similar
     to nothing, not even each other, and have no node.
     """
-    keyed = rows.select("seq", F.array_join(token_set(F.col("title")), " ").alias("key"))
+    keyed = computed_once(
+        rows.select("seq", "title"), key=F.array_join(token_set(F.col("title")), " ")
+    )
     nodes = keyed.where(F.col("key") != "").groupBy("key").agg(
         F.min("seq").alias("node"), F.count("*").alias("n")
     )
@@ -202,7 +205,8 @@ def fuzzy_clusters(rows, threshold=SIMILARITY_THRESHOLD):
 
 def exact_clusters(rows):
     """``key, leader, size``: rows whose titles are equal up to case and punctuation."""
-    return rows.groupBy(title_key(F.col("title")).alias("key")).agg(
+    keyed = computed_once(rows.select("seq", "title"), key=title_key(F.col("title")))
+    return keyed.groupBy("key").agg(
         F.count("*").alias("n"), F.min("seq").alias("leader"), F.count("*").alias("size")
     )
 
@@ -222,7 +226,7 @@ def similar_coverage(rows, threshold=SIMILARITY_THRESHOLD, max_rows=FUZZY_MAX_RO
         clusters = fuzzy_clusters(rows, threshold)
     # a cluster of one needs no lookup
     shared = clusters.where(F.col("size") > 1).withColumnRenamed("key", "_key")
-    found = attach(rows.withColumn("_key", key), shared, "_key", "n", total, "seq")
+    found = attach(computed_once(rows, _key=key), shared, "_key", "n", total, "seq")
     return found.withColumns({
         "leader": F.coalesce("leader", "seq"),
         "similar": F.coalesce(F.col("size") - 1, F.lit(0)).cast("int"),

@@ -9,7 +9,7 @@ SMALL_ROWS = 1_000_000
 
 
 def attach(rows, lookup, key, weight, total, spread_by):
-    """Left join ``lookup`` (unique on ``key``) onto ``rows`` without a hot partition.
+    """Left join ``lookup`` (unique on the string ``key``) onto ``rows`` without a hot partition.
 
     ``weight`` is the column of ``lookup`` that counts the rows of a key and ``total`` the sum
     over all keys, so at most ``HOT_SHARE`` rows of ``lookup`` are hot; those are broadcast.
@@ -24,17 +24,14 @@ def attach(rows, lookup, key, weight, total, spread_by):
         F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot")
     )
     cold = lookup.where(~is_hot).select(
-        F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_spread"), F.struct(*values).alias("_cold")
+        F.col(key).alias("_cold_key"), F.struct(*values).alias("_cold")
     )
-    spread = F.when(F.col("_hot").isNotNull(), F.xxhash64(spread_by)).otherwise(F.lit(0))
+    # part of the key itself: a constant on the other side would be folded out of the join
+    spread = F.concat(F.col(key), F.lit("\x00"), F.xxhash64(spread_by).cast("string"))
     joined = (
         rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-        .withColumn("_spread", spread)
-        .join(
-            cold,
-            (F.col(key) == F.col("_cold_key")) & (F.col("_spread") == F.col("_cold_spread")),
-            "left",
-        )
+        .withColumn("_spread_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread))
+        .join(cold, F.col("_spread_key") == F.col("_cold_key"), "left")
     )
     found = F.coalesce("_hot", "_cold")
     return joined.withColumns({v: found[v] for v in values}).select(*rows.columns, *values)
