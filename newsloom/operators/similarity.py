@@ -27,10 +27,6 @@ from newsloom.workspace import write_through
 _TILE_LEAST, _TILE_MOST = 256, 4096
 
 
-def _partitions(df):
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _cutoff(threshold):
     # scores are rounded to whole numbers before they are compared
     return threshold - 0.5
@@ -77,7 +73,7 @@ def _contained_pairs(nodes, words, cutoff):
         .selectExpr("a", "ta", "la", "lead", "explode(lead) as token")
     )
     outer = nodes.selectExpr("node as b", "tokens as tb", "explode(tokens) as token")
-    met = inner.repartition(_partitions(nodes), "token").join(outer, "token").where(
+    met = inner.join(outer, "token").where(
         "a <> b and token = try_element_at(array_intersect(lead, tb), 1)"
     )
     scored = met.withColumn("shared", joined_length(F.array_intersect("ta", "tb")))
@@ -124,8 +120,11 @@ def _aligned_pairs(nodes, bands, cutoff):
     Only the survivors reach the Arrow UDF, which compares the words that differ.
     """
     tile = min(_TILE_MOST, max(_TILE_LEAST, sum(bands.values()) // 64))
-    left, right = _tiles(nodes, {band: -(-count // tile) for band, count in bands.items()})
-    count = _partitions(nodes)
+    blocks = {band: -(-count // tile) for band, count in bands.items()}
+    left, right = _tiles(nodes, blocks)
+    # tiles are few bytes but much work, so their partitions must not be coalesced by size
+    tiles = sum(n * (n + 1) // 2 + n * blocks.get(band + 1, 0) for band, n in blocks.items())
+    count = min(tiles, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     room = f"{1 - cutoff / 100}D * (a.len + b.len) + 1e-9D"
     met = left.repartition(count, "tile").alias("a").join(
         right.repartition(count, "tile").alias("b"),
