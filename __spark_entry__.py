@@ -30,6 +30,13 @@ from newsloom.sources import feed, reference  # noqa: E402
 from newsloom.workspace import new_path  # noqa: E402
 from oracle import ORACLE  # noqa: E402
 
+try:
+    from newsloom.llm import queries as llm
+except ModuleNotFoundError as absent:
+    if absent.name not in ("newsloom.llm", "corpus_pipeline"):
+        raise
+    llm = None
+
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
 
@@ -367,8 +374,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "export_public": export_public,
         "run_log_recent": run_log_recent,
         "run_snapshot_load": run_snapshot_load,
+        **(llm.QUERIES if llm else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: ORACLE[name] for name in queries() if name in ORACLE}
+    known = ORACLE | (llm.ORACLE if llm else {})
+    return {name: known[name] for name in queries() if known.get(name)}
