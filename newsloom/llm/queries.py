@@ -1,17 +1,36 @@
 """The registered queries of the operators of this subpackage, at their production parameters."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from newsloom.llm import packing, tokenfile
+from newsloom.llm import packing, simhash, tokenfile, toxicity
 from newsloom.llm.tables import table
 from newsloom.workspace import new_path
 
 
+def _remainder(n):
+    """crc32 of the document's id as text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op4_simhash_covering(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark, sf_dir):
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = _remainder(3) == 1
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op10_token_binary(spark, sf_dir):
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     path = new_path(spark, "tokens")
@@ -20,7 +39,9 @@ def op10_token_binary(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_simhash_covering": op4_simhash_covering,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_token_binary": op10_token_binary,
 }
 
