@@ -3,9 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from newsloom.llm import packing, simhash, tokenfile, toxicity
+from newsloom.llm import packing, quality, simhash, tokenfile, toxicity
 from newsloom.llm.tables import table
-from newsloom.workspace import new_path
+from newsloom.workspace import new_path, write_through
 
 
 def _remainder(n):
@@ -22,6 +22,15 @@ def op6_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op8_quality(spark, sf_dir):
+    held_out = _remainder(4) == 2
+    stats = write_through(quality.with_statistics(table(spark, sf_dir, "documents")), "statistics")
+    model = quality.train(stats, table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score(stats, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = _remainder(3) == 1
@@ -41,6 +50,7 @@ def op10_token_binary(spark, sf_dir):
 QUERIES = {
     "op4_simhash_covering": op4_simhash_covering,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_token_binary": op10_token_binary,
 }
