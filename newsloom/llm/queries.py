@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from newsloom.llm import packing, quality, simhash, tokenfile, toxicity
+from newsloom.llm import decontaminate, licenses, packing, quality, simhash, tokenfile, toxicity
 from newsloom.llm.tables import table
 from newsloom.workspace import new_path, write_through
 
@@ -13,6 +13,10 @@ def _remainder(n):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op3_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash_covering(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op6_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op7_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark, sf_dir):
     held_out = _remainder(4) == 2
     stats = write_through(quality.with_statistics(table(spark, sf_dir, "documents")), "statistics")
@@ -48,8 +56,10 @@ def op10_token_binary(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
     "op4_simhash_covering": op4_simhash_covering,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_license_scan": op7_license_scan,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_token_binary": op10_token_binary,
