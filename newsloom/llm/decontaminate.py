@@ -26,6 +26,8 @@ TABLES = 12
 SAMPLED = 3
 STRETCH = 3
 SEED = 11
+#: Windows walked at once.
+WINDOWS = 2048
 #: Items searched for in one pass over the documents; more are searched in further passes.
 ITEMS = 10_000
 
@@ -40,26 +42,29 @@ def walk_keys(hashes, starts, sizes, seed=SEED):
 
     ``starts`` may lie outside the sequence; places outside hold no word (0).
     """
-    padded = np.concatenate([hashes, np.zeros(1, np.uint64)])
+    if len(starts) > WINDOWS:
+        halves = np.array_split(np.arange(len(starts)), -(-len(starts) // WINDOWS))
+        return np.vstack([walk_keys(hashes, starts[h], sizes[h], seed) for h in halves])
     n = len(hashes)
+    padded = np.concatenate([hashes, np.zeros(1, np.uint64)])
+    # samples at shares of a walk's length, the same for windows of all sizes
+    shares = np.sort(np.random.default_rng(seed).uniform(0, 1, (TABLES, SAMPLED)))
+    sampled = (shares * (sizes * STRETCH)[:, None, None]).astype(np.int64)
+    steps = int(sampled.max()) + 1
+    walk = np.arange(TABLES, dtype=np.uint64) << np.uint64(32)
+    copied = np.empty((len(starts), TABLES, steps), np.uint64)
+    at = np.zeros((len(starts), TABLES), np.int64)
+    low = np.maximum(0, -starts)[:, None]
+    high = np.minimum(sizes, n - starts)[:, None]
+    for step in range(steps):
+        word = padded[np.where((at >= low) & (at < high), starts[:, None] + at, n)]
+        copied[:, :, step] = word
+        coin = (word ^ (walk + np.uint64(step + 1))) * np.uint64(0x9E3779B97F4A7C15)
+        at += ((coin ^ (coin >> np.uint64(29))) >> np.uint64(17) & np.uint64(1)).astype(np.int64)
+    symbols = np.take_along_axis(copied, sampled, axis=2)
     keys = np.zeros((len(starts), TABLES), np.uint64)
-    longest = int(sizes.max()) * STRETCH
-    for t in range(TABLES):
-        # three steps of each walk, at shares of its length, so that windows of all sizes share them
-        shares = np.sort(np.random.default_rng([seed, t]).uniform(0, 1, SAMPLED))
-        sampled = (shares * (sizes * STRETCH)[:, None]).astype(np.int64)
-        at = np.zeros(len(starts), np.int64)
-        last = sampled[:, -1].max() + 1
-        for step in range(min(longest, int(last))):
-            place = starts + at
-            inside = (at < sizes) & (place >= 0) & (place < n)
-            word = padded[np.where(inside, place, n)]
-            took = mix(word + np.uint64(((seed * 64 + t) << 20) + step + 1))
-            for k in range(SAMPLED):
-                here = sampled[:, k] == step
-                if here.any():
-                    keys[here, t] = mix(keys[here, t] * np.uint64(31) + word[here] + np.uint64(k + 1))
-            at += (took >> np.uint64(63)).astype(np.int64)
+    for k in range(SAMPLED):
+        keys = mix(keys * np.uint64(31) + symbols[:, :, k] + np.uint64(k + 1))
     return keys
 
 
