@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, licenses, packing, quality, simhash, tokenfile, toxicity
+from newsloom.llm import decontaminate, licenses, packing, quality, repeats, simhash, tokenfile, toxicity
 from newsloom.llm.tables import table
 from newsloom.workspace import new_path, write_through
 
@@ -13,6 +13,16 @@ def _remainder(n):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return repeats.remove(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_decontamination(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +66,7 @@ def op10_token_binary(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_simhash_covering": op4_simhash_covering,
     "op6_best_fit_packing": op6_best_fit_packing,
