@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, licenses, packing, quality, repeats, simhash, tokenfile, toxicity
+from newsloom.llm import decontaminate, hnsw, htmltext, licenses, packing, quality, repeats, simhash, tokenfile, toxicity
 from newsloom.llm.tables import table
 from newsloom.workspace import new_path, write_through
 
@@ -13,6 +13,10 @@ def _remainder(n):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op1_hnsw(spark, sf_dir):
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op2_suffix_dedup(spark, sf_dir):
     return repeats.remove(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -31,6 +35,10 @@ def op4_simhash_covering(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark, sf_dir):
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark, sf_dir):
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary)
@@ -66,9 +74,11 @@ def op10_token_binary(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_hnsw": op1_hnsw,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_simhash_covering": op4_simhash_covering,
+    "op5_html_text": op5_html_text,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_license_scan": op7_license_scan,
     "op8_quality": op8_quality,
