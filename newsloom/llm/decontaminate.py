@@ -158,6 +158,8 @@ class Items:
     def leaks(self, hashes):
         """``(item, distance, first word, end word)`` of each item found."""
         out = []
+        if not len(hashes):
+            return out
         for k, starts in self.supported(hashes).items():
             n, d = self.sizes[k], self.edits[k]
             keys = walk_keys(hashes, starts, np.full(len(starts), n))
@@ -183,7 +185,7 @@ def _search(docs, items):
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 starts, ends, hashes = words(text)
-                for k, distance, a, b in items.leaks(hashes) if len(hashes) else ():
+                for k, distance, a, b in items.leaks(hashes):
                     span = (int(starts[a]), int(ends[b - 1])) if b > a else (0, 0)
                     n = items.sizes[k]
                     rows.append(
@@ -198,28 +200,49 @@ def _search(docs, items):
     return docs.mapInArrow(of_batches, SCHEMA)
 
 
-def leaks(docs, benchmark):
-    """One row per document and item it holds: the nearest passage and its edit distance in words.
-
-    Items and documents without words match nothing; equal rows are reported each. Items are
-    searched for in passes of ``ITEMS``, so what a task holds does not grow with the benchmark.
-    """
-    spark = docs.sparkSession
-    docs = documents(docs)
+def _passes(benchmark):
+    """The items in blocks of about ``ITEMS``, prepared; equal ids stay in one block."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(
         "item_id is not null and text is not null"
     )
-    found, after = None, None
+    after = None
     while True:
         block = items if after is None else items.where(F.col("item_id") > after)
         rows = block.orderBy("item_id").limit(ITEMS).collect()
-        if rows and len(rows) == ITEMS:
-            # equal ids stay in one pass
+        full = len(rows) == ITEMS
+        if full:
             rows = block.where(F.col("item_id") <= rows[-1][0]).collect()
-        if not rows and found is not None:
-            return found
-        here = _search(docs, Items([tuple(r) for r in rows]))
-        found = here if found is None else found.unionByName(here)
-        if len(rows) < ITEMS:
-            return found
-        after = max(r[0] for r in rows)
+        if rows:
+            yield Items([tuple(r) for r in rows])
+            after = rows[-1][0]
+        if not full:
+            return
+
+
+def leaks(docs, benchmark):
+    """One row per document and item it holds: the nearest passage and its edit distance in words.
+
+    Items and documents without words match nothing; equal rows are reported each. Items are
+    searched for in passes of ``ITEMS``, so what a task holds does not grow with the benchmark.
+    """
+    found = docs.sparkSession.createDataFrame([], SCHEMA)
+    for items in _passes(benchmark):
+        found = found.unionByName(_search(documents(docs), items))
+    return found
+
+
+def keep(docs, benchmark):
+    """The rows of ``docs``, all columns, whose text holds no item."""
+    at = docs.columns.index("text")
+
+    def without(items):
+        def of_batches(batches):
+            for batch in batches:
+                texts = batch.column(at).to_pylist()
+                yield batch.filter(pa.array([not items.leaks(words(t or "")[2]) for t in texts], pa.bool_()))
+
+        return of_batches
+
+    for items in _passes(benchmark):
+        docs = docs.mapInArrow(without(items), docs.schema)
+    return docs

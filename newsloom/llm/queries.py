@@ -1,5 +1,6 @@
 """The registered queries of the operators of this subpackage, at their production parameters."""
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -84,6 +85,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_token_binary": op10_token_binary,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLE = {}
+# None of these can be written in SQL; tests/llm compares them with brute force.
+ORACLE = {"pipeline": corpus_pipeline.ORACLE_SQL}

@@ -305,6 +305,14 @@ def _merge_spans(found):
     return out
 
 
+def _cut(text, found):
+    """Bytes, merged spans and kept bytes of a text."""
+    raw = text.encode("utf-8", "surrogatepass")
+    merged = _merge_spans(found)
+    edges = [0, *(x for s in merged for x in s), len(raw)]
+    return raw, merged, b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
 def remove(docs, length=LENGTH, hot=HOT):
     """Every document without its repeated bytes.
 
@@ -318,10 +326,7 @@ def remove(docs, length=LENGTH, hot=HOT):
         for batch in batches:
             rows = []
             for doc_id, text, own in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "spans"))):
-                raw = text.encode("utf-8", "surrogatepass")
-                merged = _merge_spans(own)
-                edges = [0, *(x for s in merged for x in s), len(raw)]
-                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                raw, merged, kept = _cut(text, own)
                 rows.append((doc_id, len(raw), len(raw) - len(kept), merged, kept))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -331,3 +336,37 @@ def remove(docs, length=LENGTH, hot=HOT):
 
     joined = _keyed(docs).join(found, ["doc_id", "_text"], "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(cut, schema)
+
+
+def clean(docs, length=LENGTH, hot=HOT):
+    """The rows of ``docs``, all columns, with repeated bytes cut out of ``text``; ``n_chars``,
+    where there is such a column, is counted anew.
+
+    A character that loses some of its bytes goes. A text of which nothing but white space is
+    left goes with its row; other rows stay, empty texts and rows without id as they are.
+    """
+    found = spans(docs, length, hot).toDF("_doc", "_key", "_spans")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    same = (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64(text) == F.col("_key"))
+    joined = docs.join(found, same, "left").select(*docs.columns, "_spans")
+    at = docs.columns.index("text")
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def cut(batches):
+        for batch in batches:
+            texts, fine = batch.column(at).to_pylist(), []
+            counts = batch.column(chars).to_pylist() if chars is not None else None
+            for k, own in enumerate(batch.column(len(batch.schema) - 1).to_pylist()):
+                if own:
+                    texts[k] = _cut(texts[k], own)[2].decode("utf-8", "ignore")
+                    if counts:
+                        counts[k] = len(texts[k])
+                fine.append(not own or bool(texts[k].strip()))
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(texts, batch.schema[at].type)
+            if counts:
+                columns[chars] = pa.array(counts, batch.schema[chars].type)
+            out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            yield out.filter(pa.array(fine, pa.bool_()))
+
+    return joined.mapInArrow(cut, docs.schema)

@@ -158,3 +158,15 @@ def near_duplicates(docs, shingle=SHINGLE, seed=SEED):
     return attach(rows, named, "fingerprint", "n", total, F.col("doc_id")).select(
         "doc_id", "fingerprint", "component_id"
     )
+
+
+def keep_first(docs, shingle=SHINGLE, seed=SEED):
+    """The rows of ``docs``, all columns, that come first (smallest ``doc_id``) in their component.
+
+    Ids are taken to be unique: of rows with equal id and text one stays; rows without id go.
+    """
+    near = near_duplicates(docs, shingle, seed)
+    first = near.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    kept = docs.join(first, F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

@@ -247,3 +247,18 @@ def score(docs, model):
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out)], ["doc_id", "score"])
 
     return scored.mapInArrow(calibrated, "doc_id long, score double")
+
+
+def keep(docs, model, threshold):
+    """The rows of ``docs``, all columns, whose text scores below ``threshold``."""
+    lexicon, knots = model
+    at = docs.columns.index("text")
+
+    def of_batches(batches):
+        grammar = Grammar(lexicon)
+        for batch in batches:
+            raw = [math.log1p(grammar.score(t or "")) for t in batch.column(at).to_pylist()]
+            fine = apply_isotonic(np.array(raw), knots) < threshold
+            yield batch.filter(pa.array(fine))
+
+    return docs.mapInArrow(of_batches, docs.schema)
