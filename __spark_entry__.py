@@ -32,7 +32,7 @@ from oracle import ORACLE  # noqa: E402
 
 try:
     from newsloom.llm import queries as llm
-except ModuleNotFoundError as absent:
+except ImportError as absent:
     if absent.name not in ("newsloom.llm", "corpus_pipeline"):
         raise
     llm = None
