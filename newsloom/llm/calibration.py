@@ -19,18 +19,20 @@ def fit_isotonic(scored, steps=STEPS):
     width = (high - low) / steps or 1.0
     step = F.least(F.floor((F.col("raw") - low) / width), F.lit(steps - 1))
     rows = scored.groupBy(step.alias("step")).agg(
-        F.avg("raw").alias("x"), F.count("*").alias("n"), F.sum("label").alias("ones")
-    )
-    pools = []  # [sum of x, rows, ones]
+        F.min("raw").alias("low"), F.max("raw").alias("high"),
+        F.count("*").alias("n"), F.sum("label").alias("ones"),
+    )
+    pools = []  # [least raw, greatest raw, rows, ones]
     for r in sorted(rows.collect()):
-        pools.append([r["x"] * r["n"], r["n"], float(r["ones"])])
-        while len(pools) > 1 and pools[-2][2] * pools[-1][1] >= pools[-1][2] * pools[-2][1]:
-            top = pools.pop()
-            pools[-1] = [p + q for p, q in zip(pools[-1], top)]
-    x = np.array([p[0] / p[1] for p in pools])
+        pools.append([r["low"], r["high"], r["n"], float(r["ones"])])
+        while len(pools) > 1 and pools[-2][3] * pools[-1][2] >= pools[-1][3] * pools[-2][2]:
+            _, high, n, ones = pools.pop()
+            pools[-1][1:] = [high, pools[-1][2] + n, pools[-1][3] + ones]
+    # a rate holds over its whole pool
+    x = np.array([v for p in pools for v in p[:2]])
     # half a case on either side keeps a small pool from certainty
-    y = np.maximum.accumulate(np.array([(p[2] + 0.5) / (p[1] + 1.0) for p in pools]))
-    return x, y
+    y = np.array([(p[3] + 0.5) / (p[2] + 1.0) for p in pools for _ in range(2)])
+    return x, np.maximum.accumulate(y)
 
 
 def apply_isotonic(raw, knots):

@@ -24,9 +24,9 @@ NEAREST = 20
 SHARD = 8_192
 QUERIES = 20_000
 #: Links of a node, candidates while building and while searching.
-LINKS = 24
+LINKS = 32
 BUILD_WIDTH = 96
-SEARCH_WIDTH = 128
+SEARCH_WIDTH = 192
 #: Candidates of a query expanded together; queries searched together.
 EXPANDED = 4
 TOGETHER = 256
