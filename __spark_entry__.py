@@ -6,6 +6,7 @@ the same results in DuckDB SQL over the same tables.
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import sys
 from collections.abc import Callable
@@ -23,11 +24,11 @@ from newsloom.operators.match import match_articles  # noqa: E402
 from newsloom.operators.merge import merge_by_link  # noqa: E402
 from newsloom.operators.similarity import similar_coverage, similar_pairs  # noqa: E402
 from newsloom.plans import report as plans  # noqa: E402
-from newsloom.schemas import REPORT  # noqa: E402
+from newsloom.schemas import REPORT, SORT_COLUMN  # noqa: E402
 from newsloom.sinks import export  # noqa: E402
 from newsloom.sinks.runs import RunLog, run_records  # noqa: E402
 from newsloom.sources import feed, reference  # noqa: E402
-from newsloom.workspace import new_path  # noqa: E402
+from newsloom.workspace import new_path, write_through  # noqa: E402
 from oracle import ORACLE  # noqa: E402
 
 try:
@@ -212,12 +213,21 @@ def similar_pages(spark, sf_dir):
 
 
 def similar_pages_exact_key(spark, sf_dir):
-    return similar_coverage(_titles(spark, sf_dir), max_rows=0).select("seq", "leader", "similar")
+    return similar_coverage(_titles(spark, sf_dir), method="exact").select("seq", "leader", "similar")
 
 
 def similar_documents_exact_key(spark, sf_dir):
     titles = fx.document_feed(spark, sf_dir).select("seq", "title")
-    return similar_coverage(titles, max_rows=0).select("seq", "leader", "similar")
+    return similar_coverage(titles, method="exact").select("seq", "leader", "similar")
+
+
+def title_pairs_exact(spark, sf_dir):
+    return similar_pairs(_titles(spark, sf_dir), method="exact")
+
+
+def similar_events(spark, sf_dir):
+    """Compared titles of many rows."""
+    return similar_coverage(fx.event_titles(spark, sf_dir)).select("seq", "similar")
 
 
 # ---- report and analyses -----------------------------------------------------------
@@ -234,7 +244,7 @@ def build_report(spark, sf_dir):
 def build_report_documents(spark, sf_dir):
     """Long titles in any number: coverage by the exact key."""
     return plans.build_report(
-        fx.document_entries(spark, sf_dir), fx.REGIONS, fx.INDUSTRIES, fx.START, fx.END, max_rows=0
+        fx.document_entries(spark, sf_dir), fx.REGIONS, fx.INDUSTRIES, fx.START, fx.END, method="exact"
     )
 
 
@@ -242,6 +252,19 @@ def report_page(spark, sf_dir):
     return plans.page(_covered(spark, sf_dir), 1).select("seq", *[f"`{c}`" for c in REPORT.names])
 
 
+def report_page_after(spark, sf_dir):
+    """The second page, found from the last row of the first one."""
+    report = write_through(_covered(spark, sf_dir), "covered")
+    last = plans.page(report, 0).select(SORT_COLUMN, "seq").collect()[-1]
+    return plans.page_after(report, *last).select("seq", *[f"`{c}`" for c in REPORT.names])
+
+
+def blank_terms_report(spark, sf_dir):
+    """Terms of a given table that are blank once they are stripped: no article, the full schema."""
+    blank = fx.table(spark, sf_dir, "region").select(F.translate("r_name", "ABCDEFGHIJKLMNOPQRSTUVWXYZ ", "").alias("term"))
+    return plans.build_report(fx.page_entries(spark, sf_dir), blank, fx.INDUSTRIES, fx.START, fx.END)
+
+
 def wide_coverage_count(spark, sf_dir):
     return metrics.wide_coverage(_covered(spark, sf_dir))
 
@@ -284,12 +307,33 @@ def kpi_summary(spark, sf_dir):
 
 def export_public(spark, sf_dir):
     path = new_path(spark, "export")
-    report = _covered(spark, sf_dir)
+    report = build_report(spark, sf_dir)
     export.write_csv(report, path)
     schema = export.public(report).schema
     return export.read_csv(spark, path, schema)
 
 
+def export_table(spark, sf_dir):
+    path = new_path(spark, "export")
+    export.write_table(build_report(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+def land_range(spark, sf_dir):
+    """Ten days of a feed landed by day; undated entries stay in."""
+    path = new_path(spark, "landed")
+    feed.land(fx.page_feed(spark, sf_dir), path, files_per_day=2)
+    return feed.read_landed(spark, path, dt.date(2024, 1, 10), dt.date(2024, 1, 20))
+
+
+def nested_source(spark, sf_dir):
+    """Entries whose source is an object with a title, as feeds deliver it; some have none."""
+    path = new_path(spark, "landed")
+    named = F.when(F.col("seq") % 3 != 0, F.struct(F.col("source").alias("title")))
+    fx.page_feed(spark, sf_dir).withColumn("source", named).write.json(path)
+    return feed.normalize(feed.read_feed(spark, path)).select("seq", "source")
+
+
 def _runs(spark, sf_dir):
     """One run per day of events: its event types as terms, its span as period."""
     day = F.to_date("ts")
@@ -324,9 +368,19 @@ def run_log_recent(spark, sf_dir):
 
 def run_snapshot_load(spark, sf_dir):
     log = RunLog(spark, new_path(spark, "runs"))
-    log.save_snapshot("first", build_report(spark, sf_dir))
-    log.save_snapshot("second", build_report_documents(spark, sf_dir))
-    return log.load_snapshot("first")
+    log.save_snapshot("first", _covered(spark, sf_dir))
+    log.save_snapshot("second", plans.labelled(_articles(spark, sf_dir), F.lit(0).alias("Liputan Serupa")))
+    return plans.newest_first(log.load_snapshot("first"))
+
+
+def run_log_cleared(spark, sf_dir):
+    """Runs logged, forgotten, and the newest one logged again."""
+    log = RunLog(spark, new_path(spark, "runs"))
+    records = run_records(_runs(spark, sf_dir))
+    log.append(records)
+    log.clear()
+    log.append(records.orderBy(F.desc("run_id")).limit(1))
+    return log.recent().select("run_id", "jumlah")
 
 
 # ---------------------------------------------------------------------------------------
@@ -356,13 +410,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "resolve_urls": resolve_urls,
         "resolve_urls_off": resolve_urls_off,
         "title_pairs": title_pairs,
+        "title_pairs_exact": title_pairs_exact,
         "title_clusters": title_clusters,
+        "similar_coverage_events": similar_events,
         "similar_coverage": similar_pages,
         "similar_coverage_exact_key": similar_pages_exact_key,
         "similar_coverage_exact_key_documents": similar_documents_exact_key,
         "build_report": build_report,
         "build_report_documents": build_report_documents,
         "report_page": report_page,
+        "report_page_after": report_page_after,
+        "blank_terms_report": blank_terms_report,
         "wide_coverage_count": wide_coverage_count,
         "explode_counts_source": explode_counts_source,
         "explode_counts_region": explode_counts_region,
@@ -372,7 +430,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "daily_trend": daily_trend,
         "kpi_summary": kpi_summary,
         "export_public": export_public,
+        "export_table": export_table,
+        "land_range": land_range,
+        "nested_source": nested_source,
         "run_log_recent": run_log_recent,
+        "run_log_cleared": run_log_cleared,
         "run_snapshot_load": run_snapshot_load,
         **(llm.QUERIES if llm else {}),
     }

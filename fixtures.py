@@ -53,11 +53,18 @@ def page_feed(spark, sf_dir):
     )
 
 
+# Lines of a document are numbered below this.
+LINES = 10_000_000
+
+
 def document_feed(spark, sf_dir):
-    """One entry per document, titled by its first line; many entries share a link."""
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("seq"),
-        F.regexp_extract("text", "^([^\\n]*)", 1).alias("title"),
+    """One entry per line of each document; many entries share a link."""
+    lines = table(spark, sf_dir, "documents").select(
+        "doc_id", "n_chars", "source", F.posexplode(F.split("text", "\n")).alias("line", "title")
+    )
+    return lines.select(
+        (F.col("doc_id") * LINES + F.col("line")).alias("seq"),
+        "title",
         _published(F.col("doc_id")).alias("published"),
         F.concat(
             F.lit("https://"), "source", F.lit(".example.org/"), (F.col("n_chars") % 97).cast("string")
@@ -66,6 +73,16 @@ def document_feed(spark, sf_dir):
     )
 
 
+def event_titles(spark, sf_dir):
+    """One entry per event, titled by a page: many rows, few titles."""
+    pages = page_feed(spark, sf_dir).select(F.col("seq").alias("page"), "title")
+    count = pages.count()
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), (F.col("event_id") % count).alias("page")
+    )
+    return events.join(pages, "page").select("seq", "title")
+
+
 def raw_feed(spark, sf_dir):
     """The page feed with missing and empty fields."""
     seq = F.col("seq")
@@ -108,10 +125,14 @@ def event_dates(spark, sf_dir):
         spell("dd-MMM-yyyy HH:mm:ss", " PDT"),
         spell("EEE dd MMMM yyyy HH:mm:ss", " Z"),
         spell("yyyy-MM-dd HH:mm:ss", ""),
+        spell("EEE, dd MMM yyyy HH.mm.ss", " GMT"),
+        spell("dd MMM yyyy HH.mm.ss", ""),
+        spell("EEE MMM dd HH:mm:ss yyyy", ""),
+        spell("EEE MMM dd HH:mm:ss yyyy", " +0700"),
     ]
     text = F.lit("")
     for i, spelling in enumerate(spellings):
-        text = F.when(key % 9 == i, spelling).otherwise(text)
+        text = F.when(key % 13 == i, spelling).otherwise(text)
     return table(spark, sf_dir, "events").select("event_id", text.alias("published"))
 
 

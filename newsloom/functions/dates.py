@@ -21,28 +21,39 @@ _ZONES = {
 }
 # -------------------------------------------------------------------------------
 
-# [weekday,] day month year hour:minute[:second] [zone]; day and month may be swapped.
+# [weekday,] day month year hour:minute[:second] [zone]; day and month may be swapped, the
+# clock may have dots, and a clock with colons may stand before the year.
 _WEEKDAY = r"(?:[^\s,]*,\s*|(?:mon|tue|wed|thu|fri|sat|sun)\s+)?"
-_CLOCK = r"(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?,?(?:\s*([+-]\d+)|\s+(\S+))?(?:\s.*)?"
+_CLOCK = r"(\d{1,2})([:.])(\d{1,2})(?:\5(\d{1,2}))?,?(?:\s*([+-]\d+)|\s+(\S+))?(?:\s.*)?"
+_YEAR_LAST = (
+    r"(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?,?\s+"
+    r"(?:([^\d\s]\S*)\s+(\d{1,4}),?|(\d{1,4}),?(?:\s*([+-]\d+)|\s+(\S+))?)(?:\s.*)?"
+)
 _DAY_FIRST = rf"(?is)^\s*{_WEEKDAY}(\d{{1,2}})[\s-]+([a-z]+)[\s-]+(\d{{1,4}}),?\s+{_CLOCK}$"
 _MONTH_FIRST = rf"(?is)^\s*{_WEEKDAY}([a-z]+)\s+(\d{{1,2}}),?\s+(\d{{1,4}}),?\s+{_CLOCK}$"
+_DAY_FIRST_YEAR_LAST = rf"(?is)^\s*{_WEEKDAY}(\d{{1,2}})[\s-]+([a-z]+),?\s+{_YEAR_LAST}$"
+_MONTH_FIRST_YEAR_LAST = rf"(?is)^\s*{_WEEKDAY}([a-z]+)\s+(\d{{1,2}}),?\s+{_YEAR_LAST}$"
 _MARK = "\x01"
-# day, month, year, hour, minute, second, numeric zone, named zone
-_PARTS = 8
 
 
 def _with_fields(df, text):
-    """Add the parts of a date text as an array - null when it does not look like a date."""
+    """Add the parts of a date text as an array - null when it does not look like a date.
 
-    def marked(pattern, order):
-        return F.regexp_replace(text, pattern, _MARK.join(f"${i}" for i in order))
+    They are day, month, year, hour, minute, second, numeric zone, named zone.
+    """
 
-    # each step reads the result of the one before, and few texts need the second pattern
-    tail, found = range(3, _PARTS + 1), F.col("_marked")
-    df = computed_once(df, _marked=marked(_DAY_FIRST, [1, 2, *tail]))
-    df = computed_once(
-        df, _marked=F.when(found.contains(_MARK), found).otherwise(marked(_MONTH_FIRST, [2, 1, *tail]))
-    )
+    def marked(pattern, order):
+        return F.regexp_replace(text, pattern, _MARK.join(order.split()))
+
+    # each step reads the result of the one before, and few texts need the later patterns
+    found = F.col("_marked")
+    df = computed_once(df, _marked=marked(_DAY_FIRST, "$1 $2 $3 $4 $6 $7 $8 $9"))
+    for pattern, order in (
+        (_MONTH_FIRST, "$2 $1 $3 $4 $6 $7 $8 $9"),
+        (_DAY_FIRST_YEAR_LAST, "$1 $2 $7$8 $3 $4 $5 $9 $6$10"),
+        (_MONTH_FIRST_YEAR_LAST, "$2 $1 $7$8 $3 $4 $5 $9 $6$10"),
+    ):
+        df = computed_once(df, _marked=F.when(found.contains(_MARK), found).otherwise(marked(pattern, order)))
     is_date = found.contains(_MARK) & ~F.col(text).contains(_MARK)
     return computed_once(df, _fields=F.when(is_date, F.split(found, _MARK))).drop("_marked")
 

@@ -9,6 +9,7 @@ from newsloom.functions.dates import parse_published
 from newsloom.functions.once import computed_once
 from newsloom.functions.text import phrase_of, phrase_text
 from newsloom.operators.terms import clean
+from newsloom.workspace import write_through
 
 # Up to this many terms are tested within the scan; longer lists are joined.
 INLINE_TERMS = 128
@@ -79,7 +80,9 @@ def _match_joined(entries, regions, industries):
     )
     words = lambda c: F.split(F.trim(c), " ")
     sizes = terms.agg(F.collect_set(F.size(words(F.col("phrase"))))).first()[0]
-
+    # entries are told apart by a number, so that repeated ones stay repeated, and only that
+    # number and the word sequences go through the join
+    entries = write_through(entries.withColumn("_entry", F.monotonically_increasing_id()), "entries")
     text = words(phrase_text(F.col("title")))
     sequences = F.flatten(
         F.transform(
@@ -91,18 +94,19 @@ def _match_joined(entries, regions, industries):
         )
     )
     grams = entries.select(
-        *entries.columns,
-        F.pmod(F.xxhash64("seq"), F.lit(_SALTS)).cast("int").alias("_salt"),
+        "_entry",
+        F.pmod(F.xxhash64("_entry"), F.lit(_SALTS)).cast("int").alias("_salt"),
         F.explode(F.array_distinct(sequences)).alias("phrase"),
     )
     salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     of_kind = lambda k: F.collect_set(F.when(F.col("kind") == k, F.col("term")))
-    return (
+    found = (
         grams.join(salted, ["phrase", "_salt"])
-        .groupBy(*entries.columns)
+        .groupBy("_entry")
         .agg(of_kind("r").alias("regions"), of_kind("i").alias("industries"))
         .where((F.size("regions") > 0) & (F.size("industries") > 0))
     )
+    return entries.join(found, "_entry").drop("_entry")
 
 
 def _mentioning(entries, regions, industries):
@@ -120,7 +124,10 @@ def match_entries(entries, regions, industries, start, end):
     A short list becomes a literal, so matching is part of the scan and shuffles nothing.
     Longer lists are joined on the word sequences of the titles. Entries with dates (a landed
     feed) are cut to the range first; otherwise only the dates of matching entries are parsed.
+    Both ways give the same rows; an entry that is repeated is matched each time.
     """
+    if start > end:
+        raise ValueError("the start date must not be after the end date")
     if "published_local" in entries.columns:
         return _mentioning(in_range(entries, start, end), regions, industries)
     return in_range(parse_published(_mentioning(entries, regions, industries)), start, end)

@@ -12,13 +12,14 @@ def merge_by_link(hits):
     and ``usaha`` per row. One aggregation with map-side combining: a link that holds many
     rows shrinks to one row per task before the shuffle, and a set never outgrows the terms.
     """
+    one = F.min(F.struct(*_FIRST)).alias("_first")
     if "regions" in hits.columns:
-        hits = hits.selectExpr("link", *_FIRST, """inline(concat(
-            transform(regions, r -> struct(r as wilayah, cast(null as string) as usaha)),
-            transform(industries, i -> struct(cast(null as string) as wilayah, i as usaha))))""")
-    merged = hits.groupBy("link").agg(
-        F.min(F.struct(*_FIRST)).alias("_first"),
-        F.sort_array(F.collect_set("wilayah")).alias("regions"),
-        F.sort_array(F.collect_set("usaha")).alias("industries"),
-    )
+        union = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+        merged = hits.groupBy("link").agg(one, union("regions"), union("industries"))
+    else:
+        merged = hits.groupBy("link").agg(
+            one,
+            F.sort_array(F.collect_set("wilayah")).alias("regions"),
+            F.sort_array(F.collect_set("usaha")).alias("industries"),
+        )
     return merged.select("link", "_first.*", "regions", "industries")

@@ -20,7 +20,7 @@ from newsloom.functions.titles import (
     with_signature,
 )
 from newsloom.operators.skew import attach
-from newsloom.schemas import FUZZY_MAX_ROWS, SIMILARITY_THRESHOLD
+from newsloom.schemas import SIMILARITY_THRESHOLD
 from newsloom.workspace import write_through
 
 # Rows of one side of a comparison tile.
@@ -195,11 +195,17 @@ def fuzzy_clusters(rows, threshold=SIMILARITY_THRESHOLD):
     """``key, leader, size``: cluster of each word set. Rows without a word have none."""
     nodes = write_through(title_nodes(rows, threshold), "nodes")
     led = leaders(node_pairs(nodes, threshold))
-    placed = nodes.join(led, "node", "left").select(
-        "key", "n", F.coalesce("leader", "node").alias("leader")
+    placed = write_through(
+        nodes.join(led, "node", "left").select(
+            "key", "n", F.coalesce("leader", "node").cast("string").alias("_leader")
+        ),
+        "placed",
     )
-    sizes = placed.groupBy("leader").agg(F.sum("n").alias("size"))
-    return placed.join(sizes, "leader").select("key", "n", "leader", "size")
+    # a big story has many word sets
+    sizes = placed.groupBy("_leader").agg(F.sum("n").alias("size"), F.count("*").alias("sets"))
+    sets = placed.count()
+    found = attach(placed, sizes, "_leader", "sets", sets, "key")
+    return found.select("key", "n", F.col("_leader").cast("bigint").alias("leader"), "size")
 
 
 def exact_clusters(rows):
@@ -210,21 +216,31 @@ def exact_clusters(rows):
     )
 
 
-def similar_coverage(rows, threshold=SIMILARITY_THRESHOLD, max_rows=FUZZY_MAX_ROWS, total=None):
+METHODS = ("fuzzy", "exact")
+
+
+def _checked(method):
+    if method not in METHODS:
+        raise ValueError(f"method is one of {METHODS}, not {method!r}")
+    return method
+
+
+def similar_coverage(rows, threshold=SIMILARITY_THRESHOLD, method="fuzzy"):
     """Add ``leader`` and ``similar``, the number of other rows in the same cluster.
 
-    Comparing titles is for at most ``max_rows`` rows. Beyond, rows are alike when their
-    normalised titles are equal, which is one aggregation and a join back on the key.
+    ``method`` is the caller's choice and never depends on the number of rows: ``fuzzy``
+    compares titles, ``exact`` takes rows as alike when their normalised titles are equal,
+    which is one aggregation and a join back on the key.
     """
-    if total is None:
-        total = rows.count()
-    if total > max_rows:
+    if _checked(method) == "exact":
         key, clusters = title_key(F.col("title")), exact_clusters(rows)
     else:
         key = F.array_join(token_set(F.col("title")), " ")
         clusters = fuzzy_clusters(rows, threshold)
     # a cluster of one needs no lookup
     shared = clusters.where(F.col("size") > 1).withColumnRenamed("key", "_key")
+    shared = write_through(shared, "clusters")
+    total = shared.agg(F.sum("n")).first()[0] or 0
     found = attach(computed_once(rows, _key=key), shared, "_key", "n", total, "seq")
     return found.withColumns({
         "leader": F.coalesce("leader", "seq"),
@@ -232,21 +248,25 @@ def similar_coverage(rows, threshold=SIMILARITY_THRESHOLD, max_rows=FUZZY_MAX_RO
     }).select(*rows.columns, "leader", "similar")
 
 
-def similar_pairs(rows, threshold=SIMILARITY_THRESHOLD, max_rows=FUZZY_MAX_ROWS):
-    """Pairs ``i < j`` of similar distinct titles, with their score.
+def similar_pairs(rows, threshold=SIMILARITY_THRESHOLD, method="fuzzy"):
+    """All pairs ``i < j`` of similar distinct titles, by their earliest rows, with their score.
 
-    Beyond ``max_rows`` rows the relation is equality of the normalised titles, given as
-    (earliest title, other title) so that a frequent title costs one pair per distinct form.
+    ``fuzzy`` pairs score ``threshold`` or more; ``exact`` pairs have equal normalised titles
+    and score 100. Titles are compared by word set; here each set's titles are put in again.
     """
-    if rows.count() <= max_rows:
-        return node_pairs(write_through(title_nodes(rows, threshold), "nodes"), threshold)
-    forms = rows.groupBy("title").agg(F.min("seq").alias("seq")).withColumn(
-        "_key", title_key(F.col("title"))
-    )
-    forms = write_through(forms, "forms")
-    first = forms.groupBy("_key").agg(F.count("*").alias("n"), F.min("seq").alias("i"))
-    shared = first.where(F.col("n") > 1)
-    found = attach(forms, shared, "_key", "n", forms.count(), "seq")
-    return found.where(F.col("i") < F.col("seq")).select(
-        "i", F.col("seq").alias("j"), F.lit(100.0).alias("score")
+    exact = _checked(method) == "exact"
+    key = title_key(F.col("title")) if exact else F.array_join(token_set(F.col("title")), " ")
+    titles = rows.groupBy("title").agg(F.min("seq").alias("seq"))
+    titles = computed_once(titles, key=key)
+    titles = write_through(titles if exact else titles.where(F.col("key") != ""), "titles")
+    one, other = titles.select("key", F.col("seq").alias("i")), titles.select("key", F.col("seq").alias("j"))
+    alike = one.join(other, "key").where("i < j").select("i", "j", F.lit(100.0).alias("score"))
+    if exact:
+        return alike
+    nodes = write_through(title_nodes(rows, threshold), "nodes")
+    named = nodes.select("key", "node").join(titles.select("key", "seq"), "key").select("node", "seq")
+    sets = node_pairs(nodes, threshold).toDF("a", "b", "score")
+    near = sets.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b")
+    return alike.unionByName(
+        near.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "score")
     )

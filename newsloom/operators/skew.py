@@ -4,8 +4,6 @@ from pyspark.sql import functions as F
 
 # A key is hot when it holds more than 1/200 of all rows, so there are fewer than 200.
 HOT_SHARE = 200
-# Below this many rows in total, one task can take the rows of any key.
-SMALL_ROWS = 1_000_000
 
 
 def attach(rows, lookup, key, weight, total, spread_by):
@@ -17,8 +15,6 @@ def attach(rows, lookup, key, weight, total, spread_by):
     key, where they find no partner.
     """
     values = [c for c in lookup.columns if c != key]
-    if total <= SMALL_ROWS:
-        return rows.join(lookup, key, "left").select(*rows.columns, *values)
     is_hot = F.col(weight) * HOT_SHARE > F.lit(total)
     hot = lookup.where(is_hot).select(
         F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot")

@@ -8,14 +8,12 @@ from newsloom.operators.match import match_entries
 from newsloom.operators.merge import merge_by_link
 from newsloom.operators.resolve import resolve_urls
 from newsloom.operators.similarity import similar_coverage
-from newsloom.schemas import FUZZY_MAX_ROWS, PAGE_ROWS, REPORT, SIMILARITY_THRESHOLD, SORT_COLUMN
+from newsloom.schemas import PAGE_ROWS, REPORT, SIMILARITY_THRESHOLD, SORT_COLUMN
 from newsloom.workspace import write_through
 
 
 def build_articles(entries, regions, industries, start, end, resolution=None):
     """One row per matched link. Lazy: one scan, one shuffle of the hits on the link."""
-    if start > end:
-        raise ValueError("the start date must not be after the end date")
     hits = match_entries(entries, regions, industries, start, end)
     return resolve_urls(merge_by_link(hits), resolution)
 
@@ -37,34 +35,50 @@ def labelled(articles, *extra):
     )
 
 
-def covered_articles(articles, threshold=SIMILARITY_THRESHOLD, max_rows=FUZZY_MAX_ROWS):
+def covered_articles(articles, threshold=SIMILARITY_THRESHOLD, method="fuzzy"):
     """Articles with their similar coverage, before sorting.
 
-    The articles are written once: their number decides how titles are compared, and both
-    the comparison and the report read them.
+    The articles are written once: both the comparison and the report read them.
     """
     articles = write_through(articles, "articles")
-    similar = similar_coverage(articles, threshold, max_rows)
+    similar = similar_coverage(articles, threshold, method)
     return labelled(similar, F.col("similar").alias("Liputan Serupa"))
 
 
 def build_report(
     entries, regions, industries, start, end, resolution=None,
-    threshold=SIMILARITY_THRESHOLD, max_rows=FUZZY_MAX_ROWS,
+    threshold=SIMILARITY_THRESHOLD, method="fuzzy",
 ):
     """The sorted report with the fixed columns of ``REPORT``."""
     articles = build_articles(entries, regions, industries, start, end, resolution)
-    return newest_first(covered_articles(articles, threshold, max_rows))
+    return newest_first(covered_articles(articles, threshold, method))
 
 
-def newest_first(report):
+def in_order(report):
     """Newest rows first, undated ones last, ties in ingest order."""
-    return report.orderBy(F.desc_nulls_last(SORT_COLUMN), F.asc("seq")).select(
-        *[f"`{c}`" for c in REPORT.names]
-    )
+    return report.orderBy(F.desc_nulls_last(SORT_COLUMN), F.asc("seq"))
+
+
+def newest_first(report):
+    """The ordered report with its fixed columns."""
+    return in_order(report).select(*[f"`{c}`" for c in REPORT.names])
 
 
 def page(report, number, rows=PAGE_ROWS):
     """Page ``number`` (from 0) of a report that still has its ``seq``."""
-    ordered = report.orderBy(F.desc_nulls_last(SORT_COLUMN), F.asc("seq"))
-    return ordered.offset(number * rows).limit(rows)
+    return in_order(report).offset(number * rows).limit(rows)
+
+
+def page_after(report, moment, seq, rows=PAGE_ROWS):
+    """The page that follows the row with sort date ``moment`` (None: undated) and ``seq``.
+
+    Whatever the page, a task keeps ``rows`` rows at most: earlier rows are filtered out.
+    """
+    undated = F.col(SORT_COLUMN).isNull()
+    if moment is None:
+        later = undated & (F.col("seq") > seq)
+    else:
+        at = F.lit(moment).cast("timestamp_ntz")
+        same = (F.col(SORT_COLUMN) == at) & (F.col("seq") > seq)
+        later = undated | (F.col(SORT_COLUMN) < at) | same
+    return in_order(report.where(later)).limit(rows)

@@ -14,6 +14,14 @@ ENTRY = T.StructType([
     T.StructField("source", _S),
 ])
 
+# An entry with parsed dates, landed by local day.
+LANDED = T.StructType([
+    *ENTRY.fields,
+    T.StructField("published_local", _NTZ),
+    T.StructField("published_at", _NTZ),
+    T.StructField("day", T.DateType()),
+])
+
 # Outcome of resolving a feed link to the publisher's address.
 RESOLUTION = T.StructType([
     T.StructField("link", _S),
@@ -32,21 +40,20 @@ MISSING = "-"
 LABEL_SEPARATOR = ", "
 WINDOW_DAYS = 30
 SIMILARITY_THRESHOLD = 82
-FUZZY_MAX_ROWS = 4000
 MAX_RUNS = 8
 TOP_LABELS = 10
 TOP_KEYWORDS = 15
 PAGE_ROWS = 10
-STOP_WORDS = (
-    "yang dan di ke dari untuk pada dengan ini itu akan adalah "
-    "atau juga dalam tidak ada oleh secara telah sudah bisa dapat "
-    "para per sebagai saat kata tahun persen yaitu sebuah seorang "
-    "hingga serta namun tetapi karena sehingga antara lebih kurang "
-    "masih belum dua tiga satu empat lima kami kita mereka dia "
-    "nya pun lah kah apa siapa bagaimana mengapa kapan dimana "
-    "atas bawah menjadi jadi terkait usai resmi the and for of "
-    "in to is on with as at by"
-).split()
+STOP_WORDS = [
+    "yang", "dan", "di", "ke", "dari", "untuk", "pada", "dengan", "ini", "itu", "akan", "adalah",
+    "atau", "juga", "dalam", "tidak", "ada", "oleh", "secara", "telah", "sudah", "bisa", "dapat",
+    "para", "per", "sebagai", "saat", "kata", "tahun", "persen", "yaitu", "sebuah", "seorang",
+    "hingga", "serta", "namun", "tetapi", "karena", "sehingga", "antara", "lebih", "kurang",
+    "masih", "belum", "dua", "tiga", "satu", "empat", "lima", "kami", "kita", "mereka", "dia",
+    "nya", "pun", "lah", "kah", "apa", "siapa", "bagaimana", "mengapa", "kapan", "dimana", "atas",
+    "bawah", "menjadi", "jadi", "terkait", "usai", "resmi", "the", "and", "for", "of", "in", "to",
+    "is", "on", "with", "as", "at", "by",
+]
 # ------------------------------------------------------------------------------
 
 REPORT = T.StructType([
@@ -61,6 +68,9 @@ REPORT = T.StructType([
     T.StructField("URL", _S),
 ])
 
+# A stored report keeps the ingest order, which breaks ties in the order of its rows.
+SNAPSHOT = T.StructType([T.StructField("seq", T.LongType()), *REPORT.fields])
+
 RUN = T.StructType([
     T.StructField("run_id", _S),
     T.StructField("run_at", _NTZ),

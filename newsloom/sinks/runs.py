@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from newsloom.functions.dates import duration_label, moment_label, period_label
 from newsloom.functions.text import run_label
-from newsloom.schemas import MAX_RUNS, REPORT, RUN, empty_report
+from newsloom.schemas import MAX_RUNS, RUN, SNAPSHOT
 
 
 def run_records(runs):
@@ -35,7 +35,11 @@ class RunLog:
         records.write.mode("append").parquet(f"{self.path}/log")
 
     def save_snapshot(self, run_id, report):
-        """Write the report of a run; a repeated attempt replaces its own snapshot only."""
+        """Write the report of a run; a repeated attempt replaces its own snapshot only.
+
+        ``report`` still has its ``seq``, so that the rows can be put in order again.
+        """
+        report = report.select(*[f"`{c}`" for c in SNAPSHOT.names])
         report.write.mode("overwrite").parquet(f"{self.path}/snapshots/run_id={run_id}")
 
     def all(self):
@@ -46,8 +50,8 @@ class RunLog:
         return self.all().orderBy(F.desc("run_at"), F.desc("run_id")).limit(count)
 
     def load_snapshot(self, run_id):
-        """The report of one run: only its partition is read."""
-        schema = T.StructType([*REPORT.fields, T.StructField("run_id", T.StringType())])
+        """The report of one run, with its ``seq``: only its partition is read."""
+        schema = T.StructType([*SNAPSHOT.fields, T.StructField("run_id", T.StringType())])
         table = self.spark.read.schema(schema).parquet(f"{self.path}/snapshots")
         return table.where(F.col("run_id") == run_id).drop("run_id")
 
@@ -55,4 +59,4 @@ class RunLog:
         """Forget every run: an empty log and no snapshot rows."""
         empty = self.spark.createDataFrame([], RUN)
         empty.write.mode("overwrite").parquet(f"{self.path}/log")
-        empty_report(self.spark).write.mode("overwrite").parquet(f"{self.path}/snapshots")
+        self.spark.createDataFrame([], SNAPSHOT).write.mode("overwrite").parquet(f"{self.path}/snapshots")

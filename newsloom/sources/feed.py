@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.dates import parse_published
 from newsloom.functions.text import text_or
-from newsloom.schemas import ENTRY, MISSING
+from newsloom.schemas import ENTRY, LANDED, MISSING
 
 
 def read_feed(spark, path, source_format="json"):
@@ -13,7 +13,14 @@ def read_feed(spark, path, source_format="json"):
 
 
 def normalize(raw):
-    """Defaults for missing fields; entries without a link are dropped."""
+    """Defaults for missing fields; entries without a link are dropped.
+
+    A source that is an object, as feeds deliver it, counts by its title.
+    """
+    source = F.col("source")
+    is_object = F.startswith(F.ltrim(source), F.lit("{"))
+    titled = F.when(is_object, F.coalesce(F.get_json_object(source, "$.title"), F.lit(""))).otherwise(source)
+    raw = raw.withColumn("source", titled)
     return raw.where(F.col("link") != "").select(
         "seq",
         text_or(F.col("title"), MISSING).alias("title"),
@@ -41,7 +48,7 @@ def land(raw, path, files_per_day=1):
 
 def read_landed(spark, path, start=None, end=None):
     """Entries written by ``land``; a range prunes the partitions, undated entries stay."""
-    landed = spark.read.parquet(path)
+    landed = spark.read.schema(LANDED).parquet(path)
     if start is not None:
         landed = landed.where(F.col("day").isNull() | (F.col("day") >= F.lit(start)))
     if end is not None:

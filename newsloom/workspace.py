@@ -12,11 +12,11 @@ _local_roots = {}
 
 
 def shared_folder(spark):
-    """``spark.checkpoint.dir`` of the session; a temporary folder only in local mode."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's checkpoint folder, however it was set; a temporary one only in local mode."""
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     if context.applicationId not in _local_roots:

@@ -9,7 +9,7 @@ from newsloom.operators import match, metrics
 from newsloom.operators.merge import merge_by_link
 from newsloom.operators.resolve import resolve_urls
 from newsloom.plans import report as plans
-from newsloom.schemas import REPORT, RESULT_COLUMNS, RUN, empty_report
+from newsloom.schemas import REPORT, RESULT_COLUMNS, RUN, SNAPSHOT, empty_report
 from newsloom.sinks import export
 from newsloom.sinks.runs import RunLog, run_records
 from newsloom.sources import feed, reference
@@ -44,6 +44,18 @@ def test_inline_and_joined_matching_agree(spark, monkeypatch):
     assert run() == inline and len(inline) > 20
 
 
+def test_repeated_entries_are_matched_each_time(spark, monkeypatch):
+    twice = entries(spark, *[(7, "papua beras", "", "l")] * 2)
+    ways = []
+    for limit in (128, 0):
+        monkeypatch.setattr(match, "INLINE_TERMS", limit)
+        hits = match.match_articles(twice, ["papua"], ["beras"], DAY, dt.date(2024, 2, 1))
+        ways.append(sorted(map(tuple, hits.select("seq", "wilayah", "usaha").collect())))
+    assert ways[0] == ways[1] and len(ways[0]) == 2
+    with pytest.raises(ValueError):
+        match.match_articles(twice, ["papua"], ["beras"], dt.date(2024, 2, 1), DAY)
+
+
 def test_merge_keeps_the_first_entry_and_all_tags(spark):
     hits = match.match_entries(
         entries(spark, (5, "Papua beras", "n/a", "l"), (2, "Papua jagung", "", "l"),
@@ -106,6 +118,11 @@ def test_order_and_pages(spark):
     order = [r.URL for r in plans.newest_first(covered).collect()]
     assert order == ["2", "4", "0", "3", "1"]
     assert [r.URL for r in plans.page(covered, 1, rows=2).collect()] == ["0", "3"]
+    rows, seen = plans.page(covered, 0, rows=2).collect(), []
+    while rows:
+        seen += [r.URL for r in rows]
+        rows = plans.page_after(covered, rows[-1].TanggalSort, rows[-1].seq, rows=2).collect()
+    assert seen == order
 
 
 def report_rows(spark, *cells):
@@ -180,10 +197,11 @@ def test_run_log(spark, tmp_path):
         "01 Feb 2024, 11:00", "a, b, c +2 lainnya", "x", "01 Jan 2024 – 01 Feb 2024", 11, "3.7s",
     )
     for run, title in ("r1", "one"), ("r2", "two"), ("r2", "again"):
-        log.save_snapshot(run, report_rows(spark, {"Judul": title}))
+        rows = report_rows(spark, {"Judul": title}, {"Judul": "later", "TanggalSort": dt.datetime(2024, 1, 2)})
+        log.save_snapshot(run, rows.withColumn("seq", F.length("Judul").cast("long")))
     loaded = log.load_snapshot("r2")
-    assert loaded.schema.names == REPORT.names
-    assert [r.Judul for r in loaded.collect()] == ["again"]
+    assert loaded.schema.names == SNAPSHOT.names
+    assert [r.Judul for r in plans.newest_first(loaded).collect()] == ["later", "again"]
     log.clear()
     assert log.recent().count() == 0 and log.all().schema == RUN
     assert log.load_snapshot("r1").count() == 0

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 import fixtures as fx
 from newsloom.functions.lcs import lcs_length
 from newsloom.operators import similarity as sim
-from newsloom.operators import skew
-from newsloom.workspace import write_through
 
 
 def lcs(a, b):
@@ -84,7 +82,7 @@ def test_pairs_and_clusters_agree_with_brute_force(spark, monkeypatch, seed, til
     first = {}
     for i, t in enumerate(titles):
         if t.split():
-            first.setdefault(" ".join(sorted(set(t.split()))), i)
+            first.setdefault(t, i)
     nodes = sorted(first.values())
     expected = {
         (i, j): s for i in nodes for j in nodes if i < j and (s := score(titles[i], titles[j])) >= 81.5
@@ -123,33 +121,46 @@ def test_non_transitive_and_missing_titles(spark):
     rows = frame(spark, ["-", " ", "-", "", "beras naik"])
     got = [(r.leader, r.similar) for r in sim.similar_coverage(rows).orderBy("seq").collect()]
     assert got == [(0, 1), (1, 0), (0, 1), (3, 0), (4, 0)]
-    assert sim.similar_coverage(frame(spark, []), total=0).count() == 0
+    assert sim.similar_coverage(frame(spark, [])).count() == 0
 
 
-def test_switch_to_the_exact_key(spark):
-    rows = frame(spark, ["Harga beras naik", "harga BERAS, naik", "Harga beras naik 2024", "—", "!"])
-    fuzzy = [r.similar for r in sim.similar_coverage(rows, max_rows=5).orderBy("seq").collect()]
-    exact = [r.similar for r in sim.similar_coverage(rows, max_rows=4).orderBy("seq").collect()]
-    assert fuzzy == [1, 0, 1, 0, 0]
-    assert exact == [1, 1, 0, 1, 1]
-    pairs = [tuple(r) for r in sim.similar_pairs(rows, max_rows=4).orderBy("i").collect()]
+def test_methods(spark):
+    rows = frame(spark, ["Harga beras naik", "harga BERAS, naik", "Harga beras naik 2024", "—", "!", "!"])
+    fuzzy = [r.similar for r in sim.similar_coverage(rows).orderBy("seq").collect()]
+    exact = [r.similar for r in sim.similar_coverage(rows, method="exact").orderBy("seq").collect()]
+    assert fuzzy == [1, 0, 1, 0, 1, 1]
+    assert exact == [1, 1, 0, 2, 2, 2]
+    pairs = [tuple(r) for r in sim.similar_pairs(rows, method="exact").orderBy("i").collect()]
     assert pairs == [(0, 1, 100.0), (3, 4, 100.0)]
+    with pytest.raises(ValueError):
+        sim.similar_coverage(rows, method="other")
 
 
-def test_hot_keys_change_nothing(spark, monkeypatch):
+def test_exact_pairs_are_all_pairs_of_titles(spark):
+    rows = frame(spark, ["A", "a", "A!", "b", "A"])
+    assert sorted((r.i, r.j) for r in sim.similar_pairs(rows, method="exact").collect()) == [(0, 1), (0, 2), (1, 2)]
+
+
+def test_titles_of_the_same_words_are_a_pair(spark):
+    rows = frame(spark, ["harga beras naik", "naik beras harga", "naik beras harga"])
+    assert [tuple(r) for r in sim.similar_pairs(rows).collect()] == [(0, 1, 100.0)]
+
+
+def test_more_rows_than_any_limit(spark):
+    """The relation does not depend on the number of rows."""
+    titles = [f"berita nomor {k % 50} dari kota" for k in range(4500)] + ["harga beras naik", "naik beras harga!"]
+    got = {r.seq: r.similar for r in sim.similar_coverage(frame(spark, titles)).collect()}
+    assert got[4500] == got[4501] == 1 and clusters(titles[:50])[1] == 0
+    assert got[0] == 4499
+
+
+def test_hot_keys_are_split(spark):
     titles = ["hot title"] * 400 + [f"title {i % 150}" for i in range(600)]
-    rows = frame(spark, titles)
-    plain = sorted(map(tuple, sim.similar_coverage(rows, max_rows=0).collect()))
-    monkeypatch.setattr(skew, "SMALL_ROWS", 0)
-    split = sim.similar_coverage(rows, max_rows=0)
-    assert sorted(map(tuple, split.collect())) == plain
-    assert plain[0] == (0, "hot title", 0, 399) and len(plain) == 1000
+    split = sim.similar_coverage(frame(spark, titles), method="exact")
+    rows = sorted(map(tuple, split.collect()))
+    assert rows[0] == (0, "hot title", 0, 399) and len(rows) == 1000
+    assert rows[400] == (400, "title 0", 400, 3)
     assert len(re.findall("_hot_key", split._jdf.queryExecution().optimizedPlan().toString())) > 0
-    near = random_titles(9, 80)
-    listed = lambda: sorted(map(tuple, sim.similar_pairs(frame(spark, near)).collect()))
-    hot = listed()
-    monkeypatch.setattr(skew, "SMALL_ROWS", 1_000_000)
-    assert hot == listed()
 
 
 # rows, clusters, rows with similar coverage, largest cluster
@@ -168,9 +179,11 @@ def test_known_answers(spark, scale):
     ).first()
     fuzzy, exact = KNOWN[scale]
     assert tuple(summary(sim.similar_coverage(titles))) == fuzzy
-    assert tuple(summary(sim.similar_coverage(titles, max_rows=0)))[1:3] == exact
+    assert tuple(summary(sim.similar_coverage(titles, method="exact")))[1:3] == exact
 
 
 def test_known_pairs(spark):
     titles = fx.page_feed(spark, "/root/testdata/sf0.1").select("seq", "title")
-    assert sim.node_pairs(write_through(sim.title_nodes(titles), "nodes")).count() == 241
+    assert sim.similar_pairs(titles).count() == 241
+    titles = fx.page_feed(spark, "/root/testdata/sf0.01").select("seq", "title")
+    assert sim.similar_pairs(titles).count() == 2

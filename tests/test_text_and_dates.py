@@ -72,7 +72,10 @@ SAMPLES = [
     "Tue, 31 Feb 2025 07:00:00 GMT", "Tue, 19 Aug 2025 24:00:00 GMT", "Tue, 19 Aug 2025 07:00:60 GMT",
     "Tue, 19 Aug 2025 07:00:00 XYZ", "Tue, 19 Aug 2025 07:00:00 -0330", "2025-08-19 07:00:00",
     "Tue, 19 Foo 2025 07:00:00 GMT", "Tue, 19 Aug 2025 07:00:00 -0700 (PDT)", "n/a",
-    "Thu, 29 Feb 2024 00:00:00 +1400", "Wed, 1 May 2024 09:05:00 CDT",
+    "Tue, 19 Aug 2025 07.00.00 GMT", "19 Aug 2025 7.05", "Tue, 19 Aug 2025 07:00.00 GMT",
+    "Tue Aug 19 07:00:00 2025", "Tue Aug 19 07:00:00 2025 +0700", "Aug 19 07:00 2025 EST",
+    "19 Aug 07:00:00 2025", "Tue Aug 19 07:00:00 PDT 2025", "Tue Aug 19 07:00:00 +0530 2025",
+    "Tue Aug 19 07.00.00 2025", "Thu, 29 Feb 2024 00:00:00 +1400", "Wed, 1 May 2024 09:05:00 CDT",
 ]
 
 
