@@ -4,7 +4,6 @@ Spark has Levenshtein distance but not this one; nested ``aggregate`` is an orde
 magnitude slower. It sees only the few pairs that the native bounds leave over.
 """
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -12,36 +11,31 @@ from pyspark.sql import functions as F
 def lcs_length():
     """Arrow UDF ``(string, string) -> int``. Local functions travel by value to workers."""
 
-    def code_points(texts, pad):
-        width = max(1, max(map(len, texts)))
-        grid = np.array(texts, dtype=f"U{width}").view(np.uint32).reshape(len(texts), width)
-        filled = np.arange(width) < np.array([len(t) for t in texts])[:, None]
-        return np.where(filled, grid, np.uint32(pad))
-
-    def lengths(lefts, rights):
-        # the pads differ from each other and from every character
-        a, b = code_points(lefts, 0x110000), code_points(rights, 0x110001)
-        best = np.zeros((len(lefts), a.shape[1] + 1), dtype=np.int32)
-        for j in range(b.shape[1]):
-            step = np.maximum(best[:, 1:], best[:, :-1] + (a == b[:, j : j + 1]))
-            np.maximum.accumulate(step, axis=1, out=best[:, 1:])
-        return best[:, -1]
+    def length(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        # a common start and end belong to some longest common subsequence
+        start, most = 0, len(a)
+        while start < most and a[start] == b[start]:
+            start += 1
+        end = 0
+        while end < most - start and a[-1 - end] == b[-1 - end]:
+            end += 1
+        a, b = a[start : most - end], b[start : len(b) - end]
+        # one bit for each character of a: cleared where the row of the table steps up
+        places = {}
+        for k, c in enumerate(a):
+            places[c] = places.get(c, 0) | 1 << k
+        full = (1 << len(a)) - 1
+        row = full
+        for c in b:
+            hit = row & places.get(c, 0)
+            if hit:
+                row = (row + hit | row - hit) & full
+        return start + end + len(a) - row.bit_count()
 
     @F.pandas_udf("int")
     def lcs(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = np.zeros(len(left), dtype=np.int32)
-        lefts, rights = left.to_numpy(), right.to_numpy()
-        cells = [len(x) * len(y) for x, y in zip(lefts, rights)]
-        order = np.argsort([len(x) + len(y) for x, y in zip(lefts, rights)], kind="stable")
-        # similar lengths together; a long pair goes alone
-        start = 0
-        while start < len(order):
-            end = start + 1
-            while end < len(order) and (end - start) * cells[order[end]] < 4_000_000:
-                end += 1
-            picked = order[start:end]
-            out[picked] = lengths([lefts[i] for i in picked], [rights[i] for i in picked])
-            start = end
-        return pd.Series(out)
+        return pd.Series([length(a, b) for a, b in zip(left, right)], dtype="int32")
 
     return lcs
