@@ -61,8 +61,8 @@ def op8_quality(spark, sf_dir):
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = _remainder(3) == 1
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
-    return toxicity.score(docs, model).select(
+    model, raw = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(raw, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
 

@@ -23,19 +23,23 @@ from newsloom.llm.calibration import apply_isotonic, fit_isotonic
 from newsloom.llm.tables import documents
 from newsloom.workspace import write_through
 
+#: Labelled documents of each label that the lexicon is learned from.
+SAMPLE = 20_000
 #: Entries of the learned lexicon, the strongest first; beginnings of 4 to 6 letters, or words.
 LEXICON = 5000
 SHORTEST, LONGEST = 4, 6
 #: A stem is taken if toxic documents hold it so many times as often as the rest, in so many at least.
 LIFT = 8.0
 LEAST = 3
-#: ... and its count stands out by so many standard deviations.
-DEVIATIONS = 3.5
+#: ... and its share of toxic documents is so unlikely by chance (log-likelihood ratio; one in a
+#: million). Beginnings to look into are taken from the lower value on.
+UNLIKELY, WORTH_A_LOOK = 24.0, 10.0
 
 # Closed word classes of four languages.
 TARGETS = "you your youre u ur he she they them him her tu toi vous il elle ils du dich dir ihr sie er ella ellos usted ustedes te".split()
 NEGATIONS = "not no never nobody isnt arent wasnt dont doesnt didnt without hardly ne pas jamais sans nicht kein keine nie niemals ohne nunca sin".split()
 REPORTS = "said says say called calls quoted quote wrote writes claimed claims alleged reported according term word dit disait selon sagte nannte laut dijo llama palabra".split()
+INSULTS = "idiot moron stupid dumb imbecile fool loser scum trash clown pathetic worthless disgusting ugly jerk bastard vermin abruti connard salaud dummkopf arschloch abschaum trottel estupido imbecil basura asqueroso".split()
 THREATS = "kill murder hurt destroy beat burn shoot stab hang punch die tuer mourir umbringen sterben matar morir".split()
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -47,6 +51,8 @@ INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
 #: How much of an insult's weight a clause keeps, by what else it holds.
 TARGETED, PLAIN, DENIED, REPORTED = 1.5, 1.0, 0.4, 0.3
 THREAT_WEIGHT = 1.0
+#: Weight of an insult that is known but not learned.
+KNOWN_WEIGHT = 2.0
 
 
 def _seen(kind):
@@ -183,70 +189,82 @@ def _count(training, of=None):
 
 
 def learn_lexicon(training):
-    """``{stem: weight}`` from ``text, label`` (0/1); at most ``LEXICON`` entries."""
-    totals = training.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
-    ones = totals["ones"] or 0
-    clean = totals["n"] - ones
+    """``{stem: weight}`` from ``text, label`` (0/1): ``INSULTS`` and at most ``LEXICON`` learned entries."""
+    lexicon = {word + "$": KNOWN_WEIGHT for word in INSULTS}
+    totals = {r["label"]: r["count"] for r in training.groupBy("label").count().collect()}
+    clean, ones = totals.get(0, 0), totals.get(1, 0)
     if not ones or not clean:
-        return {}
+        return lexicon
 
-    def strongest(counts, lift):
+    def strongest(counts, lift, unlikely):
         rate = (F.col("clean") + 0.5) / (clean + 1.0)
-        expected = rate * ones
+        both = F.col("clean") + F.col("toxic")
+        share = lambda c, n: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * (clean + ones) / (both * n))).otherwise(0.0)
         weight = F.log((F.col("toxic") + 0.5) / (ones + 1.0) / rate)
         return (
             counts.where(F.col("toxic") >= LEAST)
             .withColumn("weight", weight)
             .where(F.col("weight") > math.log(lift))
-            .where((F.col("toxic") - expected) > DEVIATIONS * F.sqrt(expected))
+            .where(2 * (share("clean", clean) + share("toxic", ones)) > unlikely)
             .orderBy(F.desc(F.col("weight") * F.col("toxic")), "stem")
             .limit(LEXICON)
         )
 
     # a beginning may be shared with harmless words; the words among them are told apart below
-    likely = {r["stem"] for r in strongest(_count(training), 1.3).collect()}
+    likely = {r["stem"] for r in strongest(_count(training), 1.3, WORTH_A_LOOK).collect()}
     if not likely:
-        return {}
-    found = strongest(_count(training, likely), LIFT).collect()
-    return {r["stem"]: float(r["weight"]) for r in found}
+        return lexicon
+    found = strongest(_count(training, likely), LIFT, UNLIKELY).collect()
+    return lexicon | {r["stem"]: float(r["weight"]) for r in found}
 
 
-def raw_scores(docs, lexicon, *more):
-    """``doc_id, raw`` (and the columns ``more``) for ``docs(doc_id, text)``."""
+def raw_scores(docs, lexicon):
+    """``doc_id, raw`` for ``docs(doc_id, text)``."""
 
     def of_batches(batches):
         grammar = Grammar(lexicon)
         for batch in batches:
             raw = [math.log1p(grammar.score(t)) for t in batch["text"].to_pylist()]
-            kept = [batch[c] for c in ("doc_id", *more)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(raw, pa.float64())], ["doc_id", *more, "raw"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(raw, pa.float64())], names=["doc_id", "raw"]
+            )
 
-    kinds = "".join(f"{c} int, " for c in more)
-    return docs.select("doc_id", *more, "text").mapInArrow(of_batches, f"doc_id long, {kinds}raw double")
+    return docs.select("doc_id", "text").mapInArrow(of_batches, "doc_id long, raw double")
 
 
-def train(docs, labels, where):
-    """The model ``(lexicon, knots)`` from the labelled documents that satisfy ``where``."""
-    marks = labels.select(
+def _marks(labels):
+    return labels.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")
-    ).where("label in (0, 1)")
-    training = write_through(documents(docs).where(where).join(marks, "doc_id"), "labelled")
-    lexicon = learn_lexicon(training)
-    knots = fit_isotonic(raw_scores(training, lexicon, "label"))
-    return lexicon, knots
+    ).where("doc_id is not null and label in (0, 1)")
 
 
-def score(docs, model):
-    """``doc_id, score`` of every document, 0 to 1; a null or empty text scores as one without matches."""
-    lexicon, knots = model
-    scored = raw_scores(documents(docs), lexicon)
+def train(docs, labels, where):
+    """The model ``(lexicon, knots)`` and the raw scores ``doc_id, raw`` of all documents.
+
+    Learns from the labelled documents that satisfy ``where``: the lexicon from ``SAMPLE`` of
+    each label at most, the first by hash of their ids, the calibration from all of them.
+    """
+    docs, marks = documents(docs), _marks(labels).where(where)
+    chosen = None
+    for label in (0, 1):
+        own = marks.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+        chosen = own if chosen is None else chosen.unionByName(own)
+    # at most 2 * SAMPLE rows of two numbers
+    chosen = docs.sparkSession.createDataFrame(chosen.collect(), marks.schema)
+    lexicon = learn_lexicon(docs.join(F.broadcast(chosen), "doc_id"))
+    raw = write_through(raw_scores(docs, lexicon), "raw-scores")
+    return (lexicon, fit_isotonic(raw.join(marks, "doc_id"))), raw
+
+
+def score(raw, model):
+    """``doc_id, score`` (0 to 1) for raw scores; a null or empty text scores as one without matches."""
 
     def calibrated(batches):
         for batch in batches:
-            out = apply_isotonic(batch["raw"].to_numpy(), knots)
+            out = apply_isotonic(batch["raw"].to_numpy(), model[1])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out)], ["doc_id", "score"])
 
-    return scored.mapInArrow(calibrated, "doc_id long, score double")
+    return raw.mapInArrow(calibrated, "doc_id long, score double")
 
 
 def keep(docs, model, threshold):
