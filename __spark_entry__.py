@@ -302,6 +302,15 @@ def kpi_summary(spark, sf_dir):
     return metrics.kpis(_labelled(spark, sf_dir))
 
 
+def stored_analyses(spark, sf_dir):
+    """Every analysis of one stored report."""
+    found = None
+    for name, part in plans.analyses(_articles(spark, sf_dir)).items():
+        part = part.select(F.lit(name).alias("analysis"), "label", "n")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 # ---- exports and runs ----------------------------------------------------------------
 
 
@@ -429,6 +438,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "exclude_terms": exclude_terms,
         "daily_trend": daily_trend,
         "kpi_summary": kpi_summary,
+        "stored_analyses": stored_analyses,
         "export_public": export_public,
         "export_table": export_table,
         "land_range": land_range,

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.dates import date_label
 from newsloom.functions.text import join_labels
+from newsloom.operators import metrics
 from newsloom.operators.match import match_entries
 from newsloom.operators.merge import merge_by_link
 from newsloom.operators.resolve import resolve_urls
@@ -54,6 +55,21 @@ def build_report(
     return newest_first(covered_articles(articles, threshold, method))
 
 
+def analyses(articles):
+    """All analyses by name, each lazy, over the labelled articles stored once.
+
+    Columns ``label`` and ``n``; the label of a day is its date.
+    """
+    stored = write_through(labelled(articles), "labelled")
+    return {
+        "sources": metrics.label_counts(stored, "Sumber"),
+        "regions": metrics.label_counts(stored, "Wilayah"),
+        "industries": metrics.label_counts(stored, "Usaha"),
+        "keywords": metrics.top_keywords(stored).withColumnRenamed("word", "label"),
+        "days": metrics.daily_trend(stored).select(F.date_format("day", "yyyy-MM-dd").alias("label"), "n"),
+    }
+
+
 def in_order(report):
     """Newest rows first, undated ones last, ties in ingest order."""
     return report.orderBy(F.desc_nulls_last(SORT_COLUMN), F.asc("seq"))
