@@ -9,6 +9,9 @@ A template that lies in the text at that containment overlaps some window by 7/8
 Jaccard similarity is at least 0.8 * 7/8 / (2 - 0.8 * 7/8) = 0.53, and the probability that no
 band agrees is at most (1 - 0.53 ** 2) ** 24 = 0.0004. Windows without any shingle of a template
 are skipped: no value of theirs could equal one of a template.
+
+Null and empty texts match nothing, equal rows are reported each, of several places of a
+template in one text the first of the best counts, and an empty table gives no rows.
 """
 
 import numpy as np

@@ -7,6 +7,10 @@ combination of what was seen) reads a clause once and gives the score of its bes
 idiot`` less still. A document's raw score is the sum over its clauses; isotonic calibration on
 the training rows makes it a rate.
 
+Null and empty texts score as texts without matches, equal rows score alike, rows without id are
+left out of scores (``keep`` lets them through on their text), empty tables give no rows, and
+without labels every score is near one half. Columns beside id and text are not read.
+
 Insults are learned, since each language has its own and inflects them: words and word
 beginnings that toxic training documents hold far more often than the others.
 """

@@ -53,6 +53,18 @@ def test_each_stage(spark, folder):
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == left.keys()
 
 
+@pytest.mark.parametrize("odd", [True, False])
+def test_odd_and_empty_tables(spark, tmp_path, odd_rows, odd):
+    rows = [(i, t, None, "s", None, "x") for i, t in [*odd_rows, (None, "no id")]] if odd else []
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, part string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    # of 1, 2 and 3 one stays; 4 is the item; 8 and 10 repeat themselves
+    assert not got & {2, 3, 4, 8, 10} and {1, 11} <= got if odd else got == set()
+
+
 def test_run_and_registration(spark, folder):
     assert queries.QUERIES["pipeline"] is corpus_pipeline.run
     got = corpus_pipeline.run(spark, folder)
