@@ -35,6 +35,9 @@ SHORTEST, LONGEST = 4, 6
 #: A stem is taken if toxic documents hold it so many times as often as the rest, in so many at least.
 LIFT = 8.0
 LEAST = 3
+#: ... as often as this share of the most frequent stem, and as purely as this share of the purest,
+#: or it explains toxic documents that no stronger stem does.
+FREQUENT, PURE = 0.1, 0.85
 #: ... and its share of toxic documents is so unlikely by chance (log-likelihood ratio; one in a
 #: million). Beginnings to look into are taken from the lower value on.
 UNLIKELY, WORTH_A_LOOK = 24.0, 10.0
@@ -164,8 +167,11 @@ def _stems(text, of=None):
     return out
 
 
-def _count(training, of=None):
-    """Documents of each label that hold each stem, counted in the task before the shuffle."""
+def _count(training, of=None, ranks=None):
+    """Documents of each label that hold each stem, counted in the task before the shuffle.
+
+    With ``ranks`` a toxic document counts for the best ranked of its stems alone.
+    """
 
     def tally(batches):
         from collections import Counter
@@ -183,7 +189,12 @@ def _count(training, of=None):
 
         for batch in batches:
             for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist()):
-                counts[label].update(_stems(text, of))
+                stems = _stems(text, of)
+                if ranks is not None:
+                    stems &= ranks.keys()
+                    if label and stems:
+                        stems = {min(stems, key=ranks.__getitem__)}
+                counts[label].update(stems)
             if len(counts[0]) + len(counts[1]) > 500_000:
                 yield told()
         yield told()
@@ -210,7 +221,8 @@ def learn_lexicon(training):
             .withColumn("weight", weight)
             .where(F.col("weight") > math.log(lift))
             .where(2 * (share("clean", clean) + share("toxic", ones)) > unlikely)
-            .orderBy(F.desc(F.col("weight") * F.col("toxic")), "stem")
+            # the purer of two stems for the same documents comes first
+            .orderBy(F.desc(F.col("weight") ** 2 * F.col("toxic")), "stem")
             .limit(LEXICON)
         )
 
@@ -219,6 +231,13 @@ def learn_lexicon(training):
     if not likely:
         return lexicon
     found = strongest(_count(training, likely), LIFT, UNLIKELY).collect()
+    # copies of a toxic document make all of its words look toxic: a stem has to stand out among
+    # the documents that no stronger one explains, or be about as frequent and pure as the best
+    ranks = {r["stem"]: k for k, r in enumerate(found)}
+    alone = {r["stem"] for r in strongest(_count(training, likely, ranks), LIFT, UNLIKELY).collect()}
+    often = FREQUENT * max((r["toxic"] for r in found), default=0)
+    pure = PURE * max((r["weight"] for r in found), default=0)
+    found = [r for r in found if r["stem"] in alone or (r["toxic"] >= often and r["weight"] >= pure)]
     return lexicon | {r["stem"]: float(r["weight"]) for r in found}
 
 
@@ -249,12 +268,16 @@ def train(docs, labels, where):
     each label at most, the first by hash of their ids, the calibration from all of them.
     """
     docs, marks = documents(docs), _marks(labels).where(where)
+    # of equal texts one is learned from; only ids and hashes are moved
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("hash")).join(marks, "doc_id")
+    single = hashed.groupBy("hash", "label").agg(F.min("doc_id").alias("doc_id"))
+    single = write_through(single.select("doc_id", "label"), "single")
     chosen = None
     for label in (0, 1):
-        own = marks.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+        own = single.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         chosen = own if chosen is None else chosen.unionByName(own)
     # at most 2 * SAMPLE rows of two numbers
-    chosen = docs.sparkSession.createDataFrame(chosen.collect(), marks.schema)
+    chosen = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, label int")
     lexicon = learn_lexicon(docs.join(F.broadcast(chosen), "doc_id"))
     raw = write_through(raw_scores(docs, lexicon), "raw-scores")
     return (lexicon, fit_isotonic(raw.join(marks, "doc_id"))), raw
