@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from newsloom.llm.shipping import ship
+
 
 def documents(docs):
     """``doc_id`` and ``text`` alone; a null text is an empty one, a row without id is left out."""
+    ship(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -12,4 +15,5 @@ def documents(docs):
 
 
 def table(spark, sf_dir, name):
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
