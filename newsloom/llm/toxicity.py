@@ -47,7 +47,7 @@ TARGETS = "you your youre u ur he she they them him her tu toi vous il elle ils
 NEGATIONS = "not no never nobody isnt arent wasnt dont doesnt didnt without hardly ne pas jamais sans nicht kein keine nie niemals ohne nunca sin".split()
 REPORTS = "said says say called calls quoted quote wrote writes claimed claims alleged reported according term word dit disait selon sagte nannte laut dijo llama palabra".split()
 INSULTS = "idiot moron stupid dumb imbecile fool loser scum trash clown pathetic worthless disgusting ugly jerk bastard vermin abruti connard salaud dummkopf arschloch abschaum trottel estupido imbecil basura asqueroso".split()
-THREATS = "kill murder hurt destroy beat burn shoot stab hang punch die tuer mourir umbringen sterben matar morir".split()
+THREATS = "kill murder hurt destroy beat burn shoot stab hang punch tuer mourir umbringen sterben matar morir".split()
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
