@@ -259,7 +259,8 @@ def spans(docs, length=LENGTH, hot=HOT):
         keyed.mapInArrow(lambda batches: _anchor_rows(batches, length), ANCHOR), "anchors"
     )
     shared = every.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    # a hot hash is joined by what stands on the other side alone: one row for each hash
+    # a table of its own, so that Spark can split a hot hash in the join
+    shared = write_through(shared, "hashes")
     kept = every.join(shared, "hash").select(
         "doc_id", "_text", "place", "low", "high", "start", (F.col("n") > hot).alias("hot")
     )
