@@ -21,7 +21,7 @@ from newsloom.workspace import write_through
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces ranked in one task.
+#: Pieces of a length ranked in one task at most; its pieces are dealt to all tasks anyway.
 RANKED = 200_000
 
 
@@ -113,7 +113,8 @@ def plan(counts, capacity=CAPACITY):
 
 def _ranked(found):
     """Adds ``_rank``, from 0 among the pieces of a length, without a task for a whole length."""
-    salts = max(1, found.count() // RANKED)
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(tasks, found.count() // RANKED)
     salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

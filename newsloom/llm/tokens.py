@@ -7,10 +7,13 @@ ids, a text with runs of them goes through the library whole.
 """
 
 import os
+import re
 from array import array
 
 import numpy as np
 
+#: Letters and the marks that end a word; both kinds of tokenizer part them.
+MARKED_WORD = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
 #: Words a worker remembers per generation; two generations are kept.
 REMEMBERED = 300_000
 
@@ -28,21 +31,35 @@ class Encoder:
         self._library.encode_special_tokens = True
         self._spaces_matter = spaces_matter
         self._lead = " " if spaces_matter else ""
-        self._young, self._old = {}, {}
+        self._young, self._old, self._marks = {}, {}, {}
 
     def _whole(self, texts):
         found = self._library.encode_batch_fast(texts, add_special_tokens=False)
         return [_packed(e.ids) for e in found]
 
     def _learn(self, words):
-        new = []
+        """Adds the ids of words; a word with marks at its end is put together from both."""
+        parts, new = {}, set()
         for word in words:
             ids = self._old.get(word)
-            if ids is None:
-                new.append(word)
-            else:
+            if ids is not None:
                 self._young[word] = ids
+                continue
+            m = MARKED_WORD.fullmatch(word)
+            if m and m[1].isalpha():
+                parts[word] = m.groups()
+                if m[1] not in self._young:
+                    new.add(m[1])
+                if m[2] not in self._marks:
+                    self._marks[m[2]] = self._whole([m[2]])[0]
+            else:
+                new.add(word)
+        known = {w: self._old[w] for w in new if w in self._old}
+        new = list(new - known.keys())
+        self._young.update(known)
         self._young.update(zip(new, self._whole([self._lead + w for w in new])))
+        for word, (letters, marks) in parts.items():
+            self._young[word] = self._young[letters] + self._marks[marks]
 
     def encode(self, text):
         if not text:
@@ -54,7 +71,7 @@ class Encoder:
         first = self._whole([words[0]])[0] if words[0] else b""
         del words[0]
         if len(self._young) > REMEMBERED:
-            self._old, self._young = self._young, {}
+            self._old, self._young, self._marks = self._young, {}, {}
         try:
             return first + b"".join(map(self._young.__getitem__, words))
         except KeyError:
