@@ -175,7 +175,7 @@ def _run_rows(batches, splits, parts, length):
                     after = raw[place : place + length - a]
                     before = raw[place - b : place][::-1]
                     if hot:
-                        common = after[: length - b] + b"%d" % b.bit_length() + before[: _base(b)]
+                        common = _common(after, before, b, length)
                         part = parts + int.from_bytes(hashlib.blake2b(common, digest_size=6).digest()) % parts
                     else:
                         part = int(np.searchsorted(splits, _leading(after), "right"))
@@ -191,6 +191,13 @@ def _base(b):
     return 1 << (b.bit_length() - 1) if b else 0
 
 
+def _common(after, before, b, length):
+    """What all windows of the range that ``b`` is in share, however far the anchor itself reaches."""
+    base = _base(b)
+    end = min(2 * base - 1, length - SEED_BYTES) if base else 0
+    return after[: length - end] + b"%d" % b.bit_length() + before[:base]
+
+
 FOUND_SCHEMA = "item long, low int, high int"
 
 

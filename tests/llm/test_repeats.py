@@ -74,6 +74,18 @@ def test_small_runs_and_parts(documents, monkeypatch):
     assert found(documents(rows)) == brute(rows, repeats.LENGTH)
 
 
+def test_hot_anchors_that_reach_differently_far(documents, monkeypatch):
+    """One passage after texts of its own: its windows at the far range must meet in one of many parts."""
+    monkeypatch.setattr(repeats, "MERGED", 5)
+    draw = random.Random(8)
+    letters = lambda n: "".join(draw.choices("abcdefghij", k=n))
+    rows = []
+    for k in range(30):
+        passage = letters(draw.randint(200, 330))
+        rows += [(4 * k + j, letters(draw.randint(0, 150)) + passage + letters(draw.randint(0, 150))) for j in range(2)]
+    assert found(documents(rows), hot=1) == brute(rows, repeats.LENGTH)
+
+
 def test_clean_keeps_other_rows(documents, odd_rows):
     rows = [r for r in odd_rows if r[0] != 10]
     docs = documents(rows).selectExpr("doc_id", "text", "length(text) as n_chars", "'s' as source")
