@@ -1,15 +1,10 @@
 """Benchmark decontamination by edit distance (operator 3).
 
 A passage of a document leaks an item if it turns into the item by edits of at most
-``TOLERANCE`` of the item's words (lower-cased, punctuation apart). The CGK random walk maps a
-window of words to a longer sequence so that edit distance becomes Hamming distance: it copies
-the current word and then stays or moves on by a random bit of (step, word). Each of
-``TABLES`` walks is sampled at ``SAMPLED`` steps; windows of the item's size that agree with the
-item in all samples of some walk are candidates, whose edit distance is then computed exactly.
-
-Windows that cannot be near any item are left out beforehand, which loses nothing: d edits
-change at most q * d of the n - q + 1 runs of q words, so a window within the tolerance keeps
-the others, each within d places of where it belongs.
+``TOLERANCE`` of the item's words (lower-cased, punctuation apart). Candidates come from common
+runs of words, which loses nothing: d edits change at most q * d of the n - q + 1 runs of q
+words, so a window within the tolerance keeps the others, each within d places of where it
+belongs. The edit distance of every candidate is then computed exactly.
 """
 
 import numpy as np
@@ -17,17 +12,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from newsloom.llm.tables import documents
-from newsloom.llm.textwords import HashSet, char_spans, grams, mix, words
+from newsloom.llm.textwords import HashSet, char_spans, grams, words
 
 TOLERANCE = 0.2
-#: Walks and samples of each. Word edits of a fifth shift about a quarter of a walk, so one walk
-#: agrees with probability 0.75 ** 3 and one of twelve with more than 0.99.
-TABLES = 12
-SAMPLED = 3
-STRETCH = 3
-SEED = 11
-#: Windows walked at once.
-WINDOWS = 2048
 #: Items searched for in one pass over the documents; more are searched in further passes.
 ITEMS = 10_000
 
@@ -37,37 +24,6 @@ SCHEMA = (
 )
 
 
-def walk_keys(hashes, starts, sizes, seed=SEED):
-    """Keys (one row per window, one column per walk) of windows of a word sequence.
-
-    ``starts`` may lie outside the sequence; places outside hold no word (0).
-    """
-    if len(starts) > WINDOWS:
-        halves = np.array_split(np.arange(len(starts)), -(-len(starts) // WINDOWS))
-        return np.vstack([walk_keys(hashes, starts[h], sizes[h], seed) for h in halves])
-    n = len(hashes)
-    padded = np.concatenate([hashes, np.zeros(1, np.uint64)])
-    # samples at shares of a walk's length, the same for windows of all sizes
-    shares = np.sort(np.random.default_rng(seed).uniform(0, 1, (TABLES, SAMPLED)))
-    sampled = (shares * (sizes * STRETCH)[:, None, None]).astype(np.int64)
-    steps = int(sampled.max()) + 1
-    walk = np.arange(TABLES, dtype=np.uint64) << np.uint64(32)
-    copied = np.empty((len(starts), TABLES, steps), np.uint64)
-    at = np.zeros((len(starts), TABLES), np.int64)
-    low = np.maximum(0, -starts)[:, None]
-    high = np.minimum(sizes, n - starts)[:, None]
-    for step in range(steps):
-        word = padded[np.where((at >= low) & (at < high), starts[:, None] + at, n)]
-        copied[:, :, step] = word
-        coin = (word ^ (walk + np.uint64(step + 1))) * np.uint64(0x9E3779B97F4A7C15)
-        at += ((coin ^ (coin >> np.uint64(29))) >> np.uint64(17) & np.uint64(1)).astype(np.int64)
-    symbols = np.take_along_axis(copied, sampled, axis=2)
-    keys = np.zeros((len(starts), TABLES), np.uint64)
-    for k in range(SAMPLED):
-        keys = mix(keys * np.uint64(31) + symbols[:, :, k] + np.uint64(k + 1))
-    return keys
-
-
 def edit_distance_within(item, region):
     """Least edits that make some run of ``region`` into ``item``; ``(distance, start, end)``."""
     n = len(region)
@@ -93,7 +49,7 @@ def edit_distance_within(item, region):
 
 
 class Items:
-    """Items prepared for search: their runs of words, allowed edits and walk keys."""
+    """Items prepared for search: their runs of words and allowed edits."""
 
     def __init__(self, rows):
         self.ids, self.hashes, self.sizes, self.edits, self.least = [], [], [], [], []
@@ -121,10 +77,6 @@ class Items:
                 np.array([f[1] for f in found]),
                 np.array([f[2] for f in found]),
             )
-        keys = [
-            walk_keys(h, np.zeros(1, np.int64), np.array([len(h)])) for h in self.hashes
-        ]
-        self.keys = np.vstack(keys) if keys else np.zeros((0, TABLES), np.uint64)
 
     def supported(self, hashes):
         """``{item: starts}``: where enough of its runs lie in about the right place."""
@@ -162,11 +114,9 @@ class Items:
             return out
         for k, starts in self.supported(hashes).items():
             n, d = self.sizes[k], self.edits[k]
-            keys = walk_keys(hashes, starts, np.full(len(starts), n))
-            candidates = starts[(keys == self.keys[k]).any(axis=1)]
             best = None
             done = -1
-            for start in candidates.tolist():
+            for start in starts.tolist():
                 if start <= done:
                     continue  # the region already compared holds this window
                 low, high = max(0, start - d), min(len(hashes), start + n + 3 * d + 1)

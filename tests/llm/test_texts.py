@@ -87,6 +87,22 @@ def test_leaks_in_passes(spark, documents, contaminated, monkeypatch):
     assert decontaminate.leaks(docs, bench.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["deletions", "mixed"])
+def test_no_leak_is_missed_at_the_full_tolerance(kind):
+    draw = random.Random(14)
+    number = lambda ws: words(" ".join(ws))[2]
+    for n in (5, 20, 59, 100, 200):
+        items = [draw.choices([f"v{k}" for k in range(5000)], k=n) for _ in range(20)]
+        prepared = decontaminate.Items([(k, " ".join(t)) for k, t in enumerate(items)])
+        for k, item in enumerate(items):
+            d = int(decontaminate.TOLERANCE * n)
+            gone = set(draw.sample(range(n), d))
+            body = edited(draw, item, d) if kind == "mixed" else [w for j, w in enumerate(item) if j not in gone]
+            text = draw.choices(WORDS, k=50) + body + draw.choices(WORDS, k=50)
+            got = {x[0]: x[1] for x in prepared.leaks(number(text))}
+            assert got[k] == plain_distance(item, text)
+
+
 def test_edit_distance():
     draw = random.Random(9)
     for _ in range(200):
