@@ -4,7 +4,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, hnsw, htmltext, licenses, packing, quality, repeats, simhash, tokenfile, toxicity
+from newsloom.llm import audit, decontaminate, exact, hnsw, htmltext, licenses, packing, quality, repeats, resample, simhash, tokenfile, toxicity
 from newsloom.llm.tables import table
 from newsloom.workspace import new_path, write_through
 
@@ -74,6 +74,22 @@ def op10_token_binary(spark, sf_dir):
     return tokenfile.read_tokens(spark, path, with_ids=False)
 
 
+def op11_filter_audit(spark, sf_dir):
+    found = audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return audit.interactions(audit.postings(found))
+
+
+def op12_exact_dedup(spark, sf_dir):
+    return exact.find(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op13_importance_resample(spark, sf_dir):
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resample.draw(docs, target, percent=25, least_words=20, seed=7).select(
+        "doc_id", "n_features", "weight", "score", "rank"
+    )
+
+
 QUERIES = {
     "op1_hnsw": op1_hnsw,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -85,8 +101,16 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_token_binary": op10_token_binary,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_importance_resample": op13_importance_resample,
     "pipeline": corpus_pipeline.run,
 }
 
-# None of these can be written in SQL; tests/llm compares them with brute force.
-ORACLE = {"pipeline": corpus_pipeline.ORACLE_SQL}
+# The others cannot be written in SQL; tests/llm compares them with brute force.
+ORACLE = {
+    "op11_filter_audit": audit.SQL,
+    "op12_exact_dedup": exact.SQL,
+    "op13_importance_resample": resample.SQL,
+    "pipeline": corpus_pipeline.ORACLE_SQL,
+}
