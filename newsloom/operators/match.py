@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.dates import parse_published
 from newsloom.functions.once import computed_once
 from newsloom.functions.text import phrase_of, phrase_text
+from newsloom.operators.membership import key_filter, members
 from newsloom.operators.terms import clean
 from newsloom.workspace import write_through
 
@@ -74,34 +75,60 @@ def _match_inline(entries, regions, industries):
     return both.drop("_text")
 
 
+def _words(phrase):
+    return F.split(F.trim(phrase), " ")
+
+
+def anchored(terms, titles):
+    """Where each phrase would be looked up: ``word, at, phrase, term, kind``.
+
+    The anchor of a phrase is its word that the fewest of ``titles`` (``text``: arrays of words) hold. A phrase
+    with a word that no title holds occurs nowhere and has none.
+    """
+    parts = terms.select("phrase", F.posexplode(_words(F.col("phrase"))).alias("at", "word")).distinct()
+    parts = write_through(parts, "phrase-words")
+    vocabulary = write_through(key_filter(parts.select("word").distinct(), "xxhash64(word)"), "vocabulary")
+    said = titles.select(F.explode(F.array_distinct("text")).alias("word"))
+    counts = members(said, vocabulary, "xxhash64(word)").groupBy("word").agg(F.count("*").alias("n"))
+    rarest = (
+        parts.join(counts, "word")
+        .groupBy("phrase")
+        .agg(F.min(F.struct("n", "at", "word")).alias("rarest"), F.count("*").alias("said"))
+        .where(F.col("said") == F.size(_words(F.col("phrase"))))
+        .select("phrase", "rarest.at", "rarest.word")
+    )
+    return terms.join(rarest, "phrase").select("word", "at", "phrase", "term", "kind")
+
+
+def anchor_places(titles, anchors):
+    """The places of ``titles`` that go through the join: ``_entry, text, at, word`` at words that are anchors."""
+    known = write_through(key_filter(anchors.select("word").distinct(), "xxhash64(word)"), "anchor-words")
+    places = titles.select("_entry", "text", F.posexplode("text").alias("_at", "word"))
+    return members(places, known, "xxhash64(word)")
+
+
 def _match_joined(entries, regions, industries):
     terms = regions.select("phrase", "term", F.lit("r").alias("kind")).union(
         industries.select("phrase", "term", F.lit("i").alias("kind"))
     )
-    words = lambda c: F.split(F.trim(c), " ")
-    sizes = terms.agg(F.collect_set(F.size(words(F.col("phrase"))))).first()[0]
-    # entries are told apart by a number, so that repeated ones stay repeated, and only that
-    # number and the word sequences go through the join
+    terms = write_through(terms, "terms")
+    # entries are told apart by a number, so that repeated ones stay repeated
     entries = write_through(entries.withColumn("_entry", F.monotonically_increasing_id()), "entries")
-    text = words(phrase_text(F.col("title")))
-    sequences = F.flatten(
-        F.transform(
-            F.filter(F.array(*map(F.lit, sorted(sizes))), lambda n: n <= F.size(text)),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.size(text) - n + 1),
-                lambda at: F.concat(F.lit(" "), F.array_join(F.slice(text, at, n), " "), F.lit(" ")),
-            ),
-        )
-    )
-    grams = entries.select(
-        "_entry",
-        F.pmod(F.xxhash64("_entry"), F.lit(_SALTS)).cast("int").alias("_salt"),
-        F.explode(F.array_distinct(sequences)).alias("phrase"),
+    titles = computed_once(entries.select("_entry", "title"), text=_words(phrase_text(F.col("title"))))
+    titles = titles.select("_entry", "text")
+    anchors = write_through(anchored(terms, titles), "anchors")
+    # a frequent anchor is split over the salts
+    places = anchor_places(titles, anchors).withColumn(
+        "_salt", F.pmod(F.xxhash64("_entry"), F.lit(_SALTS)).cast("int")
     )
-    salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = anchors.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     of_kind = lambda k: F.collect_set(F.when(F.col("kind") == k, F.col("term")))
+    length = F.size(_words(F.col("phrase")))
+    start = F.col("_at") - F.col("at") + 1
+    said = F.array_join(F.slice("text", F.greatest(start, F.lit(1)), length), " ")
     found = (
-        grams.join(salted, ["phrase", "_salt"])
+        places.join(salted, ["word", "_salt"])
+        .where((start >= 1) & (said == F.trim("phrase")))
         .groupBy("_entry")
         .agg(of_kind("r").alias("regions"), of_kind("i").alias("industries"))
         .where((F.size("regions") > 0) & (F.size("industries") > 0))
@@ -122,7 +149,8 @@ def match_entries(entries, regions, industries, start, end):
     """Dated entries in range that mention a region and an industry, with both as arrays.
 
     A short list becomes a literal, so matching is part of the scan and shuffles nothing.
-    Longer lists are joined on the word sequences of the titles. Entries with dates (a landed
+    Longer lists are looked up at the rarest word of each phrase, so a title goes through the join
+    only where such a word stands. Entries with dates (a landed
     feed) are cut to the range first; otherwise only the dates of matching entries are parsed.
     Both ways give the same rows; an entry that is repeated is matched each time.
     """

@@ -6,7 +6,7 @@ from newsloom.functions.text import ascii_words, split_labels, strip
 from newsloom.schemas import SORT_COLUMN, STOP_WORDS, TOP_KEYWORDS, TOP_LABELS
 
 
-def _top(counts, label, top):
+def top_labels(counts, label, top):
     """The largest counts, smallest first for display; ties in label order."""
     return counts.orderBy(F.desc("n"), F.asc(label)).limit(top).orderBy(F.asc("n"), F.desc(label))
 
@@ -15,7 +15,7 @@ def label_counts(report, column, top=TOP_LABELS):
     """How many rows carry each label of a cell; blank labels do not count."""
     labels = report.select(F.explode(split_labels(F.col(column).cast("string"))).alias("label"))
     counts = labels.where(strip(F.col("label")) != "").groupBy("label").agg(F.count("*").alias("n"))
-    return _top(counts, "label", top)
+    return top_labels(counts, "label", top)
 
 
 def searched_words(report):
@@ -46,7 +46,7 @@ def top_keywords(report, top=TOP_KEYWORDS):
         .groupBy("word")
         .agg(F.sum("in_title").alias("n"), F.min("in_title").alias("only_title"))
     )
-    return _top(counts.where(F.col("only_title") == 1).select("word", "n"), "word", top)
+    return top_labels(counts.where(F.col("only_title") == 1).select("word", "n"), "word", top)
 
 
 def daily_trend(report):

@@ -2,20 +2,33 @@
 
 from pyspark.sql import functions as F
 
+from newsloom.operators.membership import key_filter, members
 from newsloom.schemas import STATUS_REDIRECT, STATUS_RESOLVED
+from newsloom.workspace import write_through
+
+
+def addresses(resolution, links):
+    """The resolved address of each link: ``link, _known``.
+
+    A filter of the ``links`` at hand is applied where the resolutions are read, so those of other links
+    are neither shuffled nor aggregated. A link that was tried more than once counts once.
+    """
+    known = write_through(key_filter(links, "xxhash64(link)"), "links")
+    resolved = F.coalesce("status", F.lit(False)) & F.col("decoded_url").isNotNull()
+    wanted = members(resolution.where(resolved).select("link", "decoded_url"), known, "xxhash64(link)")
+    return wanted.groupBy("link").agg(F.min("decoded_url").alias("_known"))
 
 
 def resolve_urls(articles, resolution=None):
     """Add ``url`` and ``status``: the resolved address, or the link itself.
 
-    Merged articles are already partitioned by link, so only the lookup moves. Without
+    The articles are written once, for their links are needed before the addresses are read. Without
     ``resolution`` the step is skipped and every link stays as it is.
     """
     if resolution is None:
         return articles.withColumns({"url": F.col("link"), "status": F.lit(STATUS_REDIRECT)})
-    resolved = F.coalesce("status", F.lit(False)) & F.col("decoded_url").isNotNull()
-    # a link that was tried more than once counts once
-    known = resolution.where(resolved).groupBy("link").agg(F.min("decoded_url").alias("_known"))
+    articles = write_through(articles, "merged")
+    known = addresses(resolution, articles.select("link"))
     return (
         articles.join(known, "link", "left")
         .withColumn("url", F.coalesce("_known", "link"))

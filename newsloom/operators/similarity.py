@@ -25,6 +25,8 @@ from newsloom.workspace import write_through
 
 # Rows of one side of a comparison tile.
 _TILE_LEAST, _TILE_MOST = 256, 4096
+# Word sets whose leaders are found first; each further batch is as large as all before.
+FIRST_BATCH = 1 << 14
 
 
 def _cutoff(threshold):
@@ -38,12 +40,20 @@ def title_nodes(rows, threshold=SIMILARITY_THRESHOLD):
     ``node`` is the earliest seq, ``n`` the number of rows. Titles without a word are similar
     to nothing, not even each other, and have no node.
     """
-    keyed = computed_once(
-        rows.select("seq", "title"), key=F.array_join(token_set(F.col("title")), " ")
-    )
+    keyed = computed_once(rows.select("seq", "title"), key=word_set_key(F.col("title")))
     nodes = keyed.where(F.col("key") != "").groupBy("key").agg(
         F.min("seq").alias("node"), F.count("*").alias("n")
     )
+    return with_features(nodes, threshold)
+
+
+def word_set_key(title):
+    """The distinct words of a title in order, as one text; empty where there is none."""
+    return F.array_join(token_set(title), " ")
+
+
+def with_features(nodes, threshold=SIMILARITY_THRESHOLD):
+    """``key, node, n`` with the features that bound the similarity of word sets."""
     # bands of lengths so wide that similar titles are at most one band apart
     cutoff = _cutoff(threshold)
     width = -math.log(cutoff / (200 - cutoff) - 1e-6)
@@ -51,8 +61,18 @@ def title_nodes(rows, threshold=SIMILARITY_THRESHOLD):
     return with_signature(measured, "key").withColumn("band", F.expr(f"int(floor(ln(len) / {width}D))"))
 
 
-def _contained_pairs(nodes, words, cutoff):
-    """Pairs where most of one title's text is made of words of the other.
+def _listed(nodes):
+    return nodes.select("node", F.explode("tokens").alias("token"))
+
+
+def _frequencies(*sides):
+    """How often each word occurs in the word sets of all sides."""
+    every = reduce(lambda a, b: a.union(b), map(_listed, sides))
+    return every.groupBy("token").agg(F.count("*").alias("df"))
+
+
+def _contained_pairs(inner, outer, frequency, words, cutoff):
+    """Pairs where most of the text of a title in ``inner`` is made of words of one in ``outer``.
 
     For titles with common words S, a score of ``cutoff`` or more from S against one title A
     means ``|S| >= share * |A|``. The words of A are ordered rarest first and cut where the
@@ -60,10 +80,8 @@ def _contained_pairs(nodes, words, cutoff):
     words meet all words on equality, and the first common one emits the pair.
     """
     share = cutoff / (200 - cutoff)
-    listed = nodes.select("node", F.explode("tokens").alias("token"))
-    frequency = listed.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = attach(listed, frequency, "token", "df", words, "node")
-    inner = (
+    ranked = attach(_listed(inner), frequency, "token", "df", words, "node")
+    order = (
         ranked.groupBy(F.col("node").alias("a"))
         .agg(F.expr("sort_array(collect_list(struct(df, -length(token) as neg, token)))").alias("order"))
         .selectExpr("a", "order", "order.token as ta", "aggregate(order, -1, (s, t) -> s + 1 - t.neg) as la")
@@ -72,8 +90,8 @@ def _contained_pairs(nodes, words, cutoff):
             ), t -> t.token) as lead""")
         .selectExpr("a", "ta", "la", "lead", "explode(lead) as token")
     )
-    outer = nodes.selectExpr("node as b", "tokens as tb", "explode(tokens) as token")
-    met = inner.join(outer, "token").where(
+    others = outer.selectExpr("node as b", "tokens as tb", "explode(tokens) as token")
+    met = order.join(others, "token").where(
         "a <> b and token = try_element_at(array_intersect(lead, tb), 1)"
     )
     scored = met.withColumn("shared", joined_length(F.array_intersect("ta", "tb")))
@@ -84,53 +102,69 @@ def _contained_pairs(nodes, words, cutoff):
     ).where(F.col("score") >= cutoff)
 
 
-def _tiles(nodes, blocks):
-    """Both sides of the comparison tiles, keyed by ``tile``.
+def _blocks(nodes, counts, rows):
+    """``nodes`` with their block, blocks of about ``rows`` rows within a band, and the SQL of blocks per band."""
+    blocks = {band: -(-n // rows) for band, n in counts.items()}
+    listed = f"map({', '.join(f'{band}, {n}' for band, n in blocks.items())})"
+    parts = nodes.withColumn("block", F.expr(f"cast(pmod(xxhash64(node), {listed}[band]) as int)"))
+    return parts, blocks, listed
+
+
+def _span(start, stop, tile):
+    stop = f"coalesce({stop}, 0)"
+    return f"transform(if({start} < {stop}, sequence({start}, {stop} - 1), array()), x -> {tile})"
+
+
+_TILE = "named_struct('ba', {}, 'xa', {}, 'bb', {}, 'xb', {})".format
+
+
+def _in_tiles(parts, tiles):
+    return parts.selectExpr("node", "tokens", "len", *SIGNATURE, f"explode(concat({', '.join(tiles)})) as tile")
 
-    Only titles in the same or in neighbouring length bands can be similar. A band is cut into
-    ``blocks[band]`` blocks, and each pair of blocks is a tile of bounded size, however full
-    the band is.
-    """
-    count = f"map({', '.join(f'{band}, {n}' for band, n in blocks.items())})"
-    parts = nodes.withColumn("block", F.expr(f"cast(pmod(xxhash64(node), {count}[band]) as int)"))
 
-    def others(start, stop, tile):
-        stop = f"coalesce({stop}, 0)"
-        return f"transform(if({start} < {stop}, sequence({start}, {stop} - 1), array()), x -> {tile})"
+def _tiles(nodes, counts, rows):
+    """Both sides of the comparison tiles of one table, and how many tiles there are.
 
-    tile = "named_struct('ba', {}, 'xa', {}, 'bb', {}, 'xb', {})".format
+    Only titles in the same or in neighbouring length bands can be similar. A band is cut into
+    blocks, and each pair of blocks is a tile of bounded size, however full the band is.
+    """
+    parts, blocks, listed = _blocks(nodes, counts, rows)
     left = [
-        others("block", f"{count}[band]", tile("band", "block", "band", "x")),
-        others("0", f"{count}[band + 1]", tile("band", "block", "band + 1", "x")),
+        _span("block", f"{listed}[band]", _TILE("band", "block", "band", "x")),
+        _span("0", f"{listed}[band + 1]", _TILE("band", "block", "band + 1", "x")),
     ]
     right = [
-        others("0", "block + 1", tile("band", "x", "band", "block")),
-        others("0", f"{count}[band - 1]", tile("band - 1", "x", "band", "block")),
-    ]
-    return [
-        parts.selectExpr("node", "tokens", "len", *SIGNATURE, f"explode(concat({', '.join(side)})) as tile")
-        for side in (left, right)
+        _span("0", "block + 1", _TILE("band", "x", "band", "block")),
+        _span("0", f"{listed}[band - 1]", _TILE("band - 1", "x", "band", "block")),
     ]
+    tiles = sum(n * (n + 1) // 2 + n * blocks.get(band + 1, 0) for band, n in blocks.items())
+    return _in_tiles(parts, left), _in_tiles(parts, right), tiles
+
 
+def _cross_tiles(one, other, ones, others, rows):
+    """Both sides of the tiles that compare two tables, and how many tiles there are."""
+    left, xs, of_left = _blocks(one, ones, rows)
+    right, ys, of_right = _blocks(other, others, rows)
+    near = [-1, 0, 1]
+    lefts = [_span("0", f"{of_right}[band + {d}]", _TILE("band", "block", f"band + {d}", "x")) for d in near]
+    rights = [_span("0", f"{of_left}[band - {d}]", _TILE(f"band - {d}", "x", "band", "block")) for d in near]
+    tiles = sum(n * ys.get(band + d, 0) for band, n in xs.items() for d in near)
+    return _in_tiles(left, lefts), _in_tiles(right, rights), tiles
 
-def _aligned_pairs(nodes, bands, cutoff):
+
+def _aligned_pairs(left, right, tiles, cutoff, once=None):
     """Pairs whose full texts align: common words first, then the other words of each.
 
     Length and character counts bound the score from above, in generated code within the join.
-    Only the survivors reach the Arrow UDF, which compares the words that differ.
+    Only the survivors reach the Arrow UDF, which compares the words that differ. ``once`` is the
+    condition that keeps a pair of one table from being compared twice.
     """
-    tile = min(_TILE_MOST, max(_TILE_LEAST, sum(bands.values()) // 64))
-    blocks = {band: -(-count // tile) for band, count in bands.items()}
-    left, right = _tiles(nodes, blocks)
     # tiles are few bytes but much work, so their partitions must not be coalesced by size
-    tiles = sum(n * (n + 1) // 2 + n * blocks.get(band + 1, 0) for band, n in blocks.items())
-    count = min(tiles, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    count = max(1, min(tiles, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     room = f"{1 - cutoff / 100}D * (a.len + b.len) + 1e-9D"
     met = left.repartition(count, "tile").alias("a").join(
         right.repartition(count, "tile").alias("b"),
-        F.expr(f"""a.tile = b.tile and a.node <> b.node
-            and (a.node < b.node or a.tile.ba <> a.tile.bb or a.tile.xa <> a.tile.xb)
-            and abs(a.len - b.len) <= {room}""")
+        F.expr(f"a.tile = b.tile and {once or 'true'} and abs(a.len - b.len) <= {room}")
         & (signature_distance("a", "b") <= F.expr(room)),
     )
     survivors = met.selectExpr(
@@ -146,18 +180,50 @@ def _aligned_pairs(nodes, bands, cutoff):
     ).where(F.col("score") >= cutoff)
 
 
+def _tile_rows(rows):
+    return min(_TILE_MOST, max(_TILE_LEAST, rows // 64))
+
+
+def _bands(nodes):
+    """Word sets per length band, and words of all."""
+    # lengths below 2^31 make fewer than 60 bands
+    bands = nodes.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("w")).collect()
+    return {b.band: b.n for b in bands}, sum(b.w for b in bands)
+
+
+def _best(pairs):
+    return pairs.groupBy("i", "j").agg(F.max("score").alias("score"))
+
+
 def node_pairs(nodes, threshold=SIMILARITY_THRESHOLD):
     """Every pair of written nodes with a rounded score of ``threshold`` or more: ``i < j, score``.
 
     No pair is dropped: the score is the best of three, and each join covers its own kind.
     """
-    # lengths below 2^31 make fewer than 60 bands
-    bands = nodes.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("w")).collect()
+    counts, words = _bands(nodes)
     cutoff = _cutoff(threshold)
-    pairs = _contained_pairs(nodes, sum(b.w for b in bands), cutoff)
-    if bands:
-        pairs = pairs.union(_aligned_pairs(nodes, {b.band: b.n for b in bands}, cutoff))
-    return pairs.groupBy("i", "j").agg(F.max("score").alias("score"))
+    pairs = _contained_pairs(nodes, nodes, _frequencies(nodes), words, cutoff)
+    if counts:
+        once = "a.node <> b.node and (a.node < b.node or a.tile.ba <> a.tile.bb or a.tile.xa <> a.tile.xb)"
+        tiles = _tiles(nodes, counts, _tile_rows(sum(counts.values())))
+        pairs = pairs.union(_aligned_pairs(*tiles, cutoff, once))
+    return _best(pairs)
+
+
+def cross_pairs(one, other, threshold=SIMILARITY_THRESHOLD):
+    """Every pair of a written node of ``one`` with a written node of ``other``, as in ``node_pairs``.
+
+    No node is in both. Nodes of the same table are not compared.
+    """
+    (ones, words), (others, more) = _bands(one), _bands(other)
+    cutoff, frequency = _cutoff(threshold), _frequencies(one, other)
+    pairs = _contained_pairs(one, other, frequency, words + more, cutoff).union(
+        _contained_pairs(other, one, frequency, words + more, cutoff)
+    )
+    if ones and others:
+        rows = _tile_rows(max(sum(ones.values()), sum(others.values())))
+        pairs = pairs.union(_aligned_pairs(*_cross_tiles(one, other, ones, others, rows), cutoff))
+    return _best(pairs)
 
 
 def leaders(pairs, max_rounds=None):
@@ -191,16 +257,62 @@ def leaders(pairs, max_rounds=None):
     return by_leader.groupBy(F.col("j").alias("node")).agg(F.min("i").alias("leader"))
 
 
+def follow(nodes, leading=None, threshold=SIMILARITY_THRESHOLD):
+    """The leader of every written node, its own included: ``node, leader``.
+
+    ``leading`` are written nodes that lead already, all of them earlier. A node follows the first
+    leader it is similar to; only nodes that meet none are compared with each other. So a story of
+    many word sets costs one comparison of each set with its leader, not one of each pair of sets.
+    """
+    rest, met = nodes, None
+    if leading is not None:
+        pairs = cross_pairs(leading, nodes, threshold)
+        met = write_through(pairs.groupBy(F.col("j").alias("node")).agg(F.min("i").alias("leader")), "met")
+        rest = write_through(nodes.join(met, "node", "left_anti"), "rest")
+    led = leaders(node_pairs(rest, threshold))
+    found = rest.select("node").join(led, "node", "left").select("node", F.coalesce("leader", "node").alias("leader"))
+    return found if met is None else found.unionByName(met)
+
+
+def follow_in_order(nodes, leading=None, threshold=SIMILARITY_THRESHOLD):
+    """``follow`` for any number of written nodes: each batch is about as large as all before it.
+
+    The sequential rule asks only for the leaders before a node, so batches give the same result.
+    """
+    count = nodes.count()
+    ends, size = [], FIRST_BATCH
+    while size < count:
+        ends.append(size / count)
+        size *= 2
+    # where exactly a batch ends changes nothing
+    bounds = sorted(set(nodes.approxQuantile("node", ends, 0.001))) if ends else []
+    found, low = None, None
+    for high in [*map(int, bounds), None]:
+        batch = nodes
+        if low is not None:
+            batch = batch.where(F.col("node") > low)
+        if high is not None:
+            batch = batch.where(F.col("node") <= high)
+        led = write_through(follow(batch, leading, threshold), "led")
+        found = led if found is None else found.union(led)
+        if high is not None:
+            leads = batch.join(led.where("node = leader").select("node"), "node", "left_semi")
+            more = write_through(leads.select(*nodes.columns), "leading")
+            leading = more if leading is None else leading.select(*nodes.columns).union(more)
+        low = high
+    return found
+
+
 def fuzzy_clusters(rows, threshold=SIMILARITY_THRESHOLD):
     """``key, leader, size``: cluster of each word set. Rows without a word have none."""
     nodes = write_through(title_nodes(rows, threshold), "nodes")
-    led = leaders(node_pairs(nodes, threshold))
-    placed = write_through(
-        nodes.join(led, "node", "left").select(
-            "key", "n", F.coalesce("leader", "node").cast("string").alias("_leader")
-        ),
-        "placed",
-    )
+    led = follow_in_order(nodes, threshold=threshold)
+    return with_sizes(nodes.join(led, "node").select("key", "n", "leader"))
+
+
+def with_sizes(sets):
+    """``key, n, leader`` of each word set with ``size``, the rows of its cluster."""
+    placed = write_through(sets.select("key", "n", F.col("leader").cast("string").alias("_leader")), "placed")
     # a big story has many word sets
     sizes = placed.groupBy("_leader").agg(F.sum("n").alias("size"), F.count("*").alias("sets"))
     sets = placed.count()
@@ -233,10 +345,12 @@ def similar_coverage(rows, threshold=SIMILARITY_THRESHOLD, method="fuzzy"):
     which is one aggregation and a join back on the key.
     """
     if _checked(method) == "exact":
-        key, clusters = title_key(F.col("title")), exact_clusters(rows)
-    else:
-        key = F.array_join(token_set(F.col("title")), " ")
-        clusters = fuzzy_clusters(rows, threshold)
+        return covered_by(rows, title_key(F.col("title")), exact_clusters(rows))
+    return covered_by(rows, word_set_key(F.col("title")), fuzzy_clusters(rows, threshold))
+
+
+def covered_by(rows, key, clusters):
+    """``rows`` with ``leader`` and ``similar`` from the clusters ``key, n, leader, size`` of their ``key``."""
     # a cluster of one needs no lookup
     shared = clusters.where(F.col("size") > 1).withColumnRenamed("key", "_key")
     shared = write_through(shared, "clusters")
@@ -248,25 +362,43 @@ def similar_coverage(rows, threshold=SIMILARITY_THRESHOLD, method="fuzzy"):
     }).select(*rows.columns, "leader", "similar")
 
 
-def similar_pairs(rows, threshold=SIMILARITY_THRESHOLD, method="fuzzy"):
-    """All pairs ``i < j`` of similar distinct titles, by their earliest rows, with their score.
+def similar_groups(rows, threshold=SIMILARITY_THRESHOLD, method="fuzzy"):
+    """The similarity of titles by classes: ``(titles, links)``.
 
-    ``fuzzy`` pairs score ``threshold`` or more; ``exact`` pairs have equal normalised titles
-    and score 100. Titles are compared by word set; here each set's titles are put in again.
+    ``titles`` has a row per distinct title, by its earliest row: ``seq, class, class_size``. All titles
+    of a class are similar with a score of 100; it is named by its earliest title. ``links`` has the pairs
+    of similar classes, ``i < j`` and ``score``, which is that of all their titles. So a class of k
+    titles takes k rows, not k * k. ``exact`` classes have no links; a ``fuzzy`` title without a word no class.
     """
     exact = _checked(method) == "exact"
-    key = title_key(F.col("title")) if exact else F.array_join(token_set(F.col("title")), " ")
+    key = title_key(F.col("title")) if exact else word_set_key(F.col("title"))
     titles = rows.groupBy("title").agg(F.min("seq").alias("seq"))
     titles = computed_once(titles, key=key)
     titles = write_through(titles if exact else titles.where(F.col("key") != ""), "titles")
-    one, other = titles.select("key", F.col("seq").alias("i")), titles.select("key", F.col("seq").alias("j"))
-    alike = one.join(other, "key").where("i < j").select("i", "j", F.lit(100.0).alias("score"))
+    classes = titles.groupBy("key").agg(F.min("seq").alias("class"), F.count("*").alias("class_size"))
+    members = attach(titles, classes, "key", "class_size", titles.count(), "seq")
+    links = None if exact else node_pairs(write_through(title_nodes(rows, threshold), "nodes"), threshold)
     if exact:
-        return alike
-    nodes = write_through(title_nodes(rows, threshold), "nodes")
-    named = nodes.select("key", "node").join(titles.select("key", "seq"), "key").select("node", "seq")
-    sets = node_pairs(nodes, threshold).toDF("a", "b", "score")
-    near = sets.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b")
+        links = rows.sparkSession.createDataFrame([], "i long, j long, score double")
+    return write_through(members.select("seq", "class", "class_size"), "members"), links
+
+
+def expanded(titles, links):
+    """All pairs of similar titles from their classes: ``i < j, score``."""
+    one, other = titles.select("class", F.col("seq").alias("i")), titles.select("class", F.col("seq").alias("j"))
+    alike = one.join(other, "class").where("i < j").select("i", "j", F.lit(100.0).alias("score"))
+    named = titles.select("class", "seq")
+    near = links.toDF("a", "b", "score").join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b")
     return alike.unionByName(
         near.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "score")
     )
+
+
+def similar_pairs(rows, threshold=SIMILARITY_THRESHOLD, method="fuzzy"):
+    """All pairs ``i < j`` of similar distinct titles, by their earliest rows, with their score.
+
+    ``fuzzy`` pairs score ``threshold`` or more; ``exact`` pairs have equal normalised titles
+    and score 100. Titles are compared by word set; here each set's titles are put in again, so
+    there are as many rows as pairs: ``similar_groups`` says the same in fewer.
+    """
+    return expanded(*similar_groups(rows, threshold, method))
