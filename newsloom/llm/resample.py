@@ -25,10 +25,8 @@ from newsloom.llm.tables import documents
 from newsloom.workspace import write_through
 
 BUCKETS = 10_000
-#: Bytes of text whose words are looked up at once; a longer text takes several rounds.
+#: Bytes of text whose words are hashed at once; a longer text takes several rounds.
 ROUND_BYTES = 1 << 20
-#: Words a worker remembers.
-REMEMBERED = 300_000
 #: Thresholds counted by one job.
 PIVOTS = 15
 
@@ -36,22 +34,29 @@ PIVOTS = 15
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
+_SPACE = 32
 #: Longer words are hashed one by one.
 _TABLED = 63
 
 
+def _byte_table():
+    """What eight shifts make of each byte of a CRC-32 register."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    return table
+
+
 def _zero_tables():
     """``[n][k][b]``: what n zero bytes make of byte b at place k of a CRC-32 register."""
-    step = np.arange(256, dtype=np.uint32)
-    for _ in range(8):
-        step = np.where(step & 1, (step >> 1) ^ np.uint32(0xEDB88320), step >> 1).astype(np.uint32)
     tables = np.empty((_TABLED + 2, 4, 256), np.uint32)
     tables[0] = np.arange(256, dtype=np.uint32) << (8 * np.arange(4, dtype=np.uint32))[:, None]
     for n in range(1, len(tables)):
-        tables[n] = step[tables[n - 1] & 255] ^ (tables[n - 1] >> 8)
+        tables[n] = _BYTES[tables[n - 1] & 255] ^ (tables[n - 1] >> 8)
     return tables
 
 
+_BYTES = _byte_table()
 _ZEROS = _zero_tables()
 
 
@@ -61,104 +66,87 @@ def _shifted(crc, n):
     return places[0] ^ places[1] ^ places[2] ^ places[3]
 
 
-class Features:
-    """Buckets of the features of texts; remembers words."""
-
-    def __init__(self):
-        self._ids = {}
-        self._words, self._crc, self._spaced, self._size = [], [], [], []
-
-    def _learn(self, words):
-        if len(self._ids) > REMEMBERED:
-            self.__init__()
-        for word in words:
-            self._ids[word] = len(self._words)
-            self._words.append(word)
-            self._crc.append(zlib.crc32(word))
-            self._spaced.append(zlib.crc32(b" " + word))
-            self._size.append(len(word))
-        self._arrays = (
-            np.array(self._crc, np.uint32), np.array(self._spaced, np.uint32), np.array(self._size, np.int64)
-        )
-
-    def _numbers(self, words):
-        try:
-            return np.fromiter(map(self._ids.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            missing = set(words).difference(self._ids)
-            if len(self._ids) > REMEMBERED:
-                missing = set(words)
-            self._learn(missing)
-        return np.fromiter(map(self._ids.__getitem__, words), np.int64, len(words))
-
-    def buckets(self, texts):
-        """Of each text (UTF-8) ``words``, and of all of them the buckets and the text of each feature.
-
-        Yields ``(n_words, owners, buckets)`` for rounds of texts: ``n_words`` as pairs (text, words).
-        """
-        words, owners, starts = [], [], []
-        for owner, raw in enumerate(texts):
-            for found, begins in _pieces(raw):
-                starts.append((len(words), begins))
-                words += found
-                owners.append((owner, len(found)))
-                if len(words) * 6 >= ROUND_BYTES:
-                    yield self._round(words, owners, starts)
-                    words, owners, starts = [], [], []
-        if words:
-            yield self._round(words, owners, starts)
-
-    def _round(self, words, owners, starts):
-        if not words:
-            none = np.zeros(0, np.int64)
-            return none, none, none
-        numbers = self._numbers(words)
-        crc, spaced, size = (a[numbers] for a in self._arrays)
-        owner = np.repeat([o for o, _ in owners], [n for _, n in owners])
-        # a piece that continues a text begins with the last word of the piece before
-        fresh = np.ones(len(words), bool)
-        fresh[[at for at, begins in starts if not begins and at < len(words)]] = False
-        ones = np.flatnonzero(fresh)
-        follows = np.ones(len(words), bool)
-        follows[[at for at, _ in starts if at < len(words)]] = False
-        seconds = np.flatnonzero(follows)
-        firsts = seconds - 1
-        pairs = np.empty(len(seconds), np.uint32)
-        short = size[seconds] <= _TABLED
-        a, b = firsts[short], seconds[short]
-        pairs[short] = _shifted(crc[a], size[b] + 1) ^ spaced[b]
-        for k in np.flatnonzero(~short):
-            pairs[k] = zlib.crc32(b" " + words[seconds[k]], int(crc[firsts[k]]))
-        buckets = np.concatenate([crc[ones], pairs]).astype(np.int64) % BUCKETS
-        return owner[ones], np.concatenate([owner[ones], owner[seconds]]), buckets
+def _checksums(raw, text, starts, sizes):
+    """CRC-32 of each word of ``text``, byte by byte for all words at once; ``raw`` is the text as an array."""
+    out = np.empty(len(starts), np.uint32)
+    longest_first = np.argsort((_TABLED + 1 - np.minimum(sizes, _TABLED + 1)).astype(np.uint8), kind="stable")
+    short = longest_first[sizes[longest_first] <= _TABLED]
+    for w in longest_first[: len(longest_first) - len(short)]:
+        out[w] = zlib.crc32(text[starts[w] : starts[w] + sizes[w]])
+    at, left = starts[short], sizes[short]
+    crc = np.full(len(short), 0xFFFFFFFF, np.uint32)
+    # words of at least k + 1 bytes come first
+    reaching = np.searchsorted(-left, -np.arange(left[0] if len(left) else 0), "left")
+    for k, n in enumerate(reaching):
+        crc[:n] = _BYTES[(crc[:n] ^ raw[at[:n] + k]) & 255] ^ (crc[:n] >> 8)
+    out[short] = ~crc
+    return out
+
+
+def feature_buckets(texts):
+    """The buckets of the features of texts (UTF-8), in rounds of bounded size.
+
+    Yields ``(words, owners, buckets)``: the index of its text for each word, for each feature, and the
+    bucket of each feature.
+    """
+    held, size = [], 0
+    for owner, raw in enumerate(texts):
+        for piece, begins in _pieces(raw):
+            held.append((owner, piece, begins))
+            size += len(piece)
+            if size >= ROUND_BYTES:
+                yield _round(held)
+                held, size = [], 0
+    if held:
+        yield _round(held)
+
+
+def _round(held):
+    owners, pieces, begins = zip(*held)
+    text = b" ".join(pieces).translate(_FOLD) + b" "
+    raw = np.frombuffer(text, np.uint8)
+    inside = np.concatenate([[False], raw != _SPACE])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sizes = ends - starts
+    begin = np.concatenate([[0], np.cumsum([len(p) + 1 for p in pieces])])
+    piece = np.searchsorted(begin, starts, "right") - 1
+    owner = np.array(owners)[piece]
+    first = np.ones(len(starts), bool)
+    first[1:] = piece[1:] != piece[:-1]
+    # a piece that continues a text begins with the last word of the piece before
+    ones = np.flatnonzero(~(first & ~np.array(begins)[piece]))
+    seconds = np.flatnonzero(~first)
+    firsts = seconds - 1
+    crc = _checksums(raw, text, starts, sizes)
+    pairs = np.empty(len(seconds), np.uint32)
+    short = sizes[seconds] <= _TABLED
+    a, b = firsts[short], seconds[short]
+    spaced = crc[b] ^ _shifted(np.full(len(b), zlib.crc32(b" "), np.uint32), sizes[b])
+    pairs[short] = _shifted(crc[a], sizes[b] + 1) ^ spaced
+    for k in np.flatnonzero(~short):
+        w = seconds[k]
+        pairs[k] = zlib.crc32(b" " + text[starts[w] : ends[w]], int(crc[firsts[k]]))
+    buckets = np.concatenate([crc[ones], pairs]).astype(np.int64) % BUCKETS
+    return owner[ones], np.concatenate([owner[ones], owner[seconds]]), buckets
 
 
 def _pieces(raw):
-    """Lists of words of a text, in rounds of bounded size: ``(words, whether the text begins here)``."""
+    """A text in pieces of bounded size: ``(bytes, whether the text begins here)``, cut between words."""
     if len(raw) <= ROUND_BYTES:
-        yield raw.translate(_FOLD).split(), True
+        yield raw, True
         return
-    folded, at, last = raw.translate(_FOLD), 0, []
+    folded, at, last = raw.translate(_FOLD), 0, b""
     while at < len(folded):
         end = folded.find(b" ", at + ROUND_BYTES)
         end = len(folded) if end < 0 else end
-        found = folded[at:end].split()
-        if found:
-            yield last + found, not last
-            last = found[-1:]
+        piece = folded[at:end].strip(b" ")
+        if piece:
+            yield (last + b" " + piece, False) if last else (piece, True)
+            last = piece[piece.rfind(b" ") + 1 :]
         at = end
 
 
-_kept = []
-
-
-def _features():
-    """The worker's table of words."""
-    if not _kept:
-        _kept.append(Features())
-    return _kept[0]
-
-
 def bucket_counts(texts):
     """How many features of all ``text`` values fall into each bucket: at most 10,000 rows ``bucket, n``."""
 
@@ -166,7 +154,7 @@ def bucket_counts(texts):
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             raws = batch["text"].cast(pa.binary()).to_pylist()
-            for _, _, buckets in _features().buckets(raws):
+            for _, _, buckets in feature_buckets(raws):
                 total += np.bincount(buckets, minlength=BUCKETS)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["bucket", "n"])
@@ -203,7 +191,7 @@ def score(docs, gain, seed):
         for batch in batches:
             raws = batch["text"].cast(pa.binary()).to_pylist()
             words, features, total = (np.zeros(len(raws), np.int64) for _ in range(3))
-            for ones, owners, buckets in _features().buckets(raws):
+            for ones, owners, buckets in feature_buckets(raws):
                 words += np.bincount(ones, minlength=len(raws))
                 features += np.bincount(owners, minlength=len(raws))
                 np.add.at(total, owners, gain[buckets])
