@@ -36,11 +36,11 @@ def pieces(docs, vocabulary, capacity=CAPACITY, end_id=END_ID, with_ids=False):
     step = 4 * capacity
 
     def cut(batches):
-        encode = encoder(vocabulary, spaces_matter=False).encode
+        encode_all = encoder(vocabulary, spaces_matter=False).encode_all
         for batch in batches:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids = encode(text.replace("\n", " ")) + end
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode_all(batch["text"].to_pylist())):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     out["doc_id"].append(doc_id)

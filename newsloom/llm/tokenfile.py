@@ -51,8 +51,8 @@ def train_dictionary(docs, vocabulary, width):
         .limit(TRAIN_DOCUMENTS)
         .collect()
     )
-    encode = encoder(vocabulary, spaces_matter=True).encode
-    arrays = [np.frombuffer(encode(r["text"]), "<u4").astype(f"<u{width}").tobytes() for r in sample]
+    encoded = encoder(vocabulary, spaces_matter=True).encode_all([r["text"] for r in sample])
+    arrays = [np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes() for ids in encoded]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()
     except zstandard.ZstdError:
@@ -117,7 +117,7 @@ def write_tokens(docs, path, vocabulary, end_id=END_ID, partitions=None):
     end = np.array([end_id], "<u4").tobytes()
 
     def blocks(batches):
-        encode = encoder(vocabulary, spaces_matter=True).encode
+        encode_all = encoder(vocabulary, spaces_matter=True).encode_all
         part, block, before, rows, n = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def closed():
@@ -129,8 +129,8 @@ def write_tokens(docs, path, vocabulary, end_id=END_ID, partitions=None):
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids = encode(text) + end
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode_all(batch["text"].to_pylist())):
+                ids += end
                 rows.append((doc_id, ids))
                 n += len(ids) // 4
                 if n >= BLOCK_IDS:

@@ -1,21 +1,32 @@
-"""Token ids of whole texts by the tokenizers library, with the words of a text looked up once.
-
-A byte-pair tokenizer never merges across a space between two other characters, so a text
-without runs of spaces is the concatenation of its words. Each Python worker keeps the ids of
-the words it met lately; only new words go through the library. Where spaces are part of the
-ids, a text with runs of them goes through the library whole.
+"""Token ids of whole texts by the tokenizers library, with each different word looked up once.
+
+A byte-pair tokenizer never merges across a space between two other characters, nor between the letters of a
+word and the marks that end it, so a text without runs of spaces is the concatenation of such pieces.
+The pieces of many texts are told apart by array operations; each Python worker keeps the ids of those it
+met lately, and only new ones go through the library, many in one call. A text goes through the library
+whole where it holds the string of an added token, or, where spaces are part of the ids, a run of
+spaces. The ids are those of the library's plain call.
 """
 
 import os
-import re
 from array import array
 
 import numpy as np
-
-#: Letters and the marks that end a word; both kinds of tokenizer part them.
-MARKED_WORD = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
-#: Words a worker remembers per generation; two generations are kept.
-REMEMBERED = 300_000
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Pieces a worker remembers per generation; two generations are kept.
+REMEMBERED = 400_000
+#: Characters of texts whose pieces are looked up at once.
+ROUND_CHARS = 1 << 23
+#: New pieces in one call's text.
+JOINED = 200
+
+# Letters that every version of Unicode knows, and marks; a piece may end between the two.
+_LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
+_MARK = r"[!-/:-@\[-`{-~]"
+# Between pieces where a space is part of the next one.
+_CUT = "\x00"
 
 _encoders = {}
 
@@ -28,55 +39,103 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True
+        self._added = [t.content for t in self._library.get_added_tokens_decoder().values()]
         self._spaces_matter = spaces_matter
-        self._lead = " " if spaces_matter else ""
-        self._young, self._old, self._marks = {}, {}, {}
+        self._young, self._old = {}, {}
+        # what stands between new pieces in a call, and its only id
+        self._mark, self._between = ("\n", "\n") if spaces_matter else ("|", " | ")
+        ids = self._ids([self._mark])[0]
+        self._mark_id = ids[0] if len(ids) == 1 else None
+
+    def _ids(self, texts):
+        return [e.ids for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _whole(self, texts):
-        found = self._library.encode_batch_fast(texts, add_special_tokens=False)
-        return [_packed(e.ids) for e in found]
-
-    def _learn(self, words):
-        """Adds the ids of words; a word with marks at its end is put together from both."""
-        parts, new = {}, set()
-        for word in words:
-            ids = self._old.get(word)
-            if ids is not None:
-                self._young[word] = ids
+        return [_packed(ids) for ids in self._ids(texts)]
+
+    def _encoded(self, pieces):
+        """The ids of pieces, many of them in one text."""
+        found, alone, joined = {}, [], []
+        for piece in pieces:
+            bare = piece[1:] if self._spaces_matter and piece[:1] == " " else piece
+            plain = self._mark_id is not None and self._mark not in bare and bare.split() == [bare]
+            (joined if plain else alone).append(piece)
+        groups = [joined[at : at + JOINED] for at in range(0, len(joined), JOINED)]
+        for group, ids in zip(groups, self._ids([self._between.join(g) for g in groups])):
+            ids = np.array(ids, "<u4")
+            marks = np.flatnonzero(ids == self._mark_id)
+            if len(marks) != len(group) - 1:
+                alone += group
                 continue
-            m = MARKED_WORD.fullmatch(word)
-            if m and m[1].isalpha():
-                parts[word] = m.groups()
-                if m[1] not in self._young:
-                    new.add(m[1])
-                if m[2] not in self._marks:
-                    self._marks[m[2]] = self._whole([m[2]])[0]
-            else:
-                new.add(word)
-        known = {w: self._old[w] for w in new if w in self._old}
-        new = list(new - known.keys())
-        self._young.update(known)
-        self._young.update(zip(new, self._whole([self._lead + w for w in new])))
-        for word, (letters, marks) in parts.items():
-            self._young[word] = self._young[letters] + self._marks[marks]
-
-    def encode(self, text):
-        if not text:
-            return b""
-        if self._spaces_matter and "  " in text:
-            return self._whole([text])[0]
-        words = text.split(" ")
-        # the first word has no space before it
-        first = self._whole([words[0]])[0] if words[0] else b""
-        del words[0]
+            raw, start = ids.tobytes(), 0
+            for piece, end in zip(group, [*marks.tolist(), len(ids)]):
+                found[piece] = raw[4 * start : 4 * end]
+                start = end + 1
+        found.update(zip(alone, self._whole(alone)))
+        return found
+
+    def _pieces(self, texts):
+        """The pieces of each text, as a list array."""
+        texts = pa.array(texts, pa.large_string())
+        if not self._spaces_matter:
+            # any white space will do, so a space parts letters and marks
+            texts = pc.replace_substring_regex(texts, f"({_LETTER})({_MARK}+)([ \n]|$)", r"\1 \2\3")
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        texts = pc.replace_substring(texts, " ", _CUT + " ")
+        texts = pc.replace_substring_regex(texts, f"({_LETTER})({_MARK}+)({_CUT}|\n|$)", rf"\1{_CUT}\2\3")
+        either = f"({_LETTER}|{_MARK}|[0-9])"
+        texts = pc.replace_substring_regex(texts, f"{either}\n{either}", f"\\1{_CUT}\n{_CUT}\\2")
+        return pc.split_pattern(texts, _CUT)
+
+    def _round(self, texts):
+        """The ids of texts that are their pieces."""
         if len(self._young) > REMEMBERED:
-            self._old, self._young, self._marks = self._young, {}, {}
-        try:
-            return first + b"".join(map(self._young.__getitem__, words))
-        except KeyError:
-            self._learn({w for w in words if w not in self._young})
-        return first + b"".join(map(self._young.__getitem__, words))
+            self._old, self._young = self._young, {}
+        split = self._pieces(texts)
+        coded = split.flatten().dictionary_encode()
+        different, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        young, old = self._young, self._old
+        missing = [p for p in different if p not in young]
+        known = {p: old[p] for p in missing if p in old}
+        young.update(known)
+        young.update(self._encoded([p for p in missing if p not in known]))
+        ids = [young[p] for p in different]
+        values = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        places = np.arange(ends[-1]) + np.repeat(starts[which] - (ends - lengths), lengths)
+        raw = values[places].tobytes()
+        cuts = np.concatenate([[0], ends])[split.offsets.to_numpy()].tolist()
+        return [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
+
+    def _goes_whole(self, text):
+        if any(added in text for added in self._added):
+            return True
+        return self._spaces_matter and ("  " in text or _CUT in text)
+
+    def encode_all(self, texts):
+        """The ids of each text."""
+        out, held, size = [b""] * len(texts), [], 0
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if self._goes_whole(text):
+                out[k] = self._whole([text])[0]
+                continue
+            held.append(k)
+            size += len(text)
+            if size >= ROUND_CHARS:
+                self._fill(out, texts, held)
+                held, size = [], 0
+        self._fill(out, texts, held)
+        return out
+
+    def _fill(self, out, texts, held):
+        if held:
+            for k, ids in zip(held, self._round([texts[k] for k in held])):
+                out[k] = ids
 
 
 def _packed(ids):

@@ -16,16 +16,20 @@ BYTE = public_tokenizers.path("byte_bpe_50k.json")
 
 def library(path):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab  '\n\ts.,9é漢̈​!<|>"), max_size=40) | st.text(max_size=30))
+@given(
+    st.text(alphabet=st.sampled_from("ab  '\n\ts.,9é漢̈​!<|>\x00\xa0Ω"), max_size=40)
+    | st.lists(st.sampled_from(["Foo", "bar,", "x|y", "it's", "<|endoftext|>", "<|startoftext|>", "é.)", "\n", "a\nb", "|"]))
+    .map(" ".join)
+    | st.text(max_size=30)
+)
 def test_words_looked_up_equal_whole_texts(text):
     text = text.encode("utf-8", "ignore").decode()
     for path, spaces in ((BYTE, True), (WORD, False)):
-        got = np.frombuffer(encoder(path, spaces).encode(text), "<u4").tolist()
+        got = np.frombuffer(encoder(path, spaces).encode_all([text])[0], "<u4").tolist()
         assert got == library(path)(text)
 
 
@@ -114,3 +118,17 @@ def test_token_file_of_repeated_rows_and_nothing(spark, documents, tmp_path):
     assert sorted(r.start for r in tokenfile.read_tokens(spark, str(tmp_path / "two")).collect()) == [0, 2]
     tokenfile.write_tokens(documents([]), str(tmp_path / "none"), BYTE)
     assert tokenfile.read_tokens(spark, str(tmp_path / "none")).collect() == []
+
+
+@pytest.mark.parametrize("path,spaces", [(BYTE, True), (WORD, False)])
+def test_texts_in_rounds_equal_the_plain_call(monkeypatch, odd_rows, path, spaces):
+    """Special strings in a text are what the library makes of them."""
+    monkeypatch.setattr("newsloom.llm.tokens.ROUND_CHARS", 500)
+    monkeypatch.setattr("newsloom.llm.tokens.REMEMBERED", 40)
+    monkeypatch.setattr("newsloom.llm.tokens.JOINED", 7)
+    texts = [t for _, t in odd_rows if t] + ["", "a <|endoftext|> b", "Ends, with; marks!", "tab\tand\n\nlines\r\n x"] * 3
+    texts += [" ".join(f"wörd{k * j}, | x" for j in range(30)) for k in range(40)]
+    ids_of = library(path)
+    found = encoder(path, spaces).__class__(path, spaces).encode_all(texts)
+    for text, ids in zip(texts, found):
+        assert np.frombuffer(ids, "<u4").tolist() == ids_of(text)
