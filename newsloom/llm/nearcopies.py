@@ -1,11 +1,17 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8.
 
-A fingerprint of 64 bits cannot find these without loss: at 0.8 two of them differ in ten bits on
-average. Candidates come from prefixes instead, and no pair is missed: where all sets are put in one
-order, two sets of that similarity share a shingle among the first ``n - ceil(0.8 n) + 1`` of their n.
-The order has shingles that a sample shows to be frequent last, so common lines bring few together; any
-order gives the same result. A pair is taken up at its first common shingle if what follows in both can
-still make up the similarity, and is then compared exactly, on the whole sets.
+First the fingerprints: documents whose five-word fingerprints differ in two bits at most are found by
+covering masks, compared exactly, and linked. That joins up most copies at little cost, but a fingerprint
+of 64 bits cannot find all such pairs: at 0.8 two of them differ in ten bits on average. So candidates
+for the rest come from prefixes, and no pair is missed: where all sets are put in one order, two sets of
+that similarity share a shingle among the first ``n - ceil(0.8 n) + 1`` of their n. The order has
+shingles that a sample shows to be frequent last, so common lines bring few together; any order gives
+the same result. A pair is taken up at its first common shingle if what follows in both can still make
+up the similarity.
+
+Before any text moves, a pair's parity bitmaps are compared: bit k of a bitmap tells whether the set has an odd
+number of shingles that hash to k, so two bitmaps differ in no more bits than the sets differ in shingles.
+Pairs that pass are compared exactly, on the whole sets.
 
 Documents with equal sets meet once, as one node. Members of a bucket are compared with one of them
 first; what is linked so far is one component, and then only members of different components are paired,
@@ -20,9 +26,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
+from newsloom.llm import simhash
 from newsloom.llm.components import roots
 from newsloom.llm.simhash import SEED, words
 from newsloom.llm.tables import documents
+from newsloom.operators.membership import key_filter, members
 from newsloom.workspace import write_through
 
 SHINGLE = 5
@@ -32,6 +40,8 @@ STARS = 2
 #: Documents sampled for the order of shingles, and frequent shingles told.
 SAMPLE = 4000
 FREQUENT = 50_000
+#: Words of a parity bitmap, 64 bits each.
+PARITY = [f"p{k}" for k in range(16)]
 
 
 def shingles(text, shingle=SHINGLE, seed=SEED):
@@ -77,20 +87,38 @@ def _frequent(plain, shingle, seed):
     return hashes[order], rows["n"].to_numpy()[order]
 
 
-SET_SCHEMA = "doc_id long, mark long, node long, size int, prefix array<long>"
+def fingerprint(hashes):
+    """64 bits, each set if it is in over half the hashes, as a signed long."""
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def parity(hashes):
+    """The parity bitmap of a set, as signed longs."""
+    bits = 64 * len(PARITY)
+    return np.packbits(np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).view(np.int64)
+
+
+SET_SCHEMA = "doc_id long, mark long, node long, size int, prefix array<long>, fp long, " + ", ".join(
+    f"{p} long" for p in PARITY
+)
 
 
 def _set_rows(batches, shingle, seed, least, frequent, ranks):
     for batch in batches:
-        nodes, sizes, prefixes = [], [], []
+        nodes, sizes, prefixes, fps, bitmaps = [], [], [], [], []
         for text in batch["text"].to_pylist():
             own = shingles(text, shingle, seed)
             nodes.append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "big", signed=True))
             sizes.append(len(own))
             prefixes.append(prefix(own, least, frequent, ranks).view(np.int64))
+            fps.append(fingerprint(own))
+            bitmaps.append(parity(own))
         columns = [batch["doc_id"], batch["mark"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32())]
-        columns.append(pa.array(prefixes, pa.list_(pa.int64())))
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "size", "prefix"])
+        columns += [pa.array(prefixes, pa.list_(pa.int64())), pa.array(fps, pa.int64())]
+        bitmaps = np.array(bitmaps, np.int64).reshape(-1, len(PARITY))
+        columns += [pa.array(np.ascontiguousarray(bitmaps[:, k])) for k in range(len(PARITY))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "size", "prefix", "fp", *PARITY])
 
 
 def _compared(batches, shingle, seed, least):
@@ -131,8 +159,29 @@ def _others(buckets):
     return write_through(buckets.join(largest, "key").where("root <> _most").select("key", *names), "others")
 
 
+def _alike(sets):
+    """Pairs ``x, y`` of nodes to try first: fingerprints within two bits, one node of each fingerprint."""
+    first = write_through(sets.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    same = sets.select("fp", "node").join(first, "fp").where("node <> first").selectExpr("first as x", "node as y")
+    linked = simhash.links(first).toDF("a", "b")
+    near = linked.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select("x", "y")
+    return same.unionByName(near).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _close(pairs, sets, least):
+    """The pairs whose sizes and parity bitmaps leave the similarity possible."""
+    side = lambda name, p: sets.select(
+        F.col("node").alias(name), F.col("size").alias(f"{p}_size"), *[F.col(c).alias(f"{p}_{c}") for c in PARITY]
+    )
+    both = pairs.join(side("y", "b"), "y").join(side("x", "a"), "x")
+    differing = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in PARITY)
+    possible = F.expr(differing) <= (1 - least) / (1 + least) * (F.col("a_size") + F.col("b_size")) + 1e-6
+    sizes = F.least("a_size", "b_size") >= least * F.greatest("a_size", "b_size") - 1e-6
+    return both.where(sizes & possible).select("x", "y")
+
+
 def links(sets, texts_of, shingle=SHINGLE, seed=SEED, least=SIMILARITY):
-    """Links ``a, b`` that join up all pairs of ``sets(node, size, prefix)`` as similar as ``least``.
+    """Links ``a, b`` that join up all pairs of ``sets(node, size, prefix, fp, ...)`` as similar as ``least``.
 
     ``texts_of`` gives ``node, text`` for the nodes it is told.
     """
@@ -142,23 +191,25 @@ def links(sets, texts_of, shingle=SHINGLE, seed=SEED, least=SIMILARITY):
     buckets = write_through(rows.join(shared, "key").withColumn("root", F.col("node")), "buckets")
     if buckets.isEmpty():
         return None
-    texts = write_through(texts_of(buckets.select("node").distinct()), "texts")
     # at the first common shingle nothing before it is shared
     possible = 1 + F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at")) - 1
     needed = least / (1 + least) * (F.col("size") + F.col("_size")) - 1e-6
     found = done = None
-    for turn in range(STARS + 1):
-        against = _centers(buckets, turn) if turn < STARS else _others(buckets)
-        pairs = buckets.join(against, "key").where((F.col("root") != F.col("_root")) & (possible >= needed))
-        pairs = pairs.select(F.col("_node").alias("x"), F.col("node").alias("y")).distinct()
-        if done is not None:
-            # what has been compared is not compared again, in either order
-            both = done.unionByName(done.select(F.col("y").alias("x"), F.col("x").alias("y")))
-            pairs = pairs.join(both, ["x", "y"], "left_anti")
+    for turn in range(-1, STARS + 1):
+        if turn < 0:
+            pairs = _alike(sets)
+        else:
+            against = _centers(buckets, turn) if turn < STARS else _others(buckets)
+            pairs = buckets.join(against, "key").where((F.col("root") != F.col("_root")) & (possible >= needed))
+            pairs = pairs.select(F.least("_node", "node").alias("x"), F.greatest("_node", "node").alias("y")).distinct()
+            # what has been compared is not compared again
+            pairs = pairs.join(done, ["x", "y"], "left_anti")
         pairs = write_through(pairs, "pairs")
         done = pairs if done is None else done.unionByName(pairs)
+        close = write_through(_close(pairs, sets, least), "close")
+        texts = write_through(texts_of(close.select(F.explode(F.array("x", "y")).alias("node")).distinct()), "texts")
         near = (
-            pairs.join(texts.toDF("y", "right"), "y")
+            close.join(texts.toDF("y", "right"), "y")
             .join(texts.toDF("x", "left"), "x")
             .select(F.col("x").alias("a"), F.col("y").alias("b"), "left", "right")
             .mapInArrow(lambda rows: _compared(rows, shingle, seed, least), "a long, b long")
@@ -187,10 +238,13 @@ def keep_first(docs, shingle=SHINGLE, seed=SEED, least=SIMILARITY):
     nodes = marked.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("c"))
     nodes = write_through(nodes.select("node", F.col("c.doc_id").alias("doc_id"), F.col("c.mark").alias("mark")), "nodes")
     sets = marked.join(nodes, ["node", "doc_id", "mark"], "left_semi").dropDuplicates(["node"])
+    sets = write_through(sets, "nodes")
 
     def texts_of(wanted):
-        own = nodes.join(wanted, "node", "left_semi")
-        return plain.join(own, ["doc_id", "mark"]).select("node", "text").dropDuplicates(["node"])
+        own = write_through(nodes.join(wanted, "node", "left_semi"), "wanted")
+        # other texts are not shuffled
+        held = members(plain, key_filter(own, "xxhash64(doc_id)"), "xxhash64(doc_id)")
+        return held.join(own, ["doc_id", "mark"]).select("node", "text").dropDuplicates(["node"])
 
     near = links(sets, texts_of, shingle, seed, least)
     first = nodes.select("node", "doc_id")

@@ -64,3 +64,32 @@ def test_the_stage_removes_near_copies(spark, documents, copies):
 
 def test_empty_table(documents):
     assert nearcopies.keep_first(documents([])).collect() == []
+
+
+def test_bitmaps_never_differ_more_than_the_sets(copies):
+    sets = [nearcopies.shingles(t or "") for _, t in copies]
+    maps = [nearcopies.parity(s) for s in sets]
+    for a, x in zip(sets, maps):
+        for b, y in zip(sets, maps):
+            differing = sum(int(k).bit_count() for k in (x ^ y).view("uint64"))
+            assert differing <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_fingerprint_is_the_majority_of_bits():
+    hashes = nearcopies.shingles(" ".join(f"w{k}" for k in range(40)))
+    bits = nearcopies.fingerprint(hashes) % (1 << 64)
+    for k in range(64):
+        assert (bits >> k & 1) == (2 * sum(int(h) >> k & 1 for h in hashes) > len(hashes))
+
+
+def test_pairs_are_compared_once_and_few_texts_move(documents, monkeypatch):
+    """Form letters whose common part is too small to be copies: bitmaps leave none to compare."""
+    draw = random.Random(11)
+    common = " ".join(f"c{k}" for k in range(60))
+    rows = [(k, f"{common} " + " ".join(f"w{draw.randrange(10**6)}" for _ in range(40))) for k in range(80)]
+    moved = []
+    plain_close = nearcopies._close
+    monkeypatch.setattr(nearcopies, "SAMPLE", 1)
+    monkeypatch.setattr(nearcopies, "_close", lambda *a: moved.append(plain_close(*a)) or moved[-1])
+    kept = nearcopies.keep_first(documents(rows)).collect()
+    assert len(kept) == 80 and sum(m.count() for m in moved) == 0
