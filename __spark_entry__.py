@@ -20,10 +20,14 @@ import fixtures as fx  # noqa: E402
 from newsloom.functions.dates import date_label, search_date  # noqa: E402
 from newsloom.functions.text import join_labels, run_label, split_terms  # noqa: E402
 from newsloom.operators import metrics, terms  # noqa: E402
-from newsloom.operators.match import match_articles  # noqa: E402
+from newsloom.operators.match import match_articles, match_entries  # noqa: E402
 from newsloom.operators.merge import merge_by_link  # noqa: E402
-from newsloom.operators.similarity import similar_coverage, similar_pairs  # noqa: E402
+from newsloom.operators.mergestate import MergeState  # noqa: E402
+from newsloom.operators import rollup  # noqa: E402
+from newsloom.operators.similarity import similar_coverage, similar_groups, similar_pairs  # noqa: E402
 from newsloom.plans import report as plans  # noqa: E402
+from newsloom.plans.coverage import CoverageState  # noqa: E402
+from newsloom.plans.pages import PagedReport  # noqa: E402
 from newsloom.schemas import REPORT, SORT_COLUMN  # noqa: E402
 from newsloom.sinks import export  # noqa: E402
 from newsloom.sinks.runs import RunLog, run_records  # noqa: E402
@@ -178,6 +182,17 @@ def merge_documents(spark, sf_dir):
     )
 
 
+def merge_documents_batches(spark, sf_dir):
+    """The same from a state that four batches were merged into."""
+    hits = write_through(
+        match_entries(fx.document_entries(spark, sf_dir), fx.REGIONS, fx.INDUSTRIES, fx.START, fx.END), "hits"
+    )
+    state = MergeState(spark, new_path(spark, "merged"), buckets=32)
+    for batch in (2, 0, 3, 1, 0):
+        state.add(hits.where(F.pmod(F.xxhash64("seq"), F.lit(4)) == batch), batch)
+    return _merged_columns(state.articles())
+
+
 def _articles(spark, sf_dir, resolve=True):
     return plans.build_articles(
         fx.page_entries(spark, sf_dir), fx.REGIONS, fx.INDUSTRIES, fx.START, fx.END,
@@ -230,6 +245,32 @@ def similar_events(spark, sf_dir):
     return similar_coverage(fx.event_titles(spark, sf_dir)).select("seq", "similar")
 
 
+def headline_pairs(spark, sf_dir):
+    return similar_pairs(fx.headline_feed(spark, sf_dir))
+
+
+def headline_classes(spark, sf_dir):
+    """The same relation by classes: a row per title."""
+    return similar_groups(fx.headline_feed(spark, sf_dir))[0]
+
+
+def headline_class_links(spark, sf_dir):
+    """And a row per pair of similar classes."""
+    return similar_groups(fx.headline_feed(spark, sf_dir))[1]
+
+
+def headline_clusters_batches(spark, sf_dir):
+    """Coverage kept up to date over three batches in order, one of which comes twice."""
+    titles = write_through(fx.headline_feed(spark, sf_dir), "headlines")
+    bounds = [None, *titles.approxQuantile("seq", [0.4, 0.7], 0.01), None]
+    state = CoverageState(spark, new_path(spark, "coverage"))
+    for batch in (0, 1, 1, 2):
+        low, high = bounds[batch], bounds[batch + 1]
+        rows = titles if low is None else titles.where(F.col("seq") > low)
+        state.add(rows if high is None else rows.where(F.col("seq") <= high), batch)
+    return state.coverage(titles).select("seq", "leader", "similar")
+
+
 # ---- report and analyses -----------------------------------------------------------
 
 
@@ -252,6 +293,13 @@ def report_page(spark, sf_dir):
     return plans.page(_covered(spark, sf_dir), 1).select("seq", *[f"`{c}`" for c in REPORT.names])
 
 
+def report_page_stored(spark, sf_dir):
+    """The second page from the files of a report stored in order."""
+    paged = PagedReport(spark, new_path(spark, "pages"))
+    paged.store(_covered(spark, sf_dir))
+    return paged.page(1).select("seq", *[f"`{c}`" for c in REPORT.names])
+
+
 def report_page_after(spark, sf_dir):
     """The second page, found from the last row of the first one."""
     report = write_through(_covered(spark, sf_dir), "covered")
@@ -311,6 +359,17 @@ def stored_analyses(spark, sf_dir):
     return found
 
 
+def rollup_analyses(spark, sf_dir):
+    """Every analysis of fifteen days, summed from stored daily counts."""
+    store = rollup.RollupStore(spark, new_path(spark, "days"))
+    store.put(_labelled(spark, sf_dir))
+    found = None
+    for name, part in rollup.analyses(store.read(dt.date(2024, 1, 5), dt.date(2024, 1, 20))).items():
+        part = part.select(F.lit(name).alias("analysis"), "label", "n")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 # ---- exports and runs ----------------------------------------------------------------
 
 
@@ -335,6 +394,14 @@ def land_range(spark, sf_dir):
     return feed.read_landed(spark, path, dt.date(2024, 1, 10), dt.date(2024, 1, 20))
 
 
+def land_batches(spark, sf_dir):
+    """The feed landed in nine batches, one of them twice; small batches are merged on the way."""
+    path, entries = new_path(spark, "landed"), fx.page_feed(spark, sf_dir)
+    for batch in (0, 1, 2, 3, 1, 4, 5, 6, 7, 8):
+        feed.land(entries.where(F.col("seq") % 9 == batch), path, batch=f"batch-{batch}")
+    return feed.read_landed(spark, path)
+
+
 def nested_source(spark, sf_dir):
     """Entries whose source is an object with a title, as feeds deliver it; some have none."""
     path = new_path(spark, "landed")
@@ -375,6 +442,15 @@ def run_log_recent(spark, sf_dir):
     return log.recent()
 
 
+def run_log_repeated(spark, sf_dir):
+    """Every run logged twice, the second time with its final number of rows."""
+    log = RunLog(spark, new_path(spark, "runs"))
+    records = run_records(_runs(spark, sf_dir))
+    log.append(records.withColumn("jumlah", F.lit(0).cast("long")))
+    log.append(records)
+    return log.all().select("run_id", "run_at", "jumlah")
+
+
 def run_snapshot_load(spark, sf_dir):
     log = RunLog(spark, new_path(spark, "runs"))
     log.save_snapshot("first", _covered(spark, sf_dir))
@@ -416,18 +492,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "match_articles_many_terms": match_pages_many_terms,
         "merge_by_link": merge_pages,
         "merge_by_link_documents": merge_documents,
+        "merge_by_link_batches": merge_documents_batches,
         "resolve_urls": resolve_urls,
         "resolve_urls_off": resolve_urls_off,
         "title_pairs": title_pairs,
         "title_pairs_exact": title_pairs_exact,
         "title_clusters": title_clusters,
         "similar_coverage_events": similar_events,
+        "headline_pairs": headline_pairs,
+        "headline_classes": headline_classes,
+        "headline_class_links": headline_class_links,
+        "headline_clusters_batches": headline_clusters_batches,
         "similar_coverage": similar_pages,
         "similar_coverage_exact_key": similar_pages_exact_key,
         "similar_coverage_exact_key_documents": similar_documents_exact_key,
         "build_report": build_report,
         "build_report_documents": build_report_documents,
         "report_page": report_page,
+        "report_page_stored": report_page_stored,
         "report_page_after": report_page_after,
         "blank_terms_report": blank_terms_report,
         "wide_coverage_count": wide_coverage_count,
@@ -439,11 +521,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "daily_trend": daily_trend,
         "kpi_summary": kpi_summary,
         "stored_analyses": stored_analyses,
+        "rollup_analyses": rollup_analyses,
         "export_public": export_public,
         "export_table": export_table,
         "land_range": land_range,
+        "land_batches": land_batches,
         "nested_source": nested_source,
         "run_log_recent": run_log_recent,
+        "run_log_repeated": run_log_repeated,
         "run_log_cleared": run_log_cleared,
         "run_snapshot_load": run_snapshot_load,
         **(llm.QUERIES if llm else {}),

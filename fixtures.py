@@ -73,6 +73,14 @@ def document_feed(spark, sf_dir):
     )
 
 
+def headline_feed(spark, sf_dir):
+    """One entry per document, titled by its first sentence as long as a headline; near copies have near titles."""
+    sentences = F.filter(F.split("text", "[.\n]"), lambda s: F.length(s).between(40, 90))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("seq"), F.coalesce(F.get(sentences, F.lit(0)), F.lit("")).alias("title")
+    )
+
+
 def event_titles(spark, sf_dir):
     """One entry per event, titled by a page: many rows, few titles."""
     pages = page_feed(spark, sf_dir).select(F.col("seq").alias("page"), "title")
