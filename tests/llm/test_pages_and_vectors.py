@@ -34,25 +34,49 @@ def test_broken_markup():
     assert text_of("<article><p>one<div><p>two</article><p>after") == "one\ntwo"
     assert text_of("<article><p>one</div></p>two<script>never closed") == "one\ntwo"
     assert text_of("<main><article>a</article><article><p>longer text</p></article></main>") == "a\nlonger text"
+    assert text_of("<article>a</article><p>x</p><article>b</article><article class=teaser>c</article>") == "a\nb"
+    assert text_of("<article><div class='header'><h1>A</h1></div>b<div class=sidebar>c</div></article>") == "A\nb"
     assert text_of('<article><p title="a>b">one</p></article>') == "one"
     assert text_of("") is None and text_of("<article></article>") is None
     assert text_of("<article " * 5 + "x") is None
 
 
-def covered_by_brute_force(streams, run, least):
-    """Positions of each page covered by a run of tokens that is on enough pages of the host."""
-    pages = {}
-    for page_id, host, tokens in streams:
-        for k in range(len(tokens) - run + 1):
-            pages.setdefault((host, tuple(tokens[k : k + run])), set()).add(page_id)
-    out = {}
-    for page_id, host, tokens in streams:
-        hit = set()
-        for k in range(len(tokens) - run + 1):
-            if len(pages[host, tuple(tokens[k : k + run])]) >= least:
-                hit |= set(range(k, k + run))
-        out[page_id] = hit
-    return out
+def plain_text(pages, run, least, share):
+    """The text that each bare page keeps. ``pages``: (page_id, host, lines); a page may be repeated."""
+    lists = {}  # strings of tokens and whole short lines, by the pages that hold them
+    for page_id, host, lines in pages:
+        tokens = [w for line in lines for w in line.split()]
+        strings = {tuple(tokens[k : k + run]) for k in range(len(tokens) - run + 1)}
+        strings |= {("block", line) for line in lines if len(line.split()) < run}
+        for string in strings:
+            lists.setdefault((host, string), set()).add(page_id)
+    number = {}
+    for page_id, host, _ in pages:
+        number.setdefault(host, set()).add(page_id)
+    gone = {x for x, own in lists.items() if len(own) >= max(least, share * len(number[x[0]]))}
+    out = []
+    for page_id, host, lines in pages:
+        tokens = [w for line in lines for w in line.split()]
+        hit = {
+            j for k in range(len(tokens)) if (host, tuple(tokens[k : k + run])) in gone for j in range(k, k + run)
+        }
+        kept, at = [], 0
+        for line in lines:
+            words = line.split()
+            left = [w for k, w in enumerate(words) if at + k not in hit]
+            at += len(words)
+            if left and (host, ("block", line)) not in gone:
+                kept.append(" ".join(left))
+        out.append((page_id, "\n".join(kept)))
+    return sorted(out)
+
+
+def bare_pages(spark, pages):
+    rows = [
+        (page_id, f"https://{host}/{page_id}?q#x", page("".join(f"<div>{x}</div>" for x in lines), head=""))
+        for page_id, host, lines in pages
+    ]
+    return spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit("x"))
 
 
 @pytest.mark.parametrize("sorted_at_once", [htmltext.SORTED, 50])
@@ -60,20 +84,28 @@ def test_repeated_runs_of_a_host_go(spark, monkeypatch, sorted_at_once):
     monkeypatch.setattr(htmltext, "SORTED", sorted_at_once)
     monkeypatch.setattr(htmltext, "MERGED", 40)
     draw = random.Random(6)
-    menus = [" ".join(draw.choices("abcdefgh", k=12)) for _ in range(3)]
-    rows, streams = [], []
+    menus = [" ".join(draw.choices("abcdefgh", k=n)) for n in (4, 7, 12)]
+    pages = []
     for k in range(60):
-        host = f"h{k % 3}.example"
-        lines = [draw.choice(menus), " ".join(draw.choices([f"t{j}" for j in range(200)], k=20)), draw.choice(menus)]
-        rows.append((k, f"https://{host}/{k}?q#x", page("".join(f"<div>{x}</div>" for x in lines), head="")))
-        streams.append((k, host, [w for x in lines for w in x.split()]))
-    source = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit("x"))
-    got = {r.page_id: r for r in htmltext.extract(source).collect()}
-    hit = covered_by_brute_force(streams, htmltext.RUN, htmltext.PAGES)
-    for page_id, _, tokens in streams:
-        left = [w for k, w in enumerate(tokens) if k not in hit[page_id]]
-        assert got[page_id].text.split() == left
-        assert got[page_id].n_chars == len(got[page_id].text)
+        unique = " ".join(draw.choices([f"t{j}" for j in range(200)], k=20))
+        lines = [draw.choice(menus), unique, draw.choice(menus), "seldom said" if k % 20 < 3 else "x"]
+        pages += [(k, f"h{k % 3}.example", lines)] * (4 if k % 10 == 0 else 1)
+    got = htmltext.extract(bare_pages(spark, pages), run=6, share=0.3).collect()
+    expected = plain_text(pages, 6, 3, 0.3)
+    assert sorted((r.page_id, r.text) for r in got) == expected
+    assert all(r.n_chars == len(r.text) for r in got) and len({t for _, t in expected}) > 50
+
+
+def test_nothing_is_lost_on_a_large_host(spark):
+    """Phrases on a few of many bare pages stay, and so does a page that is repeated; the menu goes."""
+    menu, phrase = "Home News Sport", "as the minister said on the day before yesterday"
+    pages = []
+    for k in range(600):
+        own = f"page{k} " + " ".join(f"w{k * j % 977}" for j in range(30))
+        pages.append((k, "big.example", [menu, own + (" " + phrase if k % 200 == 0 else ""), phrase if k % 150 == 1 else "y"]))
+    pages += [pages[7]] * 40
+    got = sorted((r.page_id, r.text) for r in htmltext.extract(bare_pages(spark, pages)).collect())
+    assert got == sorted((i, "\n".join(x for x in lines if x not in (menu, "y"))) for i, _, lines in pages)
 
 
 def test_odd_pages(spark):
