@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from newsloom.llm.shipping import ship
 from newsloom.workspace import write_through
 
 NEAREST = 20
@@ -267,7 +268,9 @@ def index(rows, longest, shards):
         )
 
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")
-    return rows.select("id", "vector", shard).groupBy("shard").applyInArrow(built, INDEX_SCHEMA)
+    # a range of shards each, so that building is not coalesced into few tasks
+    dealt = rows.select("id", "vector", shard).repartitionByRange(shards, "shard")
+    return dealt.groupBy("shard").applyInArrow(built, INDEX_SCHEMA)
 
 
 def _matrix(column):
@@ -302,8 +305,6 @@ def _searched(graphs, asked, longest, k, width):
         r, c = np.nonzero(found >= 0)
         at = low.nodes[found[r, c]]
         score = np.einsum("kd,kd->k", queries[part][r], vectors[at])
-        own = ids[at] != query_ids[part][r]
-        r, at, score = r[own], at[own], score[own]
         order = np.lexsort((ids[at], -score, r))
         r, at, score = r[order], at[order], score[order]
         first = np.searchsorted(r, r, "left")
@@ -312,17 +313,40 @@ def _searched(graphs, asked, longest, k, width):
     return pa.table({c: pa.array(np.concatenate([x[j] for x in out])) for j, c in enumerate(names)})
 
 
+def folded(rows, k):
+    """Each different vector once, under its smallest id, and the ids of those that have several.
+
+    ``nodes``: ``id, vector, square``; ``same``: ``node`` and its ``k + 1`` smallest ids. An answer has ``k`` rows
+    and never the query's own, so further ids of a vector cannot be in one.
+    """
+    coded = rows.withColumns({"a": F.xxhash64("vector"), "b": F.xxhash64("vector", F.lit(1))})
+    nodes = coded.groupBy("a", "b").agg(
+        F.min_by(F.struct("id", "vector", "square"), "id").alias("row"), F.count("*").alias("n")
+    )
+    nodes = write_through(nodes.select("row.*", "a", "b", "n"), "nodes")
+    several = nodes.where("n > 1").select("a", "b", F.col("id").alias("node"))
+    # tasks send the first ids of a vector only
+    order = Window.partitionBy("a", "b").orderBy("id")
+    first = coded.select("a", "b", "id").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k + 1)
+    same = first.join(several, ["a", "b"]).groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return nodes.select("id", "vector", "square"), write_through(same, "same")
+
+
 def nearest(vectors, is_query, id_col="vec_id", vector_col="embedding", k=NEAREST, width=SEARCH_WIDTH):
     """Each query's ``k`` nearest found: ``query_id, rank, vec_id, score``; ties to smaller ids.
 
     ``is_query`` is a condition on the column ``id``. A query does not find rows with its own
-    id; equal vectors under other ids count. With fewer candidates than ``k`` all are returned.
+    id; equal vectors under other ids count, and the smallest of their ids come first. Of rows that repeat
+    an id the one with the smallest vector counts. With fewer candidates than ``k`` all are returned.
     """
-    rows = write_through(usable(vectors, id_col, vector_col), "vectors")
-    n, longest = rows.agg(F.count("*"), F.max("square")).first()
+    ship(vectors.sparkSession)
+    rows = usable(vectors, id_col, vector_col).groupBy("id").agg(F.min(F.struct("vector", "square")).alias("row"))
+    rows = write_through(rows.select("id", "row.*"), "vectors")
+    nodes, same = folded(rows, k)
+    n, longest = nodes.agg(F.count("*"), F.max("square")).first()
     longest = longest or 0.0
     shards = max(1, round(n / SHARD))
-    graphs = write_through(index(rows, longest, shards), "index")
+    graphs = write_through(index(nodes, longest, shards), "index")
     asked = rows.where(is_query).select("id", "vector")
     blocks = max(1, -(-asked.count() // QUERIES))
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block")
@@ -332,11 +356,16 @@ def nearest(vectors, is_query, id_col="vec_id", vector_col="embedding", k=NEARES
     graphs = graphs.select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
     )
+    # the query's own vector is among them
     found = (
         graphs.groupBy("shard", "block")
         .cogroup(asked.groupBy("shard", "block"))
-        .applyInArrow(lambda left, right: _searched(left, right, longest, k, width), RESULT_SCHEMA)
+        .applyInArrow(lambda left, right: _searched(left, right, longest, k + 1, width), RESULT_SCHEMA)
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    found = found.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k + 1)
+    every = found.join(same, F.col("vec_id") == F.col("node"), "left").select(
+        "query_id", "score", F.explode(F.coalesce("ids", F.array("vec_id"))).alias("vec_id")
+    )
+    ranked = every.where("vec_id <> query_id").withColumn("rank", F.row_number().over(order).cast("int"))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -157,6 +157,25 @@ def test_recall_over_shards(spark, monkeypatch):
     assert hits >= 0.95 * 20 * len(best)
 
 
+def test_ties_and_repeated_rows(spark, monkeypatch):
+    """The smallest ids of thousands of equal vectors, over shards; a repeated row is one."""
+    monkeypatch.setattr(hnsw, "SHARD", 40)
+    draw = np.random.default_rng(5)
+    rows = [(11 + 3 * k, [1.0, 0.0, 0.5]) for k in range(3000)]
+    rows += [(20 * k, draw.normal(size=3).astype(np.float32).tolist()) for k in range(1, 60)] + [(20, [0.0, 1.0, 0.0])]
+    rows += rows[3000:3020] + [(100, [9.0, 9.0, 9.0])]
+    once = {}
+    for vec_id, vector in rows:
+        once[vec_id] = min(vector, once.get(vec_id, vector))
+    best = exact(sorted(once.items()), [q for q in once if q % 20 == 0], 20)
+    got = {}
+    for r in hnsw.nearest(vectors(spark, rows), F.col("id") % 20 == 0).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert got.keys() == best.keys() and all(sorted(own) == list(range(1, 21)) for own in got.values())
+    for q, own in best.items():
+        assert [got[q][k][0] for k in range(1, 21)] == [v for v, _ in own]
+
+
 def test_odd_vectors(spark):
     rows = [
         (0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [-1.0, 0.0]),
@@ -176,6 +195,6 @@ def test_odd_vectors(spark):
 def test_many_equal_vectors_and_none(spark):
     rows = [(k, [1.0, 2.0]) for k in range(300)]
     got = hnsw.nearest(vectors(spark, rows), F.col("id") == 0).collect()
-    assert len(got) == 20 and {r.score for r in got} == {5.0}
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(k, 5.0) for k in range(1, 21)]
     assert hnsw.nearest(vectors(spark, []), F.col("id") == 0).collect() == []
     assert hnsw.nearest(vectors(spark, [(1, [1.0])]), F.col("id") == 1).collect() == []
