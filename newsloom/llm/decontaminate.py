@@ -1,10 +1,17 @@
 """Benchmark decontamination by edit distance (operator 3).
 
 A passage of a document leaks an item if it turns into the item by edits of at most
-``TOLERANCE`` of the item's words (lower-cased, punctuation apart). Candidates come from common
-runs of words, which loses nothing: d edits change at most q * d of the n - q + 1 runs of q
-words, so a window within the tolerance keeps the others, each within d places of where it
-belongs. The edit distance of every candidate is then computed exactly.
+``TOLERANCE`` of the item's words (lower-cased, punctuation apart). The CGK random walk maps a
+window of words to a longer sequence so that edit distance becomes Hamming distance: it copies
+the current word and then stays or moves on by a random bit of (step, word). Each walk is sampled at
+``SAMPLED`` steps; windows of the item's size that agree with the item in all samples of some walk
+are candidates, whose edit distance is then computed exactly. Edits put more of a long walk out
+of step than of a short one, so the number of walks grows with the item (``tables``): at the full
+tolerance, deletions included, over 0.99 of the leaks of items of 5 to 200 words are found.
+
+Windows that cannot be near any item are not walked, which loses nothing: d edits change at most
+q * d of the n - q + 1 runs of q words, so a window within the tolerance keeps the others, all of
+them different runs of the item, each within d places of where it belongs.
 """
 
 import numpy as np
@@ -12,9 +19,16 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from newsloom.llm.tables import documents
-from newsloom.llm.textwords import HashSet, char_spans, grams, words
+from newsloom.llm.textwords import HashSet, char_spans, grams, mix, words
 
 TOLERANCE = 0.2
+#: Samples of a walk, steps of a walk for each word of the item, and windows walked at once.
+SAMPLED = 2
+STRETCH = 3
+WINDOWS = 1024
+SEED = 11
+#: Words of a text searched at once; what a task holds for them is bounded by the items of a pass.
+CHUNK = 1024
 #: Items searched for in one pass over the documents; more are searched in further passes.
 ITEMS = 10_000
 
@@ -24,6 +38,59 @@ SCHEMA = (
 )
 
 
+def tables(n):
+    """Walks for an item of ``n`` words."""
+    return 16 + n // 4
+
+
+def walk_keys(hashes, starts, n, seed=SEED):
+    """Keys (one row per window, one column per walk) of windows of ``n`` words of a sequence.
+
+    ``starts`` may lie outside the sequence; places outside hold no word (0).
+    """
+    if len(starts) > WINDOWS:
+        parts = np.array_split(starts, -(-len(starts) // WINDOWS))
+        return np.vstack([walk_keys(hashes, part, n, seed) for part in parts])
+    many = tables(n)
+    sampled = np.random.default_rng([seed, n]).integers(0, n * STRETCH, (many, SAMPLED))
+    padded = np.concatenate([hashes, np.zeros(1, np.uint64)])
+    walk = np.arange(many, dtype=np.uint64) << np.uint64(32)
+    at = np.zeros((len(starts), many), np.int64)
+    low = np.maximum(0, -starts)[:, None]
+    high = np.minimum(n, len(hashes) - starts)[:, None]
+    symbols = np.zeros((SAMPLED, len(starts), many), np.uint64)
+    for step in range(int(sampled.max()) + 1):
+        word = padded[np.where((at >= low) & (at < high), starts[:, None] + at, len(hashes))]
+        for table, k in np.argwhere(sampled == step):
+            symbols[k, :, table] = word[:, table]
+        coin = (word ^ (walk + np.uint64(step + 1))) * np.uint64(0x9E3779B97F4A7C15)
+        at += ((coin ^ (coin >> np.uint64(29))) >> np.uint64(17) & np.uint64(1)).astype(np.int64)
+    keys = np.zeros((len(starts), many), np.uint64)
+    for k in range(SAMPLED):
+        keys = mix(keys * np.uint64(31) + symbols[k] + np.uint64(k + 1))
+    return keys
+
+
+def supported_starts(starts, places, d, least):
+    """Where a window may start: ``least`` different runs of the item lie within ``d`` places of their own.
+
+    ``starts`` (in order) say where each run found would have the window start, ``places`` its place in the item.
+    """
+    # a run counts for the starts from its own less d to its own plus d
+    events = sorted([(s - d, 1, p) for s, p in zip(starts, places)] + [(s + d + 1, 0, p) for s, p in zip(starts, places)])
+    held, here, found = {}, None, []
+    for at, enters, place in events:
+        if len(held) >= least and here is not None and at > here:
+            found.append(np.arange(here, at))
+        here = at
+        n = held.get(place, 0) + (1 if enters else -1)
+        if n:
+            held[place] = n
+        else:
+            del held[place]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
 def edit_distance_within(item, region):
     """Least edits that make some run of ``region`` into ``item``; ``(distance, start, end)``."""
     n = len(region)
@@ -49,7 +116,7 @@ def edit_distance_within(item, region):
 
 
 class Items:
-    """Items prepared for search: their runs of words and allowed edits."""
+    """Items prepared for search: their runs of words, allowed edits and walk keys."""
 
     def __init__(self, rows):
         self.ids, self.hashes, self.sizes, self.edits, self.least = [], [], [], [], []
@@ -77,6 +144,8 @@ class Items:
                 np.array([f[1] for f in found]),
                 np.array([f[2] for f in found]),
             )
+        self.keys = [walk_keys(h, np.zeros(1, np.int64), len(h))[0] for h in self.hashes]
+        self.reach = max((n + 3 * d + 1 for n, d in zip(self.sizes, self.edits)), default=0)
 
     def supported(self, hashes):
         """``{item: starts}``: where enough of its runs lie in about the right place."""
@@ -89,35 +158,41 @@ class Items:
             low = np.searchsorted(sorted_, runs[at], "left")
             many = np.searchsorted(sorted_, runs[at], "right") - low
             entry = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-            item, start = items[entry], np.repeat(at, many) - places[entry]
+            item, place = items[entry], places[entry]
+            start = np.repeat(at, many) - place
             order = np.lexsort((start, item))
-            item, start = item[order], start[order]
+            item, start, place = item[order], start[order], place[order]
             cut = np.flatnonzero(np.diff(item)) + 1
-            for k, own in zip(item[np.concatenate([[0], cut])].tolist(), np.split(start, cut)):
-                d, least = self.edits[k], self.least[k]
-                if len(own) < least:
+            bounds = np.concatenate([[0], cut, [len(item)]])
+            for k, low, high in zip(item[bounds[:-1]].tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                least = self.least[k]
+                if high - low < least:
                     continue
-                # `least` supporters within 2 d of one another: the true start is within d of each
-                near = own[least - 1 :] - own[: len(own) - least + 1] <= 2 * d
-                lows = np.flatnonzero(near)
-                if len(lows):
-                    reach = [
-                        np.arange(own[i + least - 1] - d, own[i] + d + 1) for i in lows.tolist()
-                    ]
-                    found[k] = np.unique(np.concatenate(reach))
+                near = supported_starts(start[low:high].tolist(), place[low:high].tolist(), self.edits[k], least)
+                if len(near):
+                    found[k] = near
         return found
 
     def leaks(self, hashes):
         """``(item, distance, first word, end word)`` of each item found."""
-        out = []
+        best = {}
+        # chunks overlap by the longest passage, so each passage lies in one of them
+        for at in range(0, max(1, len(hashes)), CHUNK):
+            for k, distance, a, b in self._nearest(hashes[at : at + CHUNK + self.reach]):
+                if k not in best or distance < best[k][0]:
+                    best[k] = (distance, at + a, at + b)
+        return [(k, *found) for k, found in sorted(best.items())]
+
+    def _nearest(self, hashes):
         if not len(hashes):
-            return out
+            return
         for k, starts in self.supported(hashes).items():
             n, d = self.sizes[k], self.edits[k]
+            agree = (walk_keys(hashes, starts, n) == self.keys[k]).any(axis=1)
             best = None
-            done = -1
-            for start in starts.tolist():
-                if start <= done:
+            done = None
+            for start in starts[agree].tolist():
+                if done is not None and start <= done:
                     continue  # the region already compared holds this window
                 low, high = max(0, start - d), min(len(hashes), start + n + 3 * d + 1)
                 done = start + d
@@ -125,8 +200,7 @@ class Items:
                 if distance <= d and (best is None or distance < best[1]):
                     best = (k, distance, low + a, low + b)
             if best:
-                out.append(best)
-        return out
+                yield best
 
 
 def _search(docs, items):

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -67,10 +68,10 @@ def test_leaks_equal_brute_force(spark, documents, odd_rows, contaminated):
             if d <= int(decontaminate.TOLERANCE * len(item)):
                 expected[i, k] = d
     assert got.keys() <= expected.keys()
-    # the hashing misses few of the most edited; what it finds it measures exactly
-    assert len(got) >= 0.97 * len(expected)
+    assert len(got) >= 0.99 * len(expected)
     assert all(got[k] == v for k, v in expected.items() if v == 0)
-    assert sum(got[k] != expected[k] for k in got) <= 0.02 * len(got)
+    # a passage that is found is measured exactly; of two passages of an item the nearer one may be missed
+    assert sum(got[k] != expected[k] for k in got) <= 0.01 * len(got)
     kept = {r.doc_id for r in decontaminate.keep(docs, bench).collect()}
     assert kept.isdisjoint({k[0] for k in got})
     assert len(kept) == len({i for i, _ in rows} | {1000 + i for i, _ in odd_rows}) - len({k[0] for k in got})
@@ -88,19 +89,48 @@ def test_leaks_in_passes(spark, documents, contaminated, monkeypatch):
 
 
 @pytest.mark.parametrize("kind", ["deletions", "mixed"])
-def test_no_leak_is_missed_at_the_full_tolerance(kind):
+def test_recall_at_the_full_tolerance(kind):
+    """Against the windows that the exact filter leaves, all of which hold the item."""
     draw = random.Random(14)
     number = lambda ws: words(" ".join(ws))[2]
-    for n in (5, 20, 59, 100, 200):
-        items = [draw.choices([f"v{k}" for k in range(5000)], k=n) for _ in range(20)]
+    tried = missed = 0
+    for n, many in ((5, 60), (20, 60), (59, 50), (100, 40), (200, 30)):
+        items = [draw.choices([f"v{k}" for k in range(5000)], k=n) for _ in range(many)]
         prepared = decontaminate.Items([(k, " ".join(t)) for k, t in enumerate(items)])
         for k, item in enumerate(items):
             d = int(decontaminate.TOLERANCE * n)
             gone = set(draw.sample(range(n), d))
             body = edited(draw, item, d) if kind == "mixed" else [w for j, w in enumerate(item) if j not in gone]
-            text = draw.choices(WORDS, k=50) + body + draw.choices(WORDS, k=50)
-            got = {x[0]: x[1] for x in prepared.leaks(number(text))}
-            assert got[k] == plain_distance(item, text)
+            text = number(draw.choices(WORDS, k=50) + body + draw.choices(WORDS, k=50))
+            assert k in prepared.supported(text)
+            found = {x[0]: x[1] for x in prepared.leaks(text)}
+            assert found.get(k, 0) <= d
+            tried, missed = tried + 1, missed + (k not in found)
+    assert missed <= 0.01 * tried
+
+
+def test_a_text_of_a_common_opening_takes_no_time():
+    """Items that share their opening, and a text made of it: no run of the opening counts twice."""
+    opening = [f"o{k}" for k in range(12)]
+    rows = [(k, " ".join(opening + [f"i{k}x{j}" for j in range(30)])) for k in range(400)]
+    prepared = decontaminate.Items(rows)
+    text = words(" ".join(opening * 270))[2]
+    start = time.process_time()
+    assert prepared.leaks(text) == []
+    assert time.process_time() - start < 20
+    held = words(" ".join(opening * 200) + " " + rows[17][1] + " " + " ".join(opening * 100))[2]
+    assert prepared.leaks(held) == [(17, 0, 2400, 2442)]
+
+
+def test_supported_starts():
+    draw = random.Random(2)
+    for _ in range(300):
+        pairs = sorted((draw.randrange(40), draw.randrange(8)) for _ in range(draw.randrange(1, 25)))
+        d, least = draw.randrange(4), draw.randrange(1, 5)
+        near = lambda s: {p for x, p in pairs if abs(x - s) <= d}
+        expected = [s for s in range(-5, 50) if len(near(s)) >= least]
+        got = decontaminate.supported_starts([x for x, _ in pairs], [p for _, p in pairs], d, least)
+        assert got.tolist() == expected
 
 
 def test_edit_distance():
