@@ -188,7 +188,9 @@ def links(sets, texts_of, shingle=SHINGLE, seed=SEED, least=SIMILARITY):
     rows = sets.select("node", "size", F.posexplode("prefix").alias("at", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     shared = write_through(shared, "shared")
-    buckets = write_through(rows.join(shared, "key").withColumn("root", F.col("node")), "buckets")
+    # most shingles are in one prefix only; their rows are not shuffled again
+    held = members(rows, key_filter(shared, "xxhash64(key)"), "xxhash64(key)")
+    buckets = write_through(held.join(shared, "key").withColumn("root", F.col("node")), "buckets")
     if buckets.isEmpty():
         return None
     # at the first common shingle nothing before it is shared

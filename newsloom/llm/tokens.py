@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces a worker remembers per generation; two generations are kept.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Characters of texts whose pieces are looked up at once.
-ROUND_CHARS = 1 << 23
+ROUND_CHARS = 1 << 22
 #: New pieces in one call's text.
 JOINED = 200
 
@@ -130,6 +130,8 @@ class Encoder:
                 self._fill(out, texts, held)
                 held, size = [], 0
         self._fill(out, texts, held)
+        # what the rounds took is given back, other stages run beside this worker
+        pa.default_memory_pool().release_unused()
         return out
 
     def _fill(self, out, texts, held):
