@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from newsloom.llm import simhash
 from newsloom.llm.components import roots
 from newsloom.llm.simhash import SEED, words
-from newsloom.llm.tables import documents
+from newsloom.llm.tables import documents, slices
 from newsloom.operators.membership import key_filter, members
 from newsloom.workspace import write_through
 
@@ -75,7 +75,7 @@ def _frequent(plain, shingle, seed):
     drawn = plain.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
 
     def of_batches(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch["text"].to_pylist():
                 own = pa.array(shingles(text, shingle, seed).view(np.int64))
                 yield pa.RecordBatch.from_arrays([own], names=["h"])
@@ -105,7 +105,7 @@ SET_SCHEMA = "doc_id long, mark long, node long, size int, prefix array<long>, f
 
 
 def _set_rows(batches, shingle, seed, least, frequent, ranks):
-    for batch in batches:
+    for batch in slices(batches):
         nodes, sizes, prefixes, fps, bitmaps = [], [], [], [], []
         for text in batch["text"].to_pylist():
             own = shingles(text, shingle, seed)
@@ -122,7 +122,7 @@ def _set_rows(batches, shingle, seed, least, frequent, ranks):
 
 
 def _compared(batches, shingle, seed, least):
-    for batch in batches:
+    for batch in slices(batches):
         a, b, known = [], [], (None, None)
         for x, y, left, right in zip(*(batch[c].to_pylist() for c in ("a", "b", "left", "right"))):
             if known[0] != x:

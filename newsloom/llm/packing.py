@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.tables import documents
+from newsloom.llm.tables import documents, slices
 from newsloom.llm.tokens import encoder
 from newsloom.workspace import write_through
 
@@ -36,10 +36,10 @@ def pieces(docs, vocabulary, capacity=CAPACITY, end_id=END_ID, with_ids=False):
     step = 4 * capacity
 
     def cut(batches):
-        encode_all = encoder(vocabulary, spaces_matter=False).encode_all
-        for batch in batches:
+        ids_of = encoder(vocabulary, spaces_matter=False)
+        for batch in slices(batches):
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode_all(batch["text"].to_pylist())):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), ids_of.encode_all(batch["text"].to_pylist())):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
@@ -53,6 +53,7 @@ def pieces(docs, vocabulary, capacity=CAPACITY, end_id=END_ID, with_ids=False):
             columns = [pa.array(v, t) for v, t in zip(out.values(), kinds)]
             keep = len(columns) if with_ids else len(columns) - 1
             yield pa.RecordBatch.from_arrays(columns[:keep], names=list(out)[:keep])
+        ids_of.forget()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     return documents(docs).mapInArrow(cut, schema + (", ids binary" if with_ids else ""))

@@ -17,3 +17,10 @@ def documents(docs):
 def table(spark, sf_dir, name):
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slices(batches, rows=1000):
+    """Arrow batches in pieces of ``rows`` rows, so that a worker holds few texts as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -25,7 +25,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from newsloom.llm.tables import documents
+from newsloom.llm.tables import documents, slices
 from newsloom.llm.tokens import encoder
 
 END_ID = 2
@@ -117,7 +117,7 @@ def write_tokens(docs, path, vocabulary, end_id=END_ID, partitions=None):
     end = np.array([end_id], "<u4").tobytes()
 
     def blocks(batches):
-        encode_all = encoder(vocabulary, spaces_matter=True).encode_all
+        ids_of = encoder(vocabulary, spaces_matter=True)
         part, block, before, rows, n = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def closed():
@@ -128,8 +128,8 @@ def write_tokens(docs, path, vocabulary, end_id=END_ID, partitions=None):
                 names=["part", "block", "first_id", "before", "n_tokens", "data"],
             )
 
-        for batch in batches:
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode_all(batch["text"].to_pylist())):
+        for batch in slices(batches):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), ids_of.encode_all(batch["text"].to_pylist())):
                 ids += end
                 rows.append((doc_id, ids))
                 n += len(ids) // 4
@@ -138,6 +138,7 @@ def write_tokens(docs, path, vocabulary, end_id=END_ID, partitions=None):
                     block, before, rows, n = block + 1, before + n, [], 0
         if rows:
             yield closed()
+        ids_of.forget()
 
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     in_order = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 #: Pieces a worker remembers per generation; two generations are kept.
 REMEMBERED = 150_000
 #: Characters of texts whose pieces are looked up at once.
-ROUND_CHARS = 1 << 22
+ROUND_CHARS = 1 << 21
 #: New pieces in one call's text.
 JOINED = 200
 
@@ -130,10 +130,13 @@ class Encoder:
                 self._fill(out, texts, held)
                 held, size = [], 0
         self._fill(out, texts, held)
-        # what the rounds took is given back, other stages run beside this worker
-        pa.default_memory_pool().release_unused()
         return out
 
+    def forget(self):
+        """Gives memory back at the end of a task; the worker may go on with other stages."""
+        self._young, self._old = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def _fill(self, out, texts, held):
         if held:
             for k, ids in zip(held, self._round([texts[k] for k in held])):
