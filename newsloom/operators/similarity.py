@@ -293,12 +293,13 @@ def follow_in_order(nodes, leading=None, threshold=SIMILARITY_THRESHOLD):
             batch = batch.where(F.col("node") > low)
         if high is not None:
             batch = batch.where(F.col("node") <= high)
-        led = write_through(follow(batch, leading, threshold), "led")
-        found = led if found is None else found.union(led)
+        led = follow(batch, leading, threshold)
         if high is not None:
+            led = write_through(led, "led")
             leads = batch.join(led.where("node = leader").select("node"), "node", "left_semi")
             more = write_through(leads.select(*nodes.columns), "leading")
             leading = more if leading is None else leading.select(*nodes.columns).union(more)
+        found = led if found is None else found.union(led)
         low = high
     return found
 
