@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from newsloom.llm import simhash
 from newsloom.llm.components import roots
 from newsloom.llm.simhash import SEED, words
-from newsloom.llm.tables import documents, slices
+from newsloom.llm.tables import documents, slices, text_batches
 from newsloom.operators.membership import key_filter, members
 from newsloom.workspace import write_through
 
@@ -231,7 +231,15 @@ def keep_first(docs, shingle=SHINGLE, seed=SEED, least=SIMILARITY):
     Null and empty texts have equal sets. Ids are taken to be unique: of rows with equal id and text
     one stays; rows without id go.
     """
-    plain = documents(docs)
+    with text_batches(docs.sparkSession):
+        first = _first(documents(docs), shingle, seed, least)
+    kept = docs.join(first, F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+
+
+def _first(plain, shingle, seed, least):
+    """The smallest id of each component, as ``_first``, written."""
     frequent, ranks = _frequent(plain, shingle, seed)
     plain = plain.withColumn("mark", F.xxhash64("text"))
     marked = write_through(
@@ -253,7 +261,4 @@ def keep_first(docs, shingle=SHINGLE, seed=SEED, least=SIMILARITY):
     if near is not None:
         rooted = nodes.join(roots(near).toDF("_node", "root"), F.col("node") == F.col("_node"), "left")
         first = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("doc_id"))
-    first = write_through(first.select(F.col("doc_id").alias("_first")).distinct(), "first")
-    kept = docs.join(first, F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    return write_through(first.select(F.col("doc_id").alias("_first")).distinct(), "first")

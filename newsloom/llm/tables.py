@@ -1,5 +1,7 @@
 """Reading only the columns an operator needs, under names of its own."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from newsloom.llm.shipping import ship
@@ -24,3 +26,15 @@ def slices(batches, rows=1000):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+@contextmanager
+def text_batches(spark, rows=1000):
+    """Within it, Spark sends ``rows`` rows at a time to Python: both sides hold fewer long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
