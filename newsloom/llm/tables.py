@@ -1,7 +1,9 @@
 """Reading only the columns an operator needs, under names of its own."""
 
+import ctypes
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from newsloom.llm.shipping import ship
@@ -21,11 +23,20 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back():
+    """Returns a worker's freed memory to its machine: the worker goes on with the tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)
+
+
 def slices(batches, rows=1000):
     """Arrow batches in pieces of ``rows`` rows, so that a worker holds few texts as Python objects."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
 
 
 @contextmanager

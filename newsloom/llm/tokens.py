@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from newsloom.llm.tables import give_back
+
 #: Pieces a worker remembers per generation; two generations are kept.
 REMEMBERED = 150_000
 #: Characters of texts whose pieces are looked up at once.
@@ -133,9 +135,9 @@ class Encoder:
         return out
 
     def forget(self):
-        """Gives memory back at the end of a task; the worker may go on with other stages."""
+        """Drops the remembered pieces at the end of a task."""
         self._young, self._old = {}, {}
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def _fill(self, out, texts, held):
         if held:
