@@ -80,7 +80,7 @@ def _contained_pairs(inner, outer, frequency, words, cutoff):
     words meet all words on equality, and the first common one emits the pair.
     """
     share = cutoff / (200 - cutoff)
-    ranked = attach(_listed(inner), frequency, "token", "df", words, "node")
+    ranked = attach(_listed(inner), frequency, "token", "df", words, "node", "merge")
     order = (
         ranked.groupBy(F.col("node").alias("a"))
         .agg(F.expr("sort_array(collect_list(struct(df, -length(token) as neg, token)))").alias("order"))
@@ -91,7 +91,8 @@ def _contained_pairs(inner, outer, frequency, words, cutoff):
         .selectExpr("a", "ta", "la", "lead", "explode(lead) as token")
     )
     others = outer.selectExpr("node as b", "tokens as tb", "explode(tokens) as token")
-    met = order.join(others, "token").where(
+    # Spark takes a table as small as before its rows are exploded, and would broadcast it
+    met = order.hint("merge").join(others, "token").where(
         "a <> b and token = try_element_at(array_intersect(lead, tb), 1)"
     )
     scored = met.withColumn("shared", joined_length(F.array_intersect("ta", "tb")))
@@ -162,7 +163,8 @@ def _aligned_pairs(left, right, tiles, cutoff, once=None):
     # tiles are few bytes but much work, so their partitions must not be coalesced by size
     count = max(1, min(tiles, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     room = f"{1 - cutoff / 100}D * (a.len + b.len) + 1e-9D"
-    met = left.repartition(count, "tile").alias("a").join(
+    # a side of the tiles is many times its table, and is not to be broadcast
+    met = left.repartition(count, "tile").alias("a").hint("merge").join(
         right.repartition(count, "tile").alias("b"),
         F.expr(f"a.tile = b.tile and {once or 'true'} and abs(a.len - b.len) <= {room}")
         & (signature_distance("a", "b") <= F.expr(room)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import fixtures as fx
 from newsloom.functions.lcs import lcs_length
 from newsloom.operators import similarity as sim
+from newsloom.operators.skew import attach
 
 
 def lcs(a, b):
@@ -187,3 +188,21 @@ def test_known_pairs(spark):
     assert sim.similar_pairs(titles).count() == 241
     titles = fx.page_feed(spark, "/root/testdata/sf0.01").select("seq", "title")
     assert sim.similar_pairs(titles).count() == 2
+
+
+def test_sides_that_grow_by_their_words_and_tiles_are_not_broadcast(spark):
+    titles = random_titles(21, 300)
+    nodes = sim.write_through(sim.title_nodes(spark.createDataFrame(list(enumerate(titles)), "seq long, title string")), "nodes")
+    plan = sim.node_pairs(nodes)._jdf.queryExecution().sparkPlan().toString()
+    # only the hot words are, by a number
+    joins = re.findall(r"(\w+Join) \[([a-z_]+)", plan)
+    assert ("SortMergeJoin", "token") in joins and ("SortMergeJoin", "cast") in joins, joins  # the tile, cast
+    assert {key for kind, key in joins if kind == "BroadcastHashJoin"} <= {"xxhash"}, joins
+
+
+def test_attach_finds_hot_and_other_keys_and_none(spark):
+    rows = spark.createDataFrame([(i, "hot") for i in range(900)] + [(1000, "cold"), (1001, "none"), (1002, None)], "id long, k string")
+    lookup = spark.createDataFrame([("hot", 900, 1), ("cold", 1, 2), ("other", 1, 3), (None, 1, 4)], "k string, n long, v int")
+    for hint in (None, "merge"):
+        found = attach(rows, lookup, "k", "n", 903, "id", hint).groupBy("k", "v").count().collect()
+        assert sorted(map(tuple, found), key=str) == sorted([("hot", 1, 900), ("cold", 2, 1), ("none", None, 1), (None, None, 1)], key=str)
