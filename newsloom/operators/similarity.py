@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from newsloom.functions.lcs import lcs_length
+from newsloom.functions.lcs import matched_length
 from newsloom.functions.once import computed_once
 from newsloom.functions.text import title_key
 from newsloom.functions.titles import (
@@ -120,7 +120,7 @@ _TILE = "named_struct('ba', {}, 'xa', {}, 'bb', {}, 'xb', {})".format
 
 
 def _in_tiles(parts, tiles):
-    return parts.selectExpr("node", "tokens", "len", *SIGNATURE, f"explode(concat({', '.join(tiles)})) as tile")
+    return parts.selectExpr("node", "key", "len", *SIGNATURE, f"inline(concat({', '.join(tiles)}))")
 
 
 def _tiles(nodes, counts, rows):
@@ -157,29 +157,29 @@ def _aligned_pairs(left, right, tiles, cutoff, once=None):
     """Pairs whose full texts align: common words first, then the other words of each.
 
     Length and character counts bound the score from above, in generated code within the join.
-    Only the survivors reach the Arrow UDF, which compares the words that differ. ``once`` is the
+    Only the survivors reach the Arrow UDF, which compares the words of many pairs at once. ``once`` is the
     condition that keeps a pair of one table from being compared twice.
     """
     # tiles are few bytes but much work, so their partitions must not be coalesced by size
     count = max(1, min(tiles, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     room = f"{1 - cutoff / 100}D * (a.len + b.len) + 1e-9D"
     # a side of the tiles is many times its table, and is not to be broadcast
-    met = left.repartition(count, "tile").alias("a").hint("merge").join(
-        right.repartition(count, "tile").alias("b"),
-        F.expr(f"a.tile = b.tile and {once or 'true'} and abs(a.len - b.len) <= {room}")
+    # plain columns: structs of both sides would be cast, and moved once more
+    tile = ["ba", "xa", "bb", "xb"]
+    same = " and ".join(f"a.{c} = b.{c}" for c in tile)
+    met = left.repartition(count, *tile).alias("a").hint("merge").join(
+        right.repartition(count, *tile).alias("b"),
+        F.expr(f"{same} and {once or 'true'} and abs(a.len - b.len) <= {room}")
         & (signature_distance("a", "b") <= F.expr(room)),
     )
     survivors = met.selectExpr(
         "least(a.node, b.node) as i",
         "greatest(a.node, b.node) as j",
         "a.len + b.len as total",
-        "array_join(array_intersect(a.tokens, b.tokens), ' ') as common",
-        "array_join(array_except(a.tokens, b.tokens), ' ') as ra",
-        "array_join(array_except(b.tokens, a.tokens), ' ') as rb",
-    ).withColumn("lcs", lcs_length()("ra", "rb"))
-    return survivors.selectExpr(
-        "i", "j", "200D * (length(common) + int(common <> '') + lcs) / total as score"
-    ).where(F.col("score") >= cutoff)
+        "a.key as ka",
+        "b.key as kb",
+    ).withColumn("matched", matched_length()("ka", "kb"))
+    return survivors.selectExpr("i", "j", "200D * matched / total as score").where(F.col("score") >= cutoff)
 
 
 def _tile_rows(rows):
@@ -206,7 +206,7 @@ def node_pairs(nodes, threshold=SIMILARITY_THRESHOLD):
     cutoff = _cutoff(threshold)
     pairs = _contained_pairs(nodes, nodes, _frequencies(nodes), words, cutoff)
     if counts:
-        once = "a.node <> b.node and (a.node < b.node or a.tile.ba <> a.tile.bb or a.tile.xa <> a.tile.xb)"
+        once = "a.node <> b.node and (a.node < b.node or a.ba <> a.bb or a.xa <> a.xb)"
         tiles = _tiles(nodes, counts, _tile_rows(sum(counts.values())))
         pairs = pairs.union(_aligned_pairs(*tiles, cutoff, once))
     return _best(pairs)

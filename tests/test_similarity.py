@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import fixtures as fx
-from newsloom.functions.lcs import lcs_length
+from newsloom.functions.lcs import lcs_length, matched_length
 from newsloom.operators import similarity as sim
 from newsloom.operators.skew import attach
 
@@ -196,7 +196,7 @@ def test_sides_that_grow_by_their_words_and_tiles_are_not_broadcast(spark):
     plan = sim.node_pairs(nodes)._jdf.queryExecution().sparkPlan().toString()
     # only the hot words are, by a number
     joins = re.findall(r"(\w+Join) \[([a-z_]+)", plan)
-    assert ("SortMergeJoin", "token") in joins and ("SortMergeJoin", "cast") in joins, joins  # the tile, cast
+    assert ("SortMergeJoin", "token") in joins and ("SortMergeJoin", "ba") in joins, joins
     assert {key for kind, key in joins if kind == "BroadcastHashJoin"} <= {"xxhash"}, joins
 
 
@@ -206,3 +206,19 @@ def test_attach_finds_hot_and_other_keys_and_none(spark):
     for hint in (None, "merge"):
         found = attach(rows, lookup, "k", "n", 903, "id", hint).groupBy("k", "v").count().collect()
         assert sorted(map(tuple, found), key=str) == sorted([("hot", 1, 900), ("cold", 2, 1), ("none", None, 1), (None, None, 1)], key=str)
+
+
+def test_matched_length_of_many_pairs_at_once(spark):
+    rng = random.Random(5)
+    words = ["a", "ab", "ba", "naik", "Naik", "é", "日本", "😀", "a\0", "\0\0b", "x" * 63, "y" * 64, "kota.", "ß" * 130, "beras"]
+    long = " ".join(sorted(f"w{k}" for k in range(90)))
+    sets = [" ".join(sorted(rng.sample(words, rng.randint(1, 6)))) for _ in range(120)] + [long, long[:240].strip(), long[3:]]
+    pairs = [(a, b) for a in sets for b in rng.sample(sets, 50)]
+    rows = spark.createDataFrame(pairs, "a string, b string").coalesce(1)
+    found = rows.select("a", "b", matched_length()("a", "b").alias("n")).distinct().collect()
+    assert len(found) == len(set(pairs))
+    for r in found:
+        a, b = r.a.split(" "), r.b.split(" ")
+        both = set(a) & set(b)
+        left, right = (" ".join(w for w in side if w not in both) for side in (a, b))
+        assert r.n == sum(len(w) + 1 for w in both) + lcs(left, right), (r.a, r.b)
