@@ -108,6 +108,40 @@ def test_nothing_is_lost_on_a_large_host(spark):
     assert got == sorted((i, "\n".join(x for x in lines if x not in (menu, "y"))) for i, _, lines in pages)
 
 
+def test_articles_go_through_the_suffixes(spark):
+    """What nearly all articles of a host hold goes, be it a line or part of one; copies and phrases stay."""
+    draw = random.Random(4)
+    said = lambda n: " ".join(draw.choices([f"t{j}" for j in range(500)], k=n))
+    line, notice, phrase, copied = "Read our daily letter", said(40), said(30), [said(30) for _ in range(5)]
+    rows, expected = [], {}
+    for k in range(40):
+        own = [said(60), said(50), phrase if k % 2 else "x"]
+        held = [line, own[0] + " " + notice, own[1], own[2]] if k < 38 else own
+        rows.append((k, "news.example", held))
+        expected[k] = "\n".join(own)
+        # one article with another last line on each page, and a host of few pages
+        rows += [(100 + k, "copies.example", [*copied, f"page {k}"]), (200 + k, f"h{k // 9}.example", [line, own[0], notice])]
+        expected |= {100 + k: "\n".join([*copied, f"page {k}"]), 200 + k: "\n".join([line, own[0], notice])}
+    # the same article at other addresses counts once
+    rows += [(300 + k, "same.example", [line, f"{copied[k // 20]} {copied[4]}"]) for k in range(40)]
+    expected |= {300 + k: f"{line}\n{copied[k // 20]} {copied[4]}" for k in range(40)}
+    table = spark.createDataFrame(
+        [(i, f"https://{h}/{i}", page("<article>" + "".join(f"<p>{x}</p>" for x in held) + "</article>")) for i, h, held in rows],
+        "page_id long, url string, html string",
+    )
+    got = {r.page_id: r.text for r in htmltext.extract(table).collect()}
+    assert got == expected
+    assert got[0] != text_of(table.where("page_id = 0").first().html)
+
+
+def test_marks_depend_on_the_string_alone():
+    draw = random.Random(9)
+    words = [b"%d" % draw.randrange(30) for _ in range(300)]
+    marks = htmltext._run_marks(words, 24)
+    assert len(marks) == 277 and all(htmltext._run_marks(words[k : k + 24], 24)[0] == m for k, m in enumerate(marks))
+    assert len(set(marks.tolist())) < 80 and len(htmltext._run_marks(words[:23], 24)) == 0
+
+
 def test_odd_pages(spark):
     rows = [
         (1, None, None), (2, "u", ""), (3, "u", "plain text"), (4, "u", "<article>" + "word " * 50_000 + "</article>"),
