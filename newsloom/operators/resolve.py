@@ -30,7 +30,8 @@ def resolve_urls(articles, resolution=None):
     articles = write_through(articles, "merged")
     known = addresses(resolution, articles.select("link"))
     return (
-        articles.join(known, "link", "left")
+        # the addresses grow with the articles, and are not to be broadcast
+        articles.join(known.hint("merge"), "link", "left")
         .withColumn("url", F.coalesce("_known", "link"))
         .withColumn(
             "status",

@@ -238,16 +238,17 @@ def leaders(pairs, max_rounds=None):
     """
     edges = write_through(pairs.select("i", "j"), "edges")
     left, taken, rounds = edges, [], 0
+    # what grows with the edges is joined by merging, so that no round sends a table through the driver
     while not left.isEmpty():
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"clustering is not done after {max_rounds} rounds")
         follows = left.select(F.col("j").alias("i")).distinct().withColumn("follows", F.lit(True))
-        seen = left.join(follows, "i", "left")
+        seen = left.join(follows.hint("merge"), "i", "left")
         # a node with a leading neighbour is a member
         members = seen.where("follows is null").select(F.col("j").alias("node")).distinct()
         of = lambda end: members.select(F.col("node").alias(end), F.lit(True).alias(f"{end}_in"))
         marked = write_through(
-            left.join(of("j"), "j", "left").join(of("i"), "i", "left"), "round"
+            left.join(of("j").hint("merge"), "j", "left").join(of("i").hint("merge"), "i", "left"), "round"
         )
         taken.append(marked.where("j_in").select(F.col("j").alias("i")))
         left = marked.where("j_in is null and i_in is null").select("i", "j")
@@ -255,7 +256,7 @@ def leaders(pairs, max_rounds=None):
     # a smaller neighbour that is no member leads
     by_leader = edges
     if taken:
-        by_leader = edges.join(reduce(lambda a, b: a.union(b), taken), "i", "left_anti")
+        by_leader = edges.join(reduce(lambda a, b: a.union(b), taken).hint("merge"), "i", "left_anti")
     return by_leader.groupBy(F.col("j").alias("node")).agg(F.min("i").alias("leader"))
 
 
@@ -270,9 +271,9 @@ def follow(nodes, leading=None, threshold=SIMILARITY_THRESHOLD):
     if leading is not None:
         pairs = cross_pairs(leading, nodes, threshold)
         met = write_through(pairs.groupBy(F.col("j").alias("node")).agg(F.min("i").alias("leader")), "met")
-        rest = write_through(nodes.join(met, "node", "left_anti"), "rest")
+        rest = write_through(nodes.join(met.hint("merge"), "node", "left_anti"), "rest")
     led = leaders(node_pairs(rest, threshold))
-    found = rest.select("node").join(led, "node", "left").select("node", F.coalesce("leader", "node").alias("leader"))
+    found = rest.select("node").join(led.hint("merge"), "node", "left").select("node", F.coalesce("leader", "node").alias("leader"))
     return found if met is None else found.unionByName(met)
 
 
@@ -298,7 +299,7 @@ def follow_in_order(nodes, leading=None, threshold=SIMILARITY_THRESHOLD):
         led = follow(batch, leading, threshold)
         if high is not None:
             led = write_through(led, "led")
-            leads = batch.join(led.where("node = leader").select("node"), "node", "left_semi")
+            leads = batch.join(led.where("node = leader").select("node").hint("merge"), "node", "left_semi")
             more = write_through(leads.select(*nodes.columns), "leading")
             leading = more if leading is None else leading.select(*nodes.columns).union(more)
         found = led if found is None else found.union(led)
@@ -310,7 +311,7 @@ def fuzzy_clusters(rows, threshold=SIMILARITY_THRESHOLD):
     """``key, leader, size``: cluster of each word set. Rows without a word have none."""
     nodes = write_through(title_nodes(rows, threshold), "nodes")
     led = follow_in_order(nodes, threshold=threshold)
-    return with_sizes(nodes.join(led, "node").select("key", "n", "leader"))
+    return with_sizes(nodes.hint("merge").join(led, "node").select("key", "n", "leader"))
 
 
 def with_sizes(sets):
@@ -319,7 +320,7 @@ def with_sizes(sets):
     # a big story has many word sets
     sizes = placed.groupBy("_leader").agg(F.sum("n").alias("size"), F.count("*").alias("sets"))
     sets = placed.count()
-    found = attach(placed, sizes, "_leader", "sets", sets, "key")
+    found = attach(placed, sizes, "_leader", "sets", sets, "key", "merge")
     return found.select("key", "n", F.col("_leader").cast("bigint").alias("leader"), "size")
 
 
@@ -358,7 +359,7 @@ def covered_by(rows, key, clusters):
     shared = clusters.where(F.col("size") > 1).withColumnRenamed("key", "_key")
     shared = write_through(shared, "clusters")
     total = shared.agg(F.sum("n")).first()[0] or 0
-    found = attach(computed_once(rows, _key=key), shared, "_key", "n", total, "seq")
+    found = attach(computed_once(rows, _key=key), shared, "_key", "n", total, "seq", "merge")
     return found.withColumns({
         "leader": F.coalesce("leader", "seq"),
         "similar": F.coalesce(F.col("size") - 1, F.lit(0)).cast("int"),

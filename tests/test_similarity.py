@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import fixtures as fx
 from newsloom.functions.lcs import lcs_length, matched_length
 from newsloom.operators import similarity as sim
+from newsloom.operators.resolve import resolve_urls
 from newsloom.operators.skew import attach
 
 
@@ -200,6 +201,23 @@ def test_sides_that_grow_by_their_words_and_tiles_are_not_broadcast(spark):
     assert {key for kind, key in joins if kind == "BroadcastHashJoin"} <= {"xxhash"}, joins
 
 
+def test_coverage_and_addresses_broadcast_nothing_that_grows(spark, monkeypatch):
+    written, write = [], sim.write_through
+    keep = lambda df, label: written.append(df) or write(df, label)
+    monkeypatch.setattr(sim, "write_through", keep)
+    monkeypatch.setattr(sim, "FIRST_BATCH", 40)
+    titles = random_titles(22, 300)
+    found = sim.similar_coverage(frame(spark, titles))
+    articles = spark.createDataFrame([("a",), ("b",)], "link string")
+    known = spark.createDataFrame([("a", "A", True)], "link string, decoded_url string, status boolean")
+    plans = [df._jdf.queryExecution().sparkPlan().toString() for df in [*written, found, resolve_urls(articles, known)]]
+    joins = [join for plan in plans for join in re.findall(r"(\w+Join) \[([a-z_]+)", plan)]
+    # hot keys by a number and a filter of bounded size are
+    assert {key for kind, key in joins if kind == "BroadcastHashJoin"} <= {"xxhash", "pmod"}, joins
+    assert {key for kind, key in joins if kind == "SortMergeJoin"} >= {"i", "j", "node", "link", "_spread_key"}, joins
+    assert [r.leader for r in found.orderBy("seq").collect()] == clusters(titles)
+
+
 def test_attach_finds_hot_and_other_keys_and_none(spark):
     rows = spark.createDataFrame([(i, "hot") for i in range(900)] + [(1000, "cold"), (1001, "none"), (1002, None)], "id long, k string")
     lookup = spark.createDataFrame([("hot", 900, 1), ("cold", 1, 2), ("other", 1, 3), (None, 1, 4)], "k string, n long, v int")
