@@ -25,7 +25,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from newsloom.llm.tables import documents, slices
+from newsloom.llm.tables import documents, give_back, slices
 from newsloom.llm.tokens import encoder
 
 END_ID = 2
@@ -138,7 +138,8 @@ def write_tokens(docs, path, vocabulary, end_id=END_ID, partitions=None):
                     block, before, rows, n = block + 1, before + n, [], 0
         if rows:
             yield closed()
-        ids_of.forget()
+        # the remembered pieces stay for the worker's next task: most of its pieces are the same
+        give_back()
 
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     in_order = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -132,3 +133,20 @@ def test_texts_in_rounds_equal_the_plain_call(monkeypatch, odd_rows, path, space
     found = encoder(path, spaces).__class__(path, spaces).encode_all(texts)
     for text, ids in zip(texts, found):
         assert np.frombuffer(ids, "<u4").tolist() == ids_of(text)
+
+
+def test_a_worker_keeps_pieces_for_its_next_task(spark, tmp_path):
+    rows = [(k, f"kept{k} pieces of a task") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tokenfile.write_tokens(docs, str(tmp_path / "kept"), BYTE, partitions=1)
+
+    def remembered(batches):
+        from newsloom.llm import tokens
+
+        for batch in batches:
+            known = tokens._encoders.get((BYTE, True))
+            found = known is not None and any(" pieces" in own for own in (known._young, known._old))
+            yield pa.RecordBatch.from_arrays([pa.array([found] * batch.num_rows)], names=["found"])
+
+    # whichever idle worker a task gets, one of them wrote the block
+    assert any(r.found for r in spark.range(0, 64, 1, 64).mapInArrow(remembered, "found boolean").collect())
