@@ -11,7 +11,8 @@ up the similarity.
 
 Before any text moves, a pair's parity bitmaps are compared: bit k of a bitmap tells whether the set has an odd
 number of shingles that hash to k, so two bitmaps differ in no more bits than the sets differ in shingles.
-Pairs that pass are compared exactly, on the whole sets.
+Pairs that pass are compared exactly, on the whole sets, made from the texts. A text with many pairs is sent to
+several tasks, once for each share of its pairs, and stands ahead of the texts it is compared with.
 
 Documents with equal sets meet once, as one node. Members of a bucket are compared with one of them
 first; what is linked so far is one component, and then only members of different components are paired,
@@ -37,6 +38,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Rounds in which a bucket's members are compared with one of them; then all that is left is paired.
 STARS = 2
+#: Texts that are compared with one copy of another, on average.
+TOGETHER = 64
+#: Texts to compare that are sent at a time.
+COMPARED = 100
 #: Documents sampled for the order of shingles, and frequent shingles told.
 SAMPLE = 4000
 FREQUENT = 50_000
@@ -121,13 +126,41 @@ def _set_rows(batches, shingle, seed, least, frequent, ranks):
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "size", "prefix", "fp", *PARITY])
 
 
+def _rows_to_compare(close, texts):
+    """``a, share, b, text``: of each pair of ``close(x, y)`` the text of b, and ahead of them (b null) that of a.
+
+    Of two nodes the one with more pairs is a. Its pairs are dealt out to shares of about ``TOGETHER``, and its
+    text goes along once for each, so neither a row nor a task grows with the pairs of one node.
+    """
+    degrees = close.select(F.explode(F.array("x", "y")).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+    both = close.join(degrees.toDF("x", "x_n"), "x").join(degrees.toDF("y", "y_n"), "y")
+    swapped = F.col("y_n") > F.col("x_n")
+    pairs = both.select(
+        F.when(swapped, F.col("y")).otherwise(F.col("x")).alias("a"),
+        F.when(swapped, F.col("x")).otherwise(F.col("y")).alias("b"),
+        F.ceil(F.greatest("x_n", "y_n") / TOGETHER).alias("shares"),
+    )
+    pairs = write_through(
+        pairs.select("a", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share"), "b"), "compared"
+    )
+    heads = pairs.select("a", "share").distinct().select(F.col("a").alias("node"), "a", "share", F.lit(None).cast("long").alias("b"))
+    wanted = heads.unionByName(pairs.select(F.col("b").alias("node"), "a", "share", "b"))
+    rows = wanted.join(texts, "node").select("a", "share", "b", "text")
+    return rows.repartition("a", "share").sortWithinPartitions("a", "share", F.asc_nulls_first("b"))
+
+
 def _compared(batches, shingle, seed, least):
+    """The similar pairs of such rows; a share's rows may come in several batches."""
+    ahead = own = None
     for batch in slices(batches):
-        a, b, known = [], [], (None, None)
-        for x, y, left, right in zip(*(batch[c].to_pylist() for c in ("a", "b", "left", "right"))):
-            if known[0] != x:
-                known = (x, shingles(left, shingle, seed))
-            if similarity(known[1], shingles(right, shingle, seed)) >= least:
+        a, b = [], []
+        for x, share, y, text in zip(*(batch[c].to_pylist() for c in ("a", "share", "b", "text"))):
+            hashes = shingles(text, shingle, seed)
+            if y is None:
+                ahead, own = (x, share), hashes
+            elif ahead != (x, share):
+                raise ValueError("the text to compare with is not ahead of the others")
+            elif similarity(own, hashes) >= least:
                 a.append(x)
                 b.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -210,13 +243,11 @@ def links(sets, texts_of, shingle=SHINGLE, seed=SEED, least=SIMILARITY):
         done = pairs if done is None else done.unionByName(pairs)
         close = write_through(_close(pairs, sets, least), "close")
         texts = write_through(texts_of(close.select(F.explode(F.array("x", "y")).alias("node")).distinct()), "texts")
-        near = (
-            close.join(texts.toDF("y", "right"), "y")
-            .join(texts.toDF("x", "left"), "x")
-            .select(F.col("x").alias("a"), F.col("y").alias("b"), "left", "right")
-            .mapInArrow(lambda rows: _compared(rows, shingle, seed, least), "a long, b long")
+        near = _rows_to_compare(close, texts).mapInArrow(
+            lambda rows: _compared(rows, shingle, seed, least), "a long, b long"
         )
-        near = write_through(near, "near")
+        with text_batches(near.sparkSession, COMPARED):
+            near = write_through(near, "near")
         found = near if found is None else found.unionByName(near)
         if turn < STARS:
             buckets = _mixed(buckets, found)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from newsloom.llm.calibration import apply_isotonic, fit_isotonic
-from newsloom.llm.tables import documents, slices
+from newsloom.llm.tables import documents, slices, text_batches
 from newsloom.workspace import write_through
 
 #: Labelled documents of each label that the lexicon is learned from.
@@ -187,7 +187,7 @@ def _count(training, of=None, ranks=None):
                 names=["stem", "clean", "toxic"],
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist()):
                 stems = _stems(text, of)
                 if ranks is not None:
@@ -246,7 +246,7 @@ def raw_scores(docs, lexicon):
 
     def of_batches(batches):
         grammar = Grammar(lexicon)
-        for batch in batches:
+        for batch in slices(batches):
             raw = [math.log1p(grammar.score(t)) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(raw, pa.float64())], names=["doc_id", "raw"]
@@ -267,7 +267,11 @@ def train(docs, labels, where):
     Learns from the labelled documents that satisfy ``where``: the lexicon from ``SAMPLE`` of
     each label at most, the first by hash of their ids, the calibration from all of them.
     """
-    docs, marks = documents(docs), _marks(labels).where(where)
+    with text_batches(docs.sparkSession):
+        return _train(documents(docs), _marks(labels).where(where))
+
+
+def _train(docs, marks):
     # of equal texts one is learned from; only ids and hashes are moved
     hashed = docs.select("doc_id", F.xxhash64("text").alias("hash")).join(marks, "doc_id")
     single = hashed.groupBy("hash", "label").agg(F.min("doc_id").alias("doc_id"))

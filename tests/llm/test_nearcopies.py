@@ -93,3 +93,26 @@ def test_pairs_are_compared_once_and_few_texts_move(documents, monkeypatch):
     monkeypatch.setattr(nearcopies, "_close", lambda *a: moved.append(plain_close(*a)) or moved[-1])
     kept = nearcopies.keep_first(documents(rows)).collect()
     assert len(kept) == 80 and sum(m.count() for m in moved) == 0
+
+
+def test_a_text_with_many_pairs_is_dealt_out(spark):
+    """Its pairs are spread over shares, and it is sent once for each of these, ahead of the others, not with every pair."""
+    pairs = [(min(k, 500), max(k, 500)) for k in range(1000) if k != 500] + [(1, 2)]
+    close = spark.createDataFrame(pairs, "x long, y long")
+    texts = spark.createDataFrame([(k, f"text {k}") for k in range(1000)], "node long, text string")
+    parts = nearcopies._rows_to_compare(close, texts).rdd.glom().collect()
+    compared, shares = [], {}
+    for rows in parts:
+        ahead = None
+        for r in rows:
+            assert r.text == f"text {r.a if r.b is None else r.b}"
+            if r.b is None:
+                ahead = (r.a, r.share)
+                assert ahead not in shares
+                shares[ahead] = 0
+            else:
+                assert ahead == (r.a, r.share)
+                shares[ahead] += 1
+                compared.append((min(r.a, r.b), max(r.a, r.b)))
+    assert sorted(compared) == sorted(pairs)
+    assert max(shares.values()) < 2 * nearcopies.TOGETHER and len(shares) < len(pairs) / 40

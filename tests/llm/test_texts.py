@@ -262,3 +262,12 @@ def test_isotonic(spark):
     at = np.linspace(0.05, 0.95, 19)
     scores = calibration.apply_isotonic(at, knots)
     assert (np.diff(scores) >= 0).all() and np.abs(scores - at).max() < 0.12
+
+
+def test_training_sends_few_texts_at_a_time(spark, documents, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(toxicity, "_train", lambda docs, marks: seen.append(spark.conf.get(name)))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    toxicity.train(documents([(1, "one")]), labels, F.lit(True))
+    assert seen == ["1000"] and spark.conf.get(name) == before
