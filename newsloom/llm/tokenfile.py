@@ -33,6 +33,9 @@ MAGIC = b"NLTK"
 HEAD = struct.Struct("<4sHH32sI")
 #: A block is closed once it holds this many ids.
 BLOCK_IDS = 1 << 20
+#: Texts, and characters of them, whose pieces are looked up at once: the more, the fewer are looked up twice.
+ROUND_ROWS = 4000
+ROUND_CHARS = 1 << 24
 #: The dictionary is trained on the leading ids of so many documents, the first by hash of id.
 TRAIN_DOCUMENTS = 512
 TRAIN_CHARS = 4096
@@ -128,8 +131,9 @@ def write_tokens(docs, path, vocabulary, end_id=END_ID, partitions=None):
                 names=["part", "block", "first_id", "before", "n_tokens", "data"],
             )
 
-        for batch in slices(batches):
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), ids_of.encode_all(batch["text"].to_pylist())):
+        for batch in slices(batches, ROUND_ROWS):
+            texts = batch["text"].to_pylist()
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), ids_of.encode_all(texts, ROUND_CHARS)):
                 ids += end
                 rows.append((doc_id, ids))
                 n += len(ids) // 4

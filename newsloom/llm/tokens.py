@@ -10,6 +10,7 @@ spaces. The ids are those of the library's plain call.
 
 import os
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,25 @@ class Encoder:
         self._mark, self._between = ("\n", "\n") if spaces_matter else ("|", " | ")
         ids = self._ids([self._mark])[0]
         self._mark_id = ids[0] if len(ids) == 1 else None
+        self._sizes = self._token_sizes() if spaces_matter else None
+
+    def _token_sizes(self):
+        """The bytes of each token by id; None if not every byte of a text is a character of its tokens.
+
+        None too if the string of an added token could stand over the end of a piece.
+        """
+        from tokenizers import pre_tokenizers
+
+        alphabet = set(pre_tokenizers.ByteLevel.alphabet())
+        known = self._library.get_vocab(with_added_tokens=False)
+        if not isinstance(self._library.pre_tokenizer, pre_tokenizers.ByteLevel) or not alphabet <= known.keys():
+            return None
+        if any(len(added.split()) != 1 for added in self._added):
+            return None
+        sizes = np.zeros(max(known.values()) + 1, np.int64)
+        for token, k in known.items():
+            sizes[k] = len(token)
+        return sizes
 
     def _ids(self, texts):
         return [e.ids for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -55,13 +75,36 @@ class Encoder:
     def _whole(self, texts):
         return [_packed(ids) for ids in self._ids(texts)]
 
+    def _in_a_row(self, pieces):
+        """``ids, ends``: those of pieces that begin with their only space, and the place in the ids where each ends.
+
+        No token reaches over a space, so many pieces make one text and the bytes of its tokens tell the pieces
+        apart; None where they do not.
+        """
+        groups = ["".join(pieces[at : at + JOINED]) for at in range(0, len(pieces), JOINED)]
+        ids = np.fromiter(chain.from_iterable(self._ids(groups)), "<u4")
+        tokens = np.cumsum(self._sizes[ids])
+        raw = np.frombuffer("".join(groups).encode(), np.uint8)
+        ends = np.append(np.flatnonzero(raw == 32)[1:], len(raw))
+        at = np.minimum(np.searchsorted(tokens, ends), len(tokens) - 1)
+        return (ids, at + 1) if len(ends) == len(pieces) and np.array_equal(tokens[at], ends) else None
+
     def _encoded(self, pieces):
         """The ids of pieces, many of them in one text."""
-        found, alone, joined = {}, [], []
+        found, alone, joined, spaced = {}, [], [], []
         for piece in pieces:
-            bare = piece[1:] if self._spaces_matter and piece[:1] == " " else piece
+            begins = self._spaces_matter and piece[:1] == " "
+            bare = piece[1:] if begins else piece
             plain = self._mark_id is not None and self._mark not in bare and bare.split() == [bare]
-            (joined if plain else alone).append(piece)
+            (spaced if plain and begins and self._sizes is not None else joined if plain else alone).append(piece)
+        row = self._in_a_row(spaced) if spaced else None
+        if row:
+            raw, start = row[0].tobytes(), 0
+            for piece, end in zip(spaced, (4 * row[1]).tolist()):
+                found[piece] = raw[start:end]
+                start = end
+        else:
+            joined += spaced
         groups = [joined[at : at + JOINED] for at in range(0, len(joined), JOINED)]
         for group, ids in zip(groups, self._ids([self._between.join(g) for g in groups])):
             ids = np.array(ids, "<u4")
@@ -117,8 +160,9 @@ class Encoder:
             return True
         return self._spaces_matter and ("  " in text or _CUT in text)
 
-    def encode_all(self, texts):
-        """The ids of each text."""
+    def encode_all(self, texts, together=None):
+        """The ids of each text; pieces of so many characters are looked up at once."""
+        together = together or ROUND_CHARS
         out, held, size = [b""] * len(texts), [], 0
         for k, text in enumerate(texts):
             if not text:
@@ -128,7 +172,7 @@ class Encoder:
                 continue
             held.append(k)
             size += len(text)
-            if size >= ROUND_CHARS:
+            if size >= together:
                 self._fill(out, texts, held)
                 held, size = [], 0
         self._fill(out, texts, held)

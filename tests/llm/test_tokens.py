@@ -150,3 +150,27 @@ def test_a_worker_keeps_pieces_for_its_next_task(spark, tmp_path):
 
     # whichever idle worker a task gets, one of them wrote the block
     assert any(r.found for r in spark.range(0, 64, 1, 64).mapInArrow(remembered, "found boolean").collect())
+
+
+def test_new_words_go_through_the_library_without_marks_between(monkeypatch):
+    """What is sent to the library holds the new pieces alone, and each gets the ids of its own call."""
+    own = encoder(BYTE, True).__class__(BYTE, True)
+    pieces = [f" wörd{k}" for k in range(90)] + [" 漢字", " it's", " x|y", " Ω̈", " 1.2.3", " \x01", " \U0001f600a"]
+    sent, plain = [], own._ids
+    monkeypatch.setattr(own, "_ids", lambda texts: sent.extend(texts) or plain(texts))
+    found = own._encoded(pieces)
+    assert "".join(sent) == "".join(pieces)
+    ids_of = library(BYTE)
+    assert [np.frombuffer(found[p], "<u4").tolist() for p in pieces] == [ids_of(p) for p in pieces]
+
+
+def test_token_file_looks_up_more_texts_at_once(monkeypatch):
+    """Of the same new word in many texts of a round one call is made."""
+    own = encoder(BYTE, True).__class__(BYTE, True)
+    rounds, plain = [], own._round
+    monkeypatch.setattr(own, "_round", lambda texts: rounds.append(len(texts)) or plain(texts))
+    monkeypatch.setattr("newsloom.llm.tokens.ROUND_CHARS", 10)
+    texts = [f"round{k} of words" for k in range(50)]
+    ids_of = library(BYTE)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts, tokenfile.ROUND_CHARS)] == [ids_of(t) for t in texts]
+    assert rounds == [50]
