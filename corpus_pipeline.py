@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import decontaminate, nearcopies, packing, repeats, toxicity
 from newsloom.llm.tables import table
-from newsloom.workspace import write_through
+from newsloom.workspace import passing_tables, write_through
 
 #: Documents that score so high are rejected.
 TOXIC = 0.7
@@ -29,7 +29,9 @@ def toxic_documents(spark, docs, sf_dir):
 
 def near_copies(spark, docs, sf_dir):
     """Keeps the document with the smallest id of each group of near-duplicates (five words, 0.8)."""
-    return nearcopies.keep_first(docs)
+    # what is returned reads the smallest ids alone; the other tables would take disk from later stages
+    with passing_tables(spark):
+        return nearcopies.keep_first(docs)
 
 
 def repeated_passages(spark, docs, sf_dir):

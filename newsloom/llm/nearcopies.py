@@ -292,4 +292,4 @@ def _first(plain, shingle, seed, least):
     if near is not None:
         rooted = nodes.join(roots(near).toDF("_node", "root"), F.col("node") == F.col("_node"), "left")
         first = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("doc_id"))
-    return write_through(first.select(F.col("doc_id").alias("_first")).distinct(), "first")
+    return write_through(first.select(F.col("doc_id").alias("_first")).distinct(), "first", lasts=True)

@@ -7,8 +7,11 @@ the columns they need, and a row count comes from the file footers.
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 _local_roots = {}
+_passing = ContextVar("passing", default=None)
 
 
 def shared_folder(spark):
@@ -30,9 +33,26 @@ def new_path(spark, label):
     return f"{shared_folder(spark)}/newsloom/{app}/{label}-{uuid.uuid4().hex}"
 
 
-def write_through(df, label):
+@contextmanager
+def passing_tables(spark):
+    """Tables written within are deleted at its end, but those that last; nothing read later may need them."""
+    paths = []
+    token = _passing.set(paths)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def write_through(df, label, lasts=False):
     """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    paths = _passing.get()
+    if paths is not None and not lasts:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,9 +1,11 @@
 import random
+from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
 from newsloom.llm import nearcopies
+from newsloom.workspace import shared_folder
 
 
 def shingle_set(text):
@@ -116,3 +118,11 @@ def test_a_text_with_many_pairs_is_dealt_out(spark):
                 compared.append((min(r.a, r.b), max(r.a, r.b)))
     assert sorted(compared) == sorted(pairs)
     assert max(shares.values()) < 2 * nearcopies.TOGETHER and len(shares) < len(pairs) / 40
+
+
+def test_only_the_result_stays_in_the_shared_folder(spark, documents, copies):
+    place = Path(shared_folder(spark).removeprefix("file:")) / "newsloom" / spark.sparkContext.applicationId
+    before = set(place.glob("*"))
+    kept = corpus_pipeline.near_copies(spark, documents(copies), None)
+    assert {p.name.split("-")[0] for p in set(place.glob("*")) - before} == {"first"}
+    assert sorted(r.doc_id for r in kept.collect()) == plain_first(copies)
