@@ -8,7 +8,9 @@ whole where it holds the string of an added token, or, where spaces are part of
 spaces. The ids are those of the library's plain call.
 """
 
+import json
 import os
+import re
 from array import array
 from itertools import chain
 
@@ -25,11 +27,18 @@ ROUND_CHARS = 1 << 21
 #: New pieces in one call's text.
 JOINED = 200
 
-# Letters that every version of Unicode knows, and marks; a piece may end between the two.
-_LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
+# Letters that every version of Unicode knows, and marks; a piece may end between the two. (U+0130 is not
+# among them: in lower case it ends with a combining mark, which the split joins to the next one.)
+_LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]"
 _MARK = r"[!-/:-@\[-`{-~]"
 # Between pieces where a space is part of the next one.
 _CUT = "\x00"
+# Words that the usual normalizer only lower-cases and the usual split leaves whole.
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+_USUAL_NORMALIZER = [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}
+]
+_USUAL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _encoders = {}
 
@@ -50,6 +59,40 @@ class Encoder:
         ids = self._ids([self._mark])[0]
         self._mark_id = ids[0] if len(ids) == 1 else None
         self._sizes = self._token_sizes() if spaces_matter else None
+        self._bare, self._last = (None, None) if spaces_matter else self._without_preparing()
+
+    def _without_preparing(self):
+        """The library's model without normalizer and split, and which ids end a word; None, None if these are unusual.
+
+        A word of Latin letters, lower-cased, goes through both as it is, so its ids are those of the plain call.
+        """
+        own = json.loads(self._library.to_str())
+        splits = (own["pre_tokenizer"] or {}).get("pretokenizers", [])
+        suffix = own["model"].get("end_of_word_suffix")
+        if (
+            (own["normalizer"] or {}).get("normalizers") != _USUAL_NORMALIZER
+            or [s["type"] for s in splits] != ["Split", "ByteLevel"]
+            or (splits[0]["pattern"], splits[0]["behavior"], splits[0]["invert"]) != ({"Regex": _USUAL_SPLIT}, "Removed", True)
+            or (splits[1]["add_prefix_space"], splits[1]["use_regex"]) != (False, False)
+            or own["model"]["type"] != "BPE"
+            or not suffix
+            or any(t["normalized"] for t in own["added_tokens"])
+        ):
+            return None, None
+        known = own["model"]["vocab"]
+        last = np.zeros(max(known.values()) + 1, bool)
+        last[[k for token, k in known.items() if token.endswith(suffix)]] = True
+        split = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, splits[1]]}
+        own |= {"normalizer": None, "pre_tokenizer": split, "added_tokens": [], "post_processor": None}
+        return type(self._library).from_str(json.dumps(own)), last
+
+    def _words(self, words):
+        """``ids, ends`` of words of Latin letters, many in one text: ids that end a word tell them apart; None where they do not."""
+        groups = [" ".join(words[at : at + JOINED]).lower() for at in range(0, len(words), JOINED)]
+        found = self._bare.encode_batch_fast(groups, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), "<u4")
+        ends = np.flatnonzero(self._last[ids]) + 1
+        return (ids, ends) if len(ends) == len(words) and ends[-1] == len(ids) else None
 
     def _token_sizes(self):
         """The bytes of each token by id; None if not every byte of a text is a character of its tokens.
@@ -92,12 +135,15 @@ class Encoder:
     def _encoded(self, pieces):
         """The ids of pieces, many of them in one text."""
         found, alone, joined, spaced = {}, [], [], []
+        if self._bare:
+            spaced = [p for p in pieces if _PLAIN(p)]
+            pieces = [p for p in pieces if not _PLAIN(p)]
         for piece in pieces:
             begins = self._spaces_matter and piece[:1] == " "
             bare = piece[1:] if begins else piece
             plain = self._mark_id is not None and self._mark not in bare and bare.split() == [bare]
             (spaced if plain and begins and self._sizes is not None else joined if plain else alone).append(piece)
-        row = self._in_a_row(spaced) if spaced else None
+        row = (self._words if self._bare else self._in_a_row)(spaced) if spaced else None
         if row:
             raw, start = row[0].tobytes(), 0
             for piece, end in zip(spaced, (4 * row[1]).tolist()):

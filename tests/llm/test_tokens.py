@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from newsloom.llm import packing, tokenfile
-from newsloom.llm.tokens import encoder
+from newsloom.llm.tokens import Encoder, encoder
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +34,24 @@ def test_words_looked_up_equal_whole_texts(text):
         assert got == library(path)(text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aAzZstSTéÉñÑßÿµªºİıŉ\u0301'"), min_size=1, max_size=8), max_size=30).map(" ".join))
+def test_latin_words_equal_whole_texts(text):
+    got = np.frombuffer(encoder(WORD, False).encode_all([text])[0], "<u4").tolist()
+    assert got == library(WORD)(text)
+
+
+def test_latin_words_need_no_preparing(monkeypatch):
+    """They go to the model many at once, without the marks, normalizer and split that other pieces need."""
+    coder, prepared = Encoder(WORD, False), []
+    plain = coder._ids
+    monkeypatch.setattr(coder, "_ids", lambda texts: prepared.extend(texts) or plain(texts))
+    words = [f"Wörd{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'UVWXYZÉÑÀÇ'[k // 100]}" for k in range(1000)]
+    text = " ".join(words) + " x1"
+    assert np.frombuffer(coder.encode_all([text])[0], "<u4").tolist() == library(WORD)(text)
+    assert prepared == ["x1"]
+
+
 def expected_pieces(rows, capacity):
     ids_of = library(WORD)
     out = []
