@@ -1,7 +1,7 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8.
 
 First the fingerprints: documents whose five-word fingerprints differ in two bits at most are found by
-covering masks, compared exactly, and linked. That joins up most copies at little cost, but a fingerprint
+covering masks, compared exactly, and linked, with those of an equal MinHash value. That joins up most copies at little cost, but a fingerprint
 of 64 bits cannot find all such pairs: at 0.8 two of them differ in ten bits on average. So candidates
 for the rest come from prefixes, and no pair is missed: where all sets are put in one order, two sets of
 that similarity share a shingle among the first ``n - ceil(0.8 n) + 1`` of their n. The order has
@@ -11,12 +11,14 @@ up the similarity.
 
 Before any text moves, a pair's parity bitmaps are compared: bit k of a bitmap tells whether the set has an odd
 number of shingles that hash to k, so two bitmaps differ in no more bits than the sets differ in shingles.
-Pairs that pass are compared exactly, on the whole sets, made from the texts. A text with many pairs is sent to
+Large sets would fill a bitmap of fixed size with even odds, and any two would pass; they have a second one, of at
+least a bit a shingle. Pairs that pass are compared exactly, on the whole sets, made from the texts. A text with many pairs is sent to
 several tasks, once for each share of its pairs, and stands ahead of the texts it is compared with.
 
 Documents with equal sets meet once, as one node. Members of a bucket are compared with one of them
 first; what is linked so far is one component, and then only members of different components are paired,
-so a large group of copies does not pair up all its members.
+so a large group of copies does not pair up all its members. A common line can bring many groups into one bucket, and its
+one member then links few of them, so texts with an equal MinHash value are compared with the first of them before.
 """
 
 import hashlib
@@ -47,6 +49,10 @@ SAMPLE = 4000
 FREQUENT = 50_000
 #: Words of a parity bitmap, 64 bits each.
 PARITY = [f"p{k}" for k in range(16)]
+#: MinHash values of a set: the least product of its hashes with each odd number.
+MINHASHES = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93]
+#: Words of the shorter bitmap that goes along with a bucket's members where all of them are paired.
+FOLDED = [f"q{k}" for k in range(4)]
 
 
 def shingles(text, shingle=SHINGLE, seed=SEED):
@@ -104,26 +110,51 @@ def parity(hashes):
     return np.packbits(np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).view(np.int64)
 
 
-SET_SCHEMA = "doc_id long, mark long, node long, size int, prefix array<long>, fp long, " + ", ".join(
+def wide_parity(hashes):
+    """The parity bitmap of a large set in at least a bit a shingle (a power of two), as bytes; None of other sets."""
+    bits = 64 * len(PARITY)
+    if 2 * len(hashes) <= bits:
+        return None
+    bits = max(bits, 1 << (len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def differing(a, b):
+    """Bits in which two wide bitmaps differ; the longer one is folded to the length of the other."""
+    a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    n = min(len(a), len(b))
+    fold = lambda x: np.bitwise_xor.reduce(x.reshape(-1, n), axis=0)
+    return int(np.bitwise_count(fold(a) ^ fold(b)).sum())
+
+
+def minhashes(hashes):
+    """The MinHash values of a set, as signed longs."""
+    return np.array([(hashes * np.uint64(k)).min() for k in MINHASHES], np.uint64).view(np.int64)
+
+
+SET_SCHEMA = "doc_id long, mark long, node long, size int, prefix array<long>, fp long, wide binary, least array<long>, " + ", ".join(
     f"{p} long" for p in PARITY
 )
 
 
 def _set_rows(batches, shingle, seed, least, frequent, ranks):
     for batch in slices(batches):
-        nodes, sizes, prefixes, fps, bitmaps = [], [], [], [], []
+        nodes, sizes, prefixes, fps, wides, leasts, bitmaps = [], [], [], [], [], [], []
         for text in batch["text"].to_pylist():
             own = shingles(text, shingle, seed)
             nodes.append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "big", signed=True))
             sizes.append(len(own))
             prefixes.append(prefix(own, least, frequent, ranks).view(np.int64))
             fps.append(fingerprint(own))
+            wides.append(wide_parity(own))
+            leasts.append(minhashes(own))
             bitmaps.append(parity(own))
         columns = [batch["doc_id"], batch["mark"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32())]
-        columns += [pa.array(prefixes, pa.list_(pa.int64())), pa.array(fps, pa.int64())]
+        columns += [pa.array(prefixes, pa.list_(pa.int64())), pa.array(fps, pa.int64()), pa.array(wides, pa.binary())]
+        columns.append(pa.array(leasts, pa.list_(pa.int64())))
         bitmaps = np.array(bitmaps, np.int64).reshape(-1, len(PARITY))
         columns += [pa.array(np.ascontiguousarray(bitmaps[:, k])) for k in range(len(PARITY))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "size", "prefix", "fp", *PARITY])
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "size", "prefix", "fp", "wide", "least", *PARITY])
 
 
 def _rows_to_compare(close, texts):
@@ -188,17 +219,32 @@ def _others(buckets):
     """Of each bucket the members outside its largest component: every pair of components has one."""
     sizes = buckets.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("_most"))
-    names = [F.col(c).alias(f"_{c}") for c in ("node", "size", "at", "root")]
+    names = [F.col(c).alias(f"_{c}") for c in ("node", "size", "at", "root", *FOLDED)]
     return write_through(buckets.join(largest, "key").where("root <> _most").select("key", *names), "others")
 
 
+def _folded(buckets, sets):
+    """Members of buckets with the folded bitmap of their sets."""
+    step = len(FOLDED)
+    folds = [F.expr(" ^ ".join(PARITY[k::step])).alias(q) for k, q in enumerate(FOLDED)]
+    return write_through(buckets.join(sets.select("node", *folds), "node"), "folded")
+
+
 def _alike(sets):
-    """Pairs ``x, y`` of nodes to try first: fingerprints within two bits, one node of each fingerprint."""
+    """Pairs ``x, y`` of nodes to try first: fingerprints within two bits, one node of each fingerprint; equal MinHash values."""
     first = write_through(sets.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
     same = sets.select("fp", "node").join(first, "fp").where("node <> first").selectExpr("first as x", "node as y")
     linked = simhash.links(first).toDF("a", "b")
     near = linked.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select("x", "y")
-    return same.unionByName(near).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    values = sets.select("node", F.posexplode("least").alias("turn", "value"))
+    firsts = values.groupBy("turn", "value").agg(F.min("node").alias("x"), F.count("*").alias("n")).where("n > 1")
+    equal = values.join(firsts.drop("n"), ["turn", "value"]).where("node <> x").selectExpr("x", "node as y")
+    return same.unionByName(near).unionByName(equal).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _bound(least, a, b):
+    """The shingles in which two similar sets of these sizes differ at most."""
+    return (1 - least) / (1 + least) * (F.col(a) + F.col(b)) + 1e-6
 
 
 def _close(pairs, sets, least):
@@ -207,10 +253,23 @@ def _close(pairs, sets, least):
         F.col("node").alias(name), F.col("size").alias(f"{p}_size"), *[F.col(c).alias(f"{p}_{c}") for c in PARITY]
     )
     both = pairs.join(side("y", "b"), "y").join(side("x", "a"), "x")
-    differing = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in PARITY)
-    possible = F.expr(differing) <= (1 - least) / (1 + least) * (F.col("a_size") + F.col("b_size")) + 1e-6
+    possible = F.expr(" + ".join(f"bit_count(a_{c} ^ b_{c})" for c in PARITY)) <= _bound(least, "a_size", "b_size")
     sizes = F.least("a_size", "b_size") >= least * F.greatest("a_size", "b_size") - 1e-6
-    return both.where(sizes & possible).select("x", "y")
+    fits = both.where(sizes & possible).select("x", "y", _bound(least, "a_size", "b_size").alias("most"))
+    fits = write_through(fits, "fits")
+    # the wide bitmaps of other sets are not shuffled
+    asked = key_filter(fits.select(F.explode(F.array("x", "y")).alias("node")), "xxhash64(node)")
+    wide = members(sets.where("wide is not null").select("node", "wide"), asked, "xxhash64(node)")
+    both = fits.join(wide.toDF("x", "a"), "x", "left").join(wide.toDF("y", "b"), "y", "left")
+    return both.select("x", "y", "most", "a", "b").mapInArrow(_fitting, "x long, y long")
+
+
+def _fitting(batches):
+    """The pairs of ``x, y, most, a, b`` whose wide bitmaps a, b, if both have one, differ in ``most`` bits at most."""
+    for batch in slices(batches):
+        rows = zip(*(batch[c].to_pylist() for c in ("most", "a", "b")))
+        fine = [a is None or b is None or differing(a, b) <= most for most, a, b in rows]
+        yield batch.select(["x", "y"]).filter(pa.array(fine, pa.bool_()))
 
 
 def links(sets, texts_of, shingle=SHINGLE, seed=SEED, least=SIMILARITY):
@@ -229,13 +288,17 @@ def links(sets, texts_of, shingle=SHINGLE, seed=SEED, least=SIMILARITY):
     # at the first common shingle nothing before it is shared
     possible = 1 + F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at")) - 1
     needed = least / (1 + least) * (F.col("size") + F.col("_size")) - 1e-6
+    apart = F.expr(" + ".join(f"bit_count({q} ^ _{q})" for q in FOLDED)) <= _bound(least, "size", "_size")
     found = done = None
     for turn in range(-1, STARS + 1):
         if turn < 0:
             pairs = _alike(sets)
         else:
+            fits = (F.col("root") != F.col("_root")) & (possible >= needed)
+            if turn == STARS:
+                buckets, fits = _folded(buckets, sets), fits & apart
             against = _centers(buckets, turn) if turn < STARS else _others(buckets)
-            pairs = buckets.join(against, "key").where((F.col("root") != F.col("_root")) & (possible >= needed))
+            pairs = buckets.join(against, "key").where(fits)
             pairs = pairs.select(F.least("_node", "node").alias("x"), F.greatest("_node", "node").alias("y")).distinct()
             # what has been compared is not compared again
             pairs = pairs.join(done, ["x", "y"], "left_anti")

@@ -1,6 +1,7 @@
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -97,6 +98,47 @@ def test_pairs_are_compared_once_and_few_texts_move(documents, monkeypatch):
     assert len(kept) == 80 and sum(m.count() for m in moved) == 0
 
 
+def test_large_sets_that_are_no_copies_are_not_sent(documents, monkeypatch):
+    """Over a thousand shingles fill the 1,024 bits evenly; the wide bitmaps tell such sets apart all the same."""
+    draw = random.Random(12)
+    common = [f"c{k}" for k in range(1500)]
+    rows = [(k, " ".join(common + [f"w{draw.randrange(10**6)}" for _ in range(1500)])) for k in range(12)]
+    copy = rows[0][1].split()
+    copy[2000:2010] = [f"x{k}" for k in range(10)]
+    rows.append((99, " ".join(copy)))
+    moved = []
+    plain_close = nearcopies._close
+    monkeypatch.setattr(nearcopies, "SAMPLE", 1)
+    monkeypatch.setattr(nearcopies, "_close", lambda *a: moved.append(plain_close(*a)) or moved[-1])
+    kept = nearcopies.keep_first(documents(rows)).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(12)) and sum(m.count() for m in moved) == 1
+
+
+def test_wide_bitmaps_of_any_lengths_never_differ_more_than_the_sets():
+    draw = random.Random(13)
+    sets = [nearcopies.shingles(" ".join(draw.choices([f"w{k}" for k in range(5000)], k=n))) for n in (400, 600, 1100, 1100, 2500, 9000)]
+    sets.append(np.unique(np.concatenate([sets[4][5:], sets[0]])))
+    wides = [nearcopies.wide_parity(s) for s in sets]
+    assert wides[0] is None and [len(w) for w in wides[1:]] == [128, 256, 256, 512, 2048, 512]
+    for a, x in zip(sets[1:], wides[1:]):
+        for b, y in zip(sets[1:], wides[1:]):
+            assert nearcopies.differing(x, y) <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_members_of_a_bucket_are_told_apart_in_the_join(documents, monkeypatch):
+    """Texts of one line and little else: the last round pairs only those that the folded bitmaps leave."""
+    draw = random.Random(14)
+    line = [f"c{k}" for k in range(40)]
+    rows = [(k, " ".join([f"w{draw.randrange(10**6)}" for _ in range(30)] + line)) for k in range(60)]
+    asked = []
+    plain_close = nearcopies._close
+    monkeypatch.setattr(nearcopies, "SAMPLE", 1)
+    monkeypatch.setattr(nearcopies, "STARS", 0)
+    monkeypatch.setattr(nearcopies, "_close", lambda pairs, *a: asked.append(pairs.count()) or plain_close(pairs, *a))
+    kept = nearcopies.keep_first(documents(rows)).collect()
+    assert len(kept) == 60 and len(asked) == 2 and asked[-1] == 0
+
+
 def test_a_text_with_many_pairs_is_dealt_out(spark):
     """Its pairs are spread over shares, and it is sent once for each of these, ahead of the others, not with every pair."""
     pairs = [(min(k, 500), max(k, 500)) for k in range(1000) if k != 500] + [(1, 2)]
