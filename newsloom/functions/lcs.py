@@ -50,15 +50,9 @@ def lcs_length():
     return lcs
 
 
-def matched_length():
-    """Arrow UDF ``(string, string) -> int`` of two word sets, each its words in order and one space apart.
-
-    The length of the common words, each with a space, and of the longest common subsequence of the others,
-    joined. Many pairs are compared at once: a row of the table is the bits of 64-bit words of each pair, and
-    common words are bits that match nothing. Long titles are compared one by one.
-    """
+def _of_word_sets():
+    """The functions of two word sets, of one pair and of many. Local functions travel by value to workers."""
     length = _of_two()
-    chunk, longest = 10_000, 250
 
     def one(a, b):
         a, b = a.split(" "), b.split(" ")
@@ -126,6 +120,19 @@ def matched_length():
         # the space behind the last words is no part of what is left of them
         return common.sum(1) + found - some
 
+    return one, many
+
+
+def matched_length():
+    """Arrow UDF ``(string, string) -> int`` of two word sets, each its words in order and one space apart.
+
+    The length of the common words, each with a space, and of the longest common subsequence of the others,
+    joined. Many pairs are compared at once: a row of the table is the bits of 64-bit words of each pair, and
+    common words are bits that match nothing. Long titles are compared one by one.
+    """
+    one, many = _of_word_sets()
+    chunk, longest = 10_000, 250
+
     @F.arrow_udf("int")
     def matched(left: pa.Array, right: pa.Array) -> pa.Array:
         out = np.zeros(len(left), np.int32)

@@ -1,17 +1,9 @@
 """Native features of a headline for the token-set comparison."""
 
-import string
-
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import split_on_space
 
-# Buckets of characters; a last bucket takes everything else.
-_BUCKETS = [*string.ascii_lowercase, string.ascii_uppercase, string.digits, " ", ".", ","]
-_LEVELS = 16
-_PER_WORD = 64 // _LEVELS
-SIGNATURE = [f"h{i}" for i in range((len(_BUCKETS) + 1) // _PER_WORD)]
-
 
 def token_set(title):
     """The distinct words of a title in code point order."""
@@ -21,25 +13,3 @@ def token_set(title):
 def joined_length(tokens):
     """Length of the tokens joined by single spaces."""
     return F.length(F.array_join(tokens, " "))
-
-
-def with_signature(df, text):
-    """Add the character counts of ``text`` in unary code, as 64-bit words.
-
-    Bit ``k`` of a bucket is set when the bucket holds more than ``k`` characters, so the
-    Hamming distance of two signatures is at most the L1 distance of the two histograms,
-    and that is at most the number of insertions and deletions between the two texts.
-    """
-    counts = [f"length({text}) - length(translate({text}, '{b}', ''))" for b in _BUCKETS]
-    counts.append(f"length(translate({text}, '{''.join(_BUCKETS)}', ''))")
-    unary = [f"(shiftleft(1L, least({c}, {_LEVELS})) - 1L)" for c in counts]
-    words = [
-        " | ".join(f"shiftleft({u}, {slot * _LEVELS})" for slot, u in enumerate(unary[at : at + _PER_WORD]))
-        for at in range(0, len(unary), _PER_WORD)
-    ]
-    return df.withColumns({name: F.expr(word) for name, word in zip(SIGNATURE, words)})
-
-
-def signature_distance(left, right):
-    """Lower bound of the insertions and deletions between two texts; codegen, no lambda."""
-    return F.expr(" + ".join(f"bit_count({left}.{name} ^ {right}.{name})" for name in SIGNATURE))

@@ -9,22 +9,16 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from newsloom.functions.lcs import matched_length
 from newsloom.functions.once import computed_once
 from newsloom.functions.text import title_key
-from newsloom.functions.titles import (
-    SIGNATURE,
-    joined_length,
-    signature_distance,
-    token_set,
-    with_signature,
-)
+from newsloom.functions.tiles import ALIGNED, aligned_in_tile
+from newsloom.functions.titles import joined_length, token_set
 from newsloom.operators.skew import attach
 from newsloom.schemas import SIMILARITY_THRESHOLD
 from newsloom.workspace import write_through
 
-# Rows of one side of a comparison tile.
-_TILE_LEAST, _TILE_MOST = 256, 4096
+# Rows of one side of a comparison tile, and its characters.
+_TILE_LEAST, _TILE_MOST, _TILE_TEXT = 512, 8192, 1 << 22
 # Word sets whose leaders are found first; each further batch is as large as all before.
 FIRST_BATCH = 1 << 14
 
@@ -34,6 +28,11 @@ def _cutoff(threshold):
     return threshold - 0.5
 
 
+def _band_width(cutoff):
+    # bands of lengths so wide that similar titles are at most one band apart
+    return -math.log(cutoff / (200 - cutoff) - 1e-6)
+
+
 def title_nodes(rows, threshold=SIMILARITY_THRESHOLD):
     """Distinct word sets with the features that bound their similarity.
 
@@ -54,11 +53,9 @@ def word_set_key(title):
 
 def with_features(nodes, threshold=SIMILARITY_THRESHOLD):
     """``key, node, n`` with the features that bound the similarity of word sets."""
-    # bands of lengths so wide that similar titles are at most one band apart
-    cutoff = _cutoff(threshold)
-    width = -math.log(cutoff / (200 - cutoff) - 1e-6)
+    width = _band_width(_cutoff(threshold))
     measured = nodes.selectExpr("node", "n", "key", "split(key, ' ') as tokens", "length(key) as len")
-    return with_signature(measured, "key").withColumn("band", F.expr(f"int(floor(ln(len) / {width}D))"))
+    return measured.withColumn("band", F.expr(f"int(floor(ln(len) / {width}D))"))
 
 
 def _listed(nodes):
@@ -103,12 +100,24 @@ def _contained_pairs(inner, outer, frequency, words, cutoff):
     ).where(F.col("score") >= cutoff)
 
 
-def _blocks(nodes, counts, rows):
-    """``nodes`` with their block, blocks of about ``rows`` rows within a band, and the SQL of blocks per band."""
-    blocks = {band: -(-n // rows) for band, n in counts.items()}
+def _blocks(nodes, counts, rows, width):
+    """A row per block of ``nodes`` with all of it, blocks per band, and the SQL of those.
+
+    A block has about ``rows`` titles of a band, or fewer where they are long.
+    """
+    most = lambda band: max(1, min(rows, int(_TILE_TEXT / math.exp(min(30, (band + 1) * width)))))
+    blocks = {band: -(-n // most(band)) for band, n in counts.items()}
     listed = f"map({', '.join(f'{band}, {n}' for band, n in blocks.items())})"
-    parts = nodes.withColumn("block", F.expr(f"cast(pmod(xxhash64(node), {listed}[band]) as int)"))
-    return parts, blocks, listed
+    # a block is few bytes but is sent to many tiles, so blocks must not be coalesced by size
+    dealt = nodes.select(
+        "node", "key", "band", F.expr(f"cast(pmod(xxhash64(node), {listed}[band]) as int)").alias("block")
+    ).repartition(_parts(nodes, sum(blocks.values())), "band", "block")
+    packed = dealt.groupBy("band", "block").agg(F.collect_list(F.struct("node", "key")).alias("titles"))
+    return packed, blocks, listed
+
+
+def _parts(df, most, times=1):
+    return max(1, min(most, times * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _span(start, stop, tile):
@@ -119,17 +128,17 @@ def _span(start, stop, tile):
 _TILE = "named_struct('ba', {}, 'xa', {}, 'bb', {}, 'xb', {})".format
 
 
-def _in_tiles(parts, tiles):
-    return parts.selectExpr("node", "key", "len", *SIGNATURE, f"inline(concat({', '.join(tiles)}))")
+def _in_tiles(packed, tiles):
+    return packed.selectExpr("titles", f"inline(concat({', '.join(tiles)}))")
 
 
-def _tiles(nodes, counts, rows):
+def _tiles(nodes, counts, rows, width):
     """Both sides of the comparison tiles of one table, and how many tiles there are.
 
     Only titles in the same or in neighbouring length bands can be similar. A band is cut into
     blocks, and each pair of blocks is a tile of bounded size, however full the band is.
     """
-    parts, blocks, listed = _blocks(nodes, counts, rows)
+    packed, blocks, listed = _blocks(nodes, counts, rows, width)
     left = [
         _span("block", f"{listed}[band]", _TILE("band", "block", "band", "x")),
         _span("0", f"{listed}[band + 1]", _TILE("band", "block", "band + 1", "x")),
@@ -139,13 +148,13 @@ def _tiles(nodes, counts, rows):
         _span("0", f"{listed}[band - 1]", _TILE("band - 1", "x", "band", "block")),
     ]
     tiles = sum(n * (n + 1) // 2 + n * blocks.get(band + 1, 0) for band, n in blocks.items())
-    return _in_tiles(parts, left), _in_tiles(parts, right), tiles
+    return _in_tiles(packed, left), _in_tiles(packed, right), tiles
 
 
-def _cross_tiles(one, other, ones, others, rows):
+def _cross_tiles(one, other, ones, others, rows, width):
     """Both sides of the tiles that compare two tables, and how many tiles there are."""
-    left, xs, of_left = _blocks(one, ones, rows)
-    right, ys, of_right = _blocks(other, others, rows)
+    left, xs, of_left = _blocks(one, ones, rows, width)
+    right, ys, of_right = _blocks(other, others, rows, width)
     near = [-1, 0, 1]
     lefts = [_span("0", f"{of_right}[band + {d}]", _TILE("band", "block", f"band + {d}", "x")) for d in near]
     rights = [_span("0", f"{of_left}[band - {d}]", _TILE(f"band - {d}", "x", "band", "block")) for d in near]
@@ -153,37 +162,28 @@ def _cross_tiles(one, other, ones, others, rows):
     return _in_tiles(left, lefts), _in_tiles(right, rights), tiles
 
 
-def _aligned_pairs(left, right, tiles, cutoff, once=None):
+def _aligned_pairs(left, right, tiles, cutoff, one_table=False):
     """Pairs whose full texts align: common words first, then the other words of each.
 
-    Length and character counts bound the score from above, in generated code within the join.
-    Only the survivors reach the Arrow UDF, which compares the words of many pairs at once. ``once`` is the
-    condition that keeps a pair of one table from being compared twice.
+    A tile is a row with both blocks and is compared as arrays. With ``one_table`` a block that meets
+    itself is not compared twice.
     """
-    # tiles are few bytes but much work, so their partitions must not be coalesced by size
-    count = max(1, min(tiles, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    room = f"{1 - cutoff / 100}D * (a.len + b.len) + 1e-9D"
-    # a side of the tiles is many times its table, and is not to be broadcast
-    # plain columns: structs of both sides would be cast, and moved once more
+    # tiles are few bytes but much work, so their partitions must not be coalesced by size, and hold few tiles each
+    count = _parts(left, tiles, times=4)
     tile = ["ba", "xa", "bb", "xb"]
-    same = " and ".join(f"a.{c} = b.{c}" for c in tile)
-    met = left.repartition(count, *tile).alias("a").hint("merge").join(
-        right.repartition(count, *tile).alias("b"),
-        F.expr(f"{same} and {once or 'true'} and abs(a.len - b.len) <= {room}")
-        & (signature_distance("a", "b") <= F.expr(room)),
+    # a side of the tiles is many times its table, and is not to be broadcast
+    met = left.repartition(count, *tile).withColumnRenamed("titles", "a").hint("merge").join(
+        right.repartition(count, *tile).withColumnRenamed("titles", "b"), tile
+    )
+    # one tile is sent at a time
+    found = met.groupBy(*tile).applyInArrow(aligned_in_tile(cutoff, one_table), ALIGNED)
+    return found.selectExpr("least(x, y) as i", "greatest(x, y) as j", "200D * matched / total as score").where(
+        F.col("score") >= cutoff
     )
-    survivors = met.selectExpr(
-        "least(a.node, b.node) as i",
-        "greatest(a.node, b.node) as j",
-        "a.len + b.len as total",
-        "a.key as ka",
-        "b.key as kb",
-    ).withColumn("matched", matched_length()("ka", "kb"))
-    return survivors.selectExpr("i", "j", "200D * matched / total as score").where(F.col("score") >= cutoff)
 
 
 def _tile_rows(rows):
-    return min(_TILE_MOST, max(_TILE_LEAST, rows // 64))
+    return min(_TILE_MOST, max(_TILE_LEAST, rows // 16))
 
 
 def _bands(nodes):
@@ -206,9 +206,8 @@ def node_pairs(nodes, threshold=SIMILARITY_THRESHOLD):
     cutoff = _cutoff(threshold)
     pairs = _contained_pairs(nodes, nodes, _frequencies(nodes), words, cutoff)
     if counts:
-        once = "a.node <> b.node and (a.node < b.node or a.ba <> a.bb or a.xa <> a.xb)"
-        tiles = _tiles(nodes, counts, _tile_rows(sum(counts.values())))
-        pairs = pairs.union(_aligned_pairs(*tiles, cutoff, once))
+        tiles = _tiles(nodes, counts, _tile_rows(sum(counts.values())), _band_width(cutoff))
+        pairs = pairs.union(_aligned_pairs(*tiles, cutoff, one_table=True))
     return _best(pairs)
 
 
@@ -224,7 +223,8 @@ def cross_pairs(one, other, threshold=SIMILARITY_THRESHOLD):
     )
     if ones and others:
         rows = _tile_rows(max(sum(ones.values()), sum(others.values())))
-        pairs = pairs.union(_aligned_pairs(*_cross_tiles(one, other, ones, others, rows), cutoff))
+        tiles = _cross_tiles(one, other, ones, others, rows, _band_width(cutoff))
+        pairs = pairs.union(_aligned_pairs(*tiles, cutoff))
     return _best(pairs)
 
 

@@ -1,11 +1,14 @@
+import itertools
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import fixtures as fx
 from newsloom.functions.lcs import lcs_length, matched_length
+from newsloom.functions.tiles import aligned_in_tile
 from newsloom.operators import similarity as sim
 from newsloom.operators.resolve import resolve_urls
 from newsloom.operators.skew import attach
@@ -240,3 +243,54 @@ def test_matched_length_of_many_pairs_at_once(spark):
         both = set(a) & set(b)
         left, right = (" ".join(w for w in side if w not in both) for side in (a, b))
         assert r.n == sum(len(w) + 1 for w in both) + lcs(left, right), (r.a, r.b)
+
+
+def tile_of(one, other, tile):
+    titles = pa.list_(pa.struct([("node", pa.int64()), ("key", pa.string())]))
+    sides = [pa.array([[{"node": n, "key": k} for n, k in side]], titles) for side in (one, other)]
+    return pa.table([*(pa.array([t], pa.int32()) for t in tile), *sides], ["ba", "xa", "bb", "xb", "a", "b"])
+
+
+@pytest.mark.parametrize("cutoff,words", [(81.5, 4), (81.5, 9), (60.5, 9), (99.5, 9), (30.5, 3), (81.5, 60)])
+def test_a_tile_has_the_pairs_whose_texts_align(cutoff, words):
+    rng = random.Random(words)
+    known = ["harga", "beras", "naik", "Naik", "é", "日本", "😀", "x" * 63, "kota.", "pasar", "turun", "the", "ma\0n", "ß" * 64]
+    keys = {}
+    for _ in range(max(8, 300 // (words + 4))):
+        key = " ".join(sorted({rng.choice(known) + rng.choice(["", "", str(rng.randint(0, 9))]) for _ in range(rng.randint(1, words))}))
+        near = list(key)
+        for _ in range(rng.randint(0, 5)):
+            near[rng.randrange(len(near))] = rng.choice("aeiou -z日")
+        keys |= {key: 0, " ".join(sorted(set("".join(near).split(" ")) - {""})): 0}
+    titles = [(k * 7919 % 100_003, key) for k, key in enumerate(keys) if key]
+    half = len(titles) // 2
+
+    def aligned(one, other, same):
+        found = set()
+        for (x, a), (y, b) in itertools.product(one, other):
+            sa, sb = set(a.split(" ")), set(b.split(" "))
+            # one within the other scores 100 by its words
+            if sa <= sb or sb <= sa or (same and x >= y):
+                continue
+            length = sum(len(w) + 1 for w in sa & sb) + lcs(" ".join(sorted(sa - sb)), " ".join(sorted(sb - sa)))
+            if 200 * length / (len(a) + len(b)) >= cutoff:
+                found.add((min(x, y), max(x, y), length, len(a) + len(b)))
+        return found
+
+    within = {(x, y) for x, a in titles for y, b in titles if set(a.split(" ")) <= set(b.split(" "))}
+    for one, other, tile in [(titles, titles, (1, 2, 1, 2)), (titles[:half], titles[half:], (1, 2, 1, 3))]:
+        rows = aligned_in_tile(cutoff, True)(tile_of(one, other, tile)).to_pydict()
+        pairs = [(min(x, y), max(x, y), m, t) for x, y, m, t in zip(*rows.values())]
+        assert len(pairs) == len(set(pairs))
+        expected = aligned(one, other, tile[:2] == tile[2:])
+        assert expected or cutoff > 99
+        assert {p for p in pairs if not {p[:2], p[1::-1]} & within} == expected
+
+
+def test_blocks_are_sent_once_a_tile_and_not_the_texts_of_each_pair(spark):
+    titles = random_titles(23, 200)
+    nodes = sim.write_through(sim.title_nodes(frame(spark, titles)), "nodes")
+    for pairs in (sim.node_pairs(nodes), sim.cross_pairs(nodes.where("node % 2 = 0"), nodes.where("node % 2 = 1"))):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan and "FlatMapGroupsInArrow" in plan
+        assert not re.search(r"\bh0#", plan)
