@@ -18,7 +18,7 @@ from newsloom.schemas import SIMILARITY_THRESHOLD
 from newsloom.workspace import write_through
 
 # Rows of one side of a comparison tile, and its characters.
-_TILE_LEAST, _TILE_MOST, _TILE_TEXT = 512, 8192, 1 << 22
+_TILE_LEAST, _TILE_MOST, _TILE_TEXT = 2048, 8192, 1 << 22
 # Word sets whose leaders are found first; each further batch is as large as all before.
 FIRST_BATCH = 1 << 14
 
@@ -283,7 +283,8 @@ def follow_in_order(nodes, leading=None, threshold=SIMILARITY_THRESHOLD):
     The sequential rule asks only for the leaders before a node, so batches give the same result.
     """
     count = nodes.count()
-    ends, size = [], FIRST_BATCH
+    # leaders are fewer than the word sets they came from
+    ends, size = [], max(FIRST_BATCH, leading.count() if leading is not None else 0)
     while size < count:
         ends.append(size / count)
         size *= 2

@@ -294,3 +294,14 @@ def test_blocks_are_sent_once_a_tile_and_not_the_texts_of_each_pair(spark):
         plan = pairs._jdf.queryExecution().executedPlan().toString()
         assert "ArrowEvalPython" not in plan and "FlatMapGroupsInArrow" in plan
         assert not re.search(r"\bh0#", plan)
+
+
+def test_known_leaders_make_batches_larger(spark, monkeypatch):
+    monkeypatch.setattr(sim, "FIRST_BATCH", 4)
+    words = [f"{c * 9}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQR"]
+    nodes = sim.write_through(sim.title_nodes(frame(spark, words)), "nodes")
+    leading = sim.write_through(nodes.where("node < 30"), "leading")
+    seen, follow = [], sim.follow
+    monkeypatch.setattr(sim, "follow", lambda *a: seen.append(1) or follow(*a))
+    led = sim.follow_in_order(sim.write_through(nodes.where("node >= 30"), "late"), leading)
+    assert led.where("node = leader").count() == 14 and len(seen) == 1
