@@ -39,9 +39,19 @@ def title_nodes(rows, threshold=SIMILARITY_THRESHOLD):
     ``node`` is the earliest seq, ``n`` the number of rows. Titles without a word are similar
     to nothing, not even each other, and have no node.
     """
-    keyed = computed_once(rows.select("seq", "title"), key=word_set_key(F.col("title")))
-    nodes = keyed.where(F.col("key") != "").groupBy("key").agg(
-        F.min("seq").alias("node"), F.count("*").alias("n")
+    return nodes_of(keyed_titles(rows), threshold)
+
+
+def keyed_titles(rows):
+    """Distinct titles with the key of their words: ``title, key, seq, n``, the earliest row and how many. Each is taken apart once."""
+    titles = rows.groupBy("title").agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
+    return computed_once(titles, key=word_set_key(F.col("title")))
+
+
+def nodes_of(titles, threshold=SIMILARITY_THRESHOLD):
+    """``title_nodes`` of keyed titles."""
+    nodes = titles.where(F.col("key") != "").groupBy("key").agg(
+        F.min("seq").alias("node"), F.sum("n").alias("n")
     )
     return with_features(nodes, threshold)
 
@@ -308,9 +318,9 @@ def follow_in_order(nodes, leading=None, threshold=SIMILARITY_THRESHOLD):
     return found
 
 
-def fuzzy_clusters(rows, threshold=SIMILARITY_THRESHOLD):
-    """``key, leader, size``: cluster of each word set. Rows without a word have none."""
-    nodes = write_through(title_nodes(rows, threshold), "nodes")
+def fuzzy_clusters(titles, threshold=SIMILARITY_THRESHOLD):
+    """``key, leader, size``: cluster of each word set of keyed titles. Titles without a word have none."""
+    nodes = write_through(nodes_of(titles, threshold), "nodes")
     led = follow_in_order(nodes, threshold=threshold)
     return with_sizes(nodes.hint("merge").join(led, "node").select("key", "n", "leader"))
 
@@ -351,16 +361,34 @@ def similar_coverage(rows, threshold=SIMILARITY_THRESHOLD, method="fuzzy"):
     """
     if _checked(method) == "exact":
         return covered_by(rows, title_key(F.col("title")), exact_clusters(rows))
-    return covered_by(rows, word_set_key(F.col("title")), fuzzy_clusters(rows, threshold))
+    titles = write_through(keyed_titles(rows), "titles")
+    return covered_by_titles(rows, titles, fuzzy_clusters(titles, threshold))
 
 
 def covered_by(rows, key, clusters):
     """``rows`` with ``leader`` and ``similar`` from the clusters ``key, n, leader, size`` of their ``key``."""
-    # a cluster of one needs no lookup
+    shared, total = _shared(clusters)
+    return _covered(rows, attach(computed_once(rows, _key=key), shared, "_key", "n", total, "seq", "merge"))
+
+
+def covered_by_titles(rows, titles, clusters):
+    """The same from ``titles``, the keyed titles of ``rows``: a title of many rows is found in the clusters once."""
+    shared, total = _shared(clusters)
+    keyed = titles.select("title", F.col("key").alias("_key"), F.col("n").alias("_rows"))
+    found = attach(keyed, shared, "_key", "n", total, "title", "merge").where("size is not null")
+    found = write_through(found.select("title", "_rows", "leader", "size"), "found")
+    held = found.agg(F.sum("_rows")).first()[0] or 0
+    return _covered(rows, attach(rows, found, "title", "_rows", held, "seq", "merge"))
+
+
+def _shared(clusters):
+    """The clusters that need a lookup, of more than one row, and the rows of all."""
     shared = clusters.where(F.col("size") > 1).withColumnRenamed("key", "_key")
     shared = write_through(shared, "clusters")
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    found = attach(computed_once(rows, _key=key), shared, "_key", "n", total, "seq", "merge")
+    return shared, shared.agg(F.sum("n")).first()[0] or 0
+
+
+def _covered(rows, found):
     return found.withColumns({
         "leader": F.coalesce("leader", "seq"),
         "similar": F.coalesce(F.col("size") - 1, F.lit(0)).cast("int"),

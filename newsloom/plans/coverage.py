@@ -8,12 +8,12 @@ other; known ones just count. The result is that of clustering all batches at on
 from pyspark.sql import functions as F
 
 from newsloom.operators.similarity import (
-    covered_by,
+    covered_by_titles,
     follow_in_order,
+    keyed_titles,
     title_nodes,
     with_features,
     with_sizes,
-    word_set_key,
 )
 from newsloom.schemas import SIMILARITY_THRESHOLD
 from newsloom.versions import Versions, merge_small
@@ -118,4 +118,4 @@ class CoverageState:
 
     def coverage(self, rows):
         """``rows`` with ``leader`` and ``similar``, as ``similar_coverage`` gives them over all batches."""
-        return covered_by(rows, word_set_key(F.col("title")), self.clusters())
+        return covered_by_titles(rows, write_through(keyed_titles(rows), "titles"), self.clusters())

@@ -296,6 +296,20 @@ def test_blocks_are_sent_once_a_tile_and_not_the_texts_of_each_pair(spark):
         assert not re.search(r"\bh0#", plan)
 
 
+def test_a_title_of_many_rows_is_taken_apart_once(spark):
+    titles = [t if k % 7 else None for k, t in enumerate(random_titles(24, 90))] * 3
+    rows = frame(spark, titles)
+    plan = sim.title_nodes(rows)._jdf.queryExecution().sparkPlan().toString()
+    # from the top: titles come together below the step that makes their keys
+    assert 0 < plan.index("Generate") < plan.index("keys=[title")
+    found = {r.seq: (r.leader, r.similar) for r in sim.similar_coverage(rows).collect()}
+    expected = clusters([t or "" for t in titles])
+    alone = {k for k, t in enumerate(titles) if not (t or "").split()}
+    for k in range(len(titles)):
+        leader = k if k in alone else expected[k]
+        assert found[k] == (leader, 0 if k in alone else expected.count(leader) - 1)
+
+
 def test_known_leaders_make_batches_larger(spark, monkeypatch):
     monkeypatch.setattr(sim, "FIRST_BATCH", 4)
     words = [f"{c * 9}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQR"]
